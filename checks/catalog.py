@@ -43,9 +43,12 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("fx_"):
-            return view(self.spark, self.sf_dir, name)
-        return table(self.spark, self.sf_dir, name)
+        if name.startswith("__"):
+            raise AttributeError(name)
+        load = view if name.startswith("fx_") else table
+        found = load(self.spark, self.sf_dir, name)
+        setattr(self, name, found)  # asked for once
+        return found
 
     def articles(self) -> DataFrame:
         """All articles of the entries, without any cap."""

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from quillcast import fixed
 
-# Unicode blanks, and the four ASCII separators that also count as blank.
-_BLANK = r"[\s\x1c-\x1f]"
+# The characters that count as blank.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def as_col(c: Column | str) -> Column:
@@ -18,16 +22,15 @@ def as_col(c: Column | str) -> Column:
 
 
 def trim_blank(c: Column | str) -> Column:
-    """Trim every kind of blank, where ``trim`` would only trim spaces."""
-    return F.regexp_replace(as_col(c), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Trim every kind of blank, where ``trim`` alone would only trim spaces."""
+    return F.trim(as_col(c), F.lit(BLANKS))
 
 
-def collapse_blank(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), rf"(?U){_BLANK}+", " ")
-
-
-def strip_tags(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), "<[^>]+>", " ")
+def plain_text(c: Column | str) -> Column:
+    """Text without tags, each run of tags and blanks being one space."""
+    text = F.regexp_replace(as_col(c), "<[^>]+>", " ")
+    spaced = F.translate(text, BLANKS, " " * len(BLANKS))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def first_non_empty(*cols: Column | str) -> Column:
@@ -42,8 +45,7 @@ def or_default(c: Column | str, default: str) -> Column:
 
 def plain_summary(*candidates: Column | str, limit: int = fixed.SUMMARY_CHARS) -> Column:
     """Plain text of the first candidate with content, cut and not trimmed again."""
-    text = trim_blank(strip_tags(trim_blank(first_non_empty(*candidates))))
-    return F.substring(collapse_blank(text), 1, limit)
+    return F.substring(plain_text(first_non_empty(*candidates)), 1, limit)
 
 
 def escape_markup(c: Column | str) -> Column:

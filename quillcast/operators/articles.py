@@ -35,14 +35,17 @@ def normalise(entries: DataFrame) -> DataFrame:
     )
 
 
-def stamp_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add name and digest of the source.
+def stamp_source(
+    articles: DataFrame, sources: DataFrame, on: list[str] | None = None
+) -> DataFrame:
+    """Add name and digest of the source; articles of other sources are dropped.
 
     Apply it after the cap, when a source has a handful of rows and no key is
     hot. The size of the registry decides at run time whether it is broadcast.
     """
-    names = sources.select("source_id", F.col("name").alias("source_name"), "digest_id")
-    return articles.join(names, "source_id")
+    on = on or ["source_id"]
+    names = sources.select(*on, F.col("name").alias("source_name"), "digest_id")
+    return articles.join(names, on)
 
 
 def of_type(sources: DataFrame, kind: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillcast import fixed
-from quillcast.functions.text import collapse_blank, strip_tags, trim_blank
+from quillcast.functions.text import plain_text, trim_blank
 from quillcast.functions.urls import has_scheme_host, resolve_url, url_hash
 from quillcast.operators.caps import crawl_cap, first_link
 
@@ -38,7 +38,7 @@ def page_links(pages: DataFrame, *keys: str, body: str = "html", base: str = "ur
     anchors = pages.select(
         *keys, F.col(base).alias("_base"), F.posexplode(_pairs(F.col(body), _ANCHOR)).alias("pos", "link")
     )
-    text = trim_blank(collapse_blank(strip_tags("link.second")))
+    text = plain_text("link.second")
     href = trim_blank("link.first")
     return anchors.select(
         *keys, "pos", text.alias("title"), resolve_url(href, "_base").alias("url")

@@ -1,7 +1,7 @@
 """Which articles were sent before, and recording the ones that are sent.
 
 The ledger only grows, while a run brings few articles for each source. So the
-run's distinct keys are looked up in the ledger with a semi-join, which scans
+run's distinct keys are looked up in the ledger first. That scans
 one column of the ledger and, where the keys are few enough for Spark to
 broadcast them, never shuffles it. The articles are then anti-joined with the
 hits alone. Distinct keys are found before any shuffle, so a URL that fills a
@@ -22,12 +22,23 @@ KEY = "url_hash"
 
 
 def _hits(keys: DataFrame, *seen: DataFrame) -> DataFrame:
+    """Those of the distinct ``keys`` that one of the tables holds.
+
+    Keys are distinct, so an inner join selects like a semi-join; unlike that it
+    is not pushed into each of the tables with a copy of the keys.
+    """
     known = reduce(DataFrame.unionByName, (s.select(KEY) for s in seen))
-    return known.join(keys, KEY, "left_semi").distinct()
+    return known.join(keys, KEY).distinct()
 
 
 def _unseen(articles: DataFrame, *seen: DataFrame) -> DataFrame:
-    return articles.join(_hits(articles.select(KEY).distinct(), *seen), KEY, "left_anti")
+    """Articles without a hit.
+
+    An anti-join would be pushed into every branch the articles are a union of,
+    each time with a copy of the lookup; an outer join stays in one place.
+    """
+    hits = _hits(articles.select(KEY).distinct(), *seen).withColumn("_seen", F.lit(True))
+    return articles.join(hits, KEY, "left").where("_seen is null").drop("_seen")
 
 
 def anti_seen_set(articles: DataFrame, live_marks: DataFrame) -> DataFrame:

@@ -23,15 +23,17 @@ from quillcast.sources import tables
 def fetched_articles(
     sources: DataFrame, entries: DataFrame, pages: DataFrame, n: int = fixed.FEED_CAP
 ) -> DataFrame:
-    """Articles of all active sources: entries of feeds and links of crawled pages."""
-    active = sources.where("active")
-    feeds, crawled = (A.of_type(active, kind).select("source_id") for kind in ("rss", "crawl"))
-    from_feeds = A.normalise(feed_cap(entries.join(feeds, "source_id", "left_semi"), n))
-    links = markdown_links(
-        pages.join(crawled, "source_id", "left_semi"), "source_id", "page_id"
-    )
-    from_pages = crawl_articles(links, n)
-    return A.stamp_source(from_feeds.unionByName(from_pages), active).select(*A.ARTICLE_COLUMNS)
+    """Articles of all active sources: entries of feeds and links of crawled pages.
+
+    Caps come before the join with the registry: they are per source, so the
+    result is the same, and no source is left with many rows to join.
+    """
+    of_kind = lambda df, kind: df.withColumn("type", F.lit(kind))
+    from_feeds = of_kind(A.normalise(feed_cap(entries, n)), "rss")
+    from_pages = of_kind(crawl_articles(markdown_links(pages, "source_id", "page_id"), n), "crawl")
+    return A.stamp_source(
+        from_feeds.unionByName(from_pages), sources.where("active"), ["source_id", "type"]
+    ).select(*A.ARTICLE_COLUMNS)
 
 
 def digest_texts(
