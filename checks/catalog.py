@@ -63,6 +63,10 @@ class Inputs:
     def new(self) -> DataFrame:
         return V.filter_new_articles(self.fetched(), self.live(), self.fx_ledger)
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """Rows a query uses more than once."""
+        return tables.staged(df, f"{tables.shared_folder(self.spark)}/{uuid.uuid4().hex}")
+
     def capped(self) -> DataFrame:
         return K.digest_cap(self.new())
 
@@ -653,7 +657,7 @@ def digest_cap(t):
     )
 )
 def digest_overflow(t):
-    return K.digest_overflow(t.new()).select("digest_id", "source_id", "position", "title", "url_hash")
+    return K.digest_overflow(t.staged(t.new())).select("digest_id", "source_id", "position", "title", "url_hash")
 
 
 @query(sql("SELECT * FROM o_candidates", "fx_listing", CANDIDATES))
@@ -774,6 +778,19 @@ def crawl_articles(t):
     return L.crawl_articles(links).select("source_id", "position", "title", "url", "url_hash")
 
 
+@query(
+    sql(
+        """SELECT source_id, page_id, pos, title, url FROM (
+               SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM (
+                   SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM o_all_links)
+               WHERE k = 1) WHERE n <= 2""",
+        "fx_markdown", ALL_LINKS,
+    )
+)
+def top_links(t):
+    return L.top_links(t.fx_markdown, "source_id", "page_id", n=2)
+
+
 @query(
     f"""SELECT page_id, pos, title, concat(regexp_extract(url, '^https?://[^/?#]+', 0), href) AS url FROM (
             SELECT page_id, url, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 AS pos,
@@ -829,9 +846,10 @@ def short_summary(t):
 
 @query(sql("SELECT digest_id, text FROM o_texts", *S.PAIRS, *S.BODIES, S.HEADERS, S.TEXTS))
 def compose_digest(t):
-    kept = N.near_dup_keep(t.new(), SIZE, THRESHOLD)
+    new = t.staged(t.new())
+    kept = N.near_dup_keep(new, SIZE, THRESHOLD)
     bodies = C.digest_bodies(P.topic_assign(kept, S.TEST_TOPIC_WORDS))
-    return C.compose_digest(bodies, C.digest_header(t.new(), t.fx_sources, ASOF))
+    return C.compose_digest(bodies, C.digest_header(new, t.fx_sources, ASOF))
 
 
 # Time and state
@@ -1007,13 +1025,7 @@ def switch_ids(t):
 )
 def digest_pipeline(t):
     """Messages of a run, from entries and pages to chunks."""
-    texts = C.compose_digest(
-        C.digest_bodies(
-            P.topic_assign(N.near_dup_keep(t.new(), SIZE, THRESHOLD), S.TEST_TOPIC_WORDS)
-        ),
-        C.digest_header(t.new(), t.fx_sources, ASOF),
-    )
-    return Q.digest_messages(texts)
+    return Q.digest_messages(compose_digest(t))
 
 
 @query(sql(report_sql("o_top"), "fx_listing", "fx_repos", CANDIDATES, ENRICHED, TOP))
@@ -1054,4 +1066,6 @@ def digest_or_fallback(t):
 def run_outcome(t):
     """Outcome of each of thirty digests, so that some get nothing."""
     own = lambda df: df.withColumn("digest_id", F.col("source_id") % 30)
-    return Q.run_outcome(own(t.fx_sources), own(t.fetched()), own(t.new()))
+    fetched = t.staged(t.fetched())
+    new = V.filter_new_articles(fetched, t.live(), t.fx_ledger)
+    return Q.run_outcome(own(t.fx_sources), own(fetched), own(new))

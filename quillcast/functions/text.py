@@ -23,7 +23,7 @@ def as_col(c: Column | str) -> Column:
 
 def trim_blank(c: Column | str) -> Column:
     """Trim every kind of blank, where ``trim`` alone would only trim spaces."""
-    return F.trim(as_col(c), F.lit(BLANKS))
+    return F.btrim(as_col(c), F.lit(BLANKS))
 
 
 def plain_text(c: Column | str) -> Column:

@@ -33,6 +33,30 @@ def markdown_links(pages: DataFrame, *keys: str, body: str = "body") -> DataFram
     ).select(*keys, "pos", F.col("link.first").alias("title"), F.col("link.second").alias("url"))
 
 
+def top_links(
+    pages: DataFrame, *keys: str, n: int = fixed.FEED_CAP, body: str = "body"
+) -> DataFrame:
+    """First ``n`` valid and distinct links of each page, found inside its row.
+
+    A page never adds more than these to the first ``n`` of its source: if
+    earlier pages hold ``d`` distinct links, at most ``d`` of them are repeats.
+    """
+    titles, urls = (F.regexp_extract_all(F.col(body), F.lit(MARKDOWN_LINK), F.lit(i)) for i in (1, 2))
+    found = pages.select(
+        *keys, titles.alias("_titles"), F.transform(urls, lambda u: trim_blank(u)).alias("_urls")
+    )
+    first = F.slice(F.array_distinct(F.filter("_urls", lambda u: has_scheme_host(u))), 1, n)
+    links = F.transform(
+        first,
+        lambda u: F.struct(
+            (F.array_position("_urls", u) - 1).cast("int").alias("pos"),
+            F.element_at("_titles", F.array_position("_urls", u).cast("int")).alias("title"),
+            u.alias("url"),
+        ),
+    )
+    return found.select(*keys, F.inline(links))
+
+
 def page_links(pages: DataFrame, *keys: str, body: str = "html", base: str = "url") -> DataFrame:
     """Anchors of an HTML page that have a text, with absolute URLs, in page order."""
     anchors = pages.select(

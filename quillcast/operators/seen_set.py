@@ -60,16 +60,24 @@ def seen_set_live(
     by: list[str] | None = None,
     key: str = "url_hash",
 ) -> DataFrame:
-    """Distinct live keys at ``asof``; ``by`` names the columns that tell sets apart."""
+    """Distinct live keys at ``asof``; ``by`` names the columns that tell sets apart.
+
+    Only the last mark of a key counts, so marks are reduced to it before they
+    meet the start of their set.
+    """
     by = by or []
     at = F.lit(asof).cast("timestamp_ntz")
     since = live_since(marks, asof, ttl, by)
-    past = marks.where(F.col("marked_at") <= at)
+    last = (
+        marks.where(F.col("marked_at") <= at)
+        .groupBy(*by, key)
+        .agg(F.max("marked_at").alias("last_marked"))
+    )
     if by:
-        live = past.join(since, by).where("marked_at >= live_since")
+        live = last.join(since, by).where("last_marked >= live_since")
     else:
-        live = past.where(F.col("marked_at") >= since.select("live_since").scalar())
-    return live.select(*by, key).distinct()
+        live = last.where(F.col("last_marked") >= since.select("live_since").scalar())
+    return live.select(*by, key)
 
 
 def keys_live_each(

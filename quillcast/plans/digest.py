@@ -12,7 +12,7 @@ from quillcast.functions.text import escape_markup
 from quillcast.operators import articles as A
 from quillcast.operators import compose as C
 from quillcast.operators.caps import digest_cap, feed_cap
-from quillcast.operators.links import crawl_articles, markdown_links
+from quillcast.operators.links import crawl_articles, top_links
 from quillcast.operators.near_dup import near_dup_keep
 from quillcast.operators.novelty import filter_new_articles, ledger_append, marks_of
 from quillcast.operators.seen_set import seen_set_live
@@ -30,7 +30,8 @@ def fetched_articles(
     """
     of_kind = lambda df, kind: df.withColumn("type", F.lit(kind))
     from_feeds = of_kind(A.normalise(feed_cap(entries, n)), "rss")
-    from_pages = of_kind(crawl_articles(markdown_links(pages, "source_id", "page_id"), n), "crawl")
+    links = top_links(pages, "source_id", "page_id", n=n)
+    from_pages = of_kind(crawl_articles(links, n), "crawl")
     return A.stamp_source(
         from_feeds.unionByName(from_pages), sources.where("active"), ["source_id", "type"]
     ).select(*A.ARTICLE_COLUMNS)
@@ -116,12 +117,9 @@ def run_digest(
     before = marks.where(F.col("marked_at") < F.lit(asof).cast("timestamp_ntz"))
     earlier = ledger.where(F.col("sent_at") < F.lit(asof).cast("timestamp_ntz"))
 
-    fetched_articles(sources, entries, pages).write.mode("overwrite").parquet(f"{run}/fetched")
-    fetched = spark.read.schema(schemas.ARTICLES).parquet(f"{run}/fetched")
-    filter_new_articles(fetched, seen_set_live(before, asof, ttl), earlier).write.mode(
-        "overwrite"
-    ).parquet(f"{run}/new")
-    new = spark.read.schema(schemas.ARTICLES).parquet(f"{run}/new")
+    fetched = tables.staged(fetched_articles(sources, entries, pages), f"{run}/fetched")
+    live = seen_set_live(before, asof, ttl)
+    new = tables.staged(filter_new_articles(fetched, live, earlier), f"{run}/new")
 
     texts = digest_texts(new, sources, asof, bodies=bodies)
     outcomes = run_outcome(sources, fetched, new)

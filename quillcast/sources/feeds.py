@@ -39,19 +39,22 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return parse_feeds(read_feed_documents(spark, path), "path")
 
 
-def parse_feeds(documents: DataFrame, *keys: str, body: str = "body") -> DataFrame:
+def parse_feeds(
+    documents: DataFrame, *keys: str, body: str = "body", first: int | None = None
+) -> DataFrame:
     """Entries of feed documents, in feed order from position 0.
 
+    With ``first`` only so many raw entries of each document are read, which is
+    the feed cap where a source has one document in a run: it takes no shuffle.
+
     Entries are cut out of the document and read one by one, so a broken
     document still gives the entries before the break, and an entry that is no
     XML is lost alone. Documents without any entry give no rows.
     """
-    cut = documents.select(
-        *keys,
-        F.posexplode(F.regexp_extract_all(F.col(body), F.lit(_ENTRY), F.lit(0))).alias(
-            "position", "entry"
-        ),
-    )
+    found = F.regexp_extract_all(F.col(body), F.lit(_ENTRY), F.lit(0))
+    if first is not None:
+        found = F.slice(found, 1, first)
+    cut = documents.select(*keys, F.posexplode(found).alias("position", "entry"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = cut.select(
         *keys,

@@ -45,6 +45,15 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], StructType.fromDDL(schema))
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a written table, for plans that use them more than once.
+
+    It cuts the lineage, so lost executors cost no more than a re-read.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.LEDGER)
 
