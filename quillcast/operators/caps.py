@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast import fixed
+from quillcast.operators.skew import join_one
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
@@ -53,4 +54,5 @@ def digest_overflow(articles: DataFrame, n: int = fixed.DIGEST_CAP) -> DataFrame
         .where(F.col("_shown") == n)
         .select("digest_id", "_last")
     )
-    return articles.join(last_shown, "digest_id").where(place > F.col("_last")).drop("_last")
+    joined = join_one(articles, last_shown, ["digest_id"], ["source_id", "position"])
+    return joined.where(place > F.col("_last")).drop("_last")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillcast.operators.caps import first_per_group
+from quillcast.operators.skew import salt
 
 KEY = "url_hash"
 
@@ -34,11 +35,14 @@ def _hits(keys: DataFrame, *seen: DataFrame) -> DataFrame:
 def _unseen(articles: DataFrame, *seen: DataFrame) -> DataFrame:
     """Articles without a hit.
 
-    An anti-join would be pushed into every branch the articles are a union of,
-    each time with a copy of the lookup; an outer join stays in one place.
+    A hot URL is looked up once for each salt it occurs with, and its articles
+    meet the hit of their own salt. An anti-join would be pushed into every
+    branch the articles are a union of, each time with a copy of the lookup; an
+    outer join stays in one place.
     """
-    hits = _hits(articles.select(KEY).distinct(), *seen).withColumn("_seen", F.lit(True))
-    return articles.join(hits, KEY, "left").where("_seen is null").drop("_seen")
+    salted = articles.withColumn("_salt", salt("source_id", "position"))
+    hits = _hits(salted.select(KEY, "_salt").distinct(), *seen).withColumn("_seen", F.lit(True))
+    return salted.join(hits, [KEY, "_salt"], "left").where("_seen is null").drop("_seen", "_salt")
 
 
 def anti_seen_set(articles: DataFrame, live_marks: DataFrame) -> DataFrame:
@@ -86,14 +90,13 @@ def dedup_funnel(articles: DataFrame, live_marks: DataFrame, ledger: DataFrame)
 def ledger_append(new: DataFrame, ledger: DataFrame, sent_at: datetime) -> DataFrame:
     """Rows the ledger gains: one for each key it lacks, of the first article with it."""
     first = first_per_group(new, [KEY], ["source_id", "position"], 1)
-    rows = first.select(
+    return anti_ledger(first, ledger).select(
         KEY,
         F.coalesce("title", F.lit("")).alias("title"),
         "source_id",
         F.lit(sent_at).cast("timestamp_ntz").alias("sent_at"),
         F.lit(sent_at.date()).alias("sent_date"),
     )
-    return anti_ledger(rows, ledger)
 
 
 def marks_of(new: DataFrame, sent_at: datetime) -> DataFrame:

@@ -11,11 +11,15 @@ from quillcast.functions.times import day_start
 
 
 def count_sent_today(ledger: DataFrame, asof: datetime, tz: str = "UTC") -> DataFrame:
-    """Rows sent since the last midnight in ``tz``; ``asof`` and the ledger are in UTC."""
-    at = F.lit(asof).cast("timestamp_ntz")
-    return ledger.where(F.col("sent_at") >= day_start(at, tz)).agg(
-        F.count("*").alias("sent_today")
-    )
+    """Rows sent since the last midnight in ``tz``; ``asof`` and the ledger are in UTC.
+
+    A ledger with a folder per day is read from that day's folder on.
+    """
+    midnight = day_start(F.lit(asof).cast("timestamp_ntz"), tz)
+    recent = ledger.where(F.col("sent_at") >= midnight)
+    if "sent_date" in ledger.columns:
+        recent = recent.where(F.col("sent_date") >= F.to_date(midnight))
+    return recent.agg(F.count("*").alias("sent_today"))
 
 
 def sent_per_day(ledger: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillcast import fixed
 from quillcast.operators.caps import first_per_group
+from quillcast.operators.skew import join_one
 
 
 def _interval(ttl: str) -> Column:
@@ -74,7 +75,7 @@ def seen_set_live(
         .agg(F.max("marked_at").alias("last_marked"))
     )
     if by:
-        live = last.join(since, by).where("last_marked >= live_since")
+        live = join_one(last, since, by, [key]).where("last_marked >= live_since")
     else:
         live = last.where(F.col("last_marked") >= since.select("live_since").scalar())
     return live.select(*by, key)
