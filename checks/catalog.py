@@ -846,10 +846,7 @@ def short_summary(t):
 
 @query(sql("SELECT digest_id, text FROM o_texts", *S.PAIRS, *S.BODIES, S.HEADERS, S.TEXTS))
 def compose_digest(t):
-    new = t.staged(t.new())
-    kept = N.near_dup_keep(new, SIZE, THRESHOLD)
-    bodies = C.digest_bodies(P.topic_assign(kept, S.TEST_TOPIC_WORDS))
-    return C.compose_digest(bodies, C.digest_header(new, t.fx_sources, ASOF))
+    return Q.digest_texts(t.staged(t.new()), t.fx_sources, ASOF, topic_words=S.TEST_TOPIC_WORDS)
 
 
 # Time and state
@@ -1017,17 +1014,52 @@ def switch_ids(t):
 # Whole jobs
 
 
-@query(
-    sql(
-        "SELECT k AS digest_id, n AS chunk_no, chunk FROM o_chunks",
-        *S.PAIRS, *S.BODIES, S.HEADERS, S.TEXTS, S.chunks("o_texts", "digest_id", "text"),
-    )
+MESSAGES_SQL = sql(
+    "SELECT k AS digest_id, n AS chunk_no, chunk FROM o_chunks",
+    *S.PAIRS, *S.BODIES, S.HEADERS, S.TEXTS, S.chunks("o_texts", "digest_id", "text"),
 )
+
+
+@query(MESSAGES_SQL)
 def digest_pipeline(t):
     """Messages of a run, from entries and pages to chunks."""
     return Q.digest_messages(compose_digest(t))
 
 
+def _run_job(t: Inputs) -> str:
+    """Run the job over a kept ledger and kept marks; gives the folder of its tables."""
+    root = _folder(t)
+    days = t.fx_ledger.withColumn("sent_date", F.to_date("sent_at"))
+    tables.write_ledger(days.select("url_hash", "title", "source_id", "sent_at", "sent_date"), f"{root}/ledger")
+    t.fx_page_marks.withColumn("run", F.lit("before")).write.partitionBy("run").parquet(f"{root}/marks")
+    Q.run_digest(
+        t.spark, t.fx_sources, t.fx_entries, t.fx_markdown, root, ASOF, MARK_TTL, S.TEST_TOPIC_WORDS
+    )
+    return root
+
+
+@query(MESSAGES_SQL)
+def digest_job(t):
+    """The same messages from a run that writes and reads its tables."""
+    sent = t.spark.read.schema(schemas.MESSAGES).parquet(f"{_run_job(t)}/messages")
+    return sent.select("digest_id", "chunk_no", "chunk")
+
+
+@query(
+    sql(
+        f"""SELECT url_hash, title, source_id, {AT}::VARCHAR AS sent_at FROM (
+                SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY source_id, position) AS n FROM o_new)
+            WHERE n = 1
+            UNION ALL SELECT url_hash, title, source_id, sent_at::VARCHAR FROM fx_ledger""",
+        *S.NEW,
+    )
+)
+def digest_job_ledger(t):
+    """The ledger after the run."""
+    ledger = tables.read_ledger(t.spark, f"{_run_job(t)}/ledger")
+    return ledger.select("url_hash", "title", "source_id", text_of("sent_at"))
+
+
 @query(sql(report_sql("o_top"), "fx_listing", "fx_repos", CANDIDATES, ENRICHED, TOP))
 def trending_pipeline(t):
     return QT.trending_report(t.listing(), t.repos(), t.repos())

@@ -19,7 +19,7 @@ TEST_TOPIC_WORDS = dict(
         [["the", "of", "and"], ["le", "la", "des"], ["der", "sch", "aulich"], ["el", "los", "que"], ["x"]],
     )
 )
-SIZE, THRESHOLD = 3, 0.6
+SIZE, THRESHOLD = 3, 0.8
 
 AT = f"TIMESTAMP '{ASOF:%Y-%m-%d %H:%M:%S}'"
 

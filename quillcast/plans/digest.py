@@ -101,6 +101,7 @@ def run_digest(
     root: str,
     asof: datetime,
     ttl: str = fixed.SEEN_TTL,
+    topic_words: dict[str, list[str]] = fixed.TOPIC_WORDS,
     bodies: DataFrame | None = None,
 ) -> None:
     """Run the job once and keep its results under ``root`` in shared storage.
@@ -121,7 +122,7 @@ def run_digest(
     live = seen_set_live(before, asof, ttl)
     new = tables.staged(filter_new_articles(fetched, live, earlier), f"{run}/new")
 
-    texts = digest_texts(new, sources, asof, bodies=bodies)
+    texts = digest_texts(new, sources, asof, topic_words=topic_words, bodies=bodies)
     outcomes = run_outcome(sources, fetched, new)
     outcomes.write.mode("overwrite").parquet(f"{run}/outcomes")
     tables.write_messages(digest_messages(texts, outcomes), f"{root}/messages", asof)
