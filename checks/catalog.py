@@ -889,7 +889,7 @@ def seen_set_live(t):
 def ttl_dedup(t):
     """Arrivals after a point in time against marks up to it, with a limit of an hour per key."""
     marks = t.fx_marks
-    arrivals = marks.where(F.col("marked_at") > F.lit(ASOF).cast("timestamp_ntz")).select(
+    arrivals = marks.where(F.col("marked_at") > D.at(ASOF)).select(
         "url_hash", F.col("marked_at").alias("arrived_at")
     )
     kept = E.ttl_dedup(arrivals, marks, ASOF, "1 hour")

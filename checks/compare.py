@@ -56,7 +56,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("SESSION_ZONE", "UTC"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -68,8 +68,15 @@ def thousands(c: Column | str) -> Column:
 
 
 def contains_any(c: Column | str, words: list[str]) -> Column:
-    """True where the text contains one of the words, also inside another word."""
-    return reduce(lambda a, b: a | b, (F.contains(as_col(c), F.lit(w)) for w in words))
+    """True where the text contains one of the words, also inside another word.
+
+    A filter would work the text out again for every word; as the only element
+    of an array it is worked out once.
+    """
+    return F.exists(
+        F.array(as_col(c)),
+        lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)),
+    )
 
 
 def words(c: Column | str) -> Column:

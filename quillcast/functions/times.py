@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ _MAIL_DATES = (
 )
 
 
+def at(t: datetime) -> Column:
+    """A point in time in UTC, whatever the zone of the session."""
+    return F.lit(f"{t:%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz")
+
+
+def instant(c: Column | str) -> Column:
+    """The instant of a UTC time, which event times of streams must be."""
+    return F.concat(as_col(c).cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_date(c: Column | str) -> Column:
+    """Date in UTC of an instant."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(as_col(c)) / 86400).cast("int"))
+
+
 def published_at(c: Column | str) -> Column:
     """UTC time of a feed date (mail or ISO style), null where it is neither."""
     text = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]+,\s*", "")

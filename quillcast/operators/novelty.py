@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillcast.functions import times
 from quillcast.operators.caps import first_per_group
 from quillcast.operators.skew import salt
 
@@ -94,11 +95,11 @@ def ledger_append(new: DataFrame, ledger: DataFrame, sent_at: datetime) -> DataF
         KEY,
         F.coalesce("title", F.lit("")).alias("title"),
         "source_id",
-        F.lit(sent_at).cast("timestamp_ntz").alias("sent_at"),
+        times.at(sent_at).alias("sent_at"),
         F.lit(sent_at.date()).alias("sent_date"),
     )
 
 
 def marks_of(new: DataFrame, sent_at: datetime) -> DataFrame:
     """Marks the seen-set gains from a run."""
-    return new.select(KEY).distinct().withColumn("marked_at", F.lit(sent_at).cast("timestamp_ntz"))
+    return new.select(KEY).distinct().withColumn("marked_at", times.at(sent_at))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast import fixed
+from quillcast.functions import times
 from quillcast.functions.text import escape_markup
 from quillcast.functions.times import is_time_of_day
 from quillcast.functions.urls import is_web_url
@@ -155,7 +156,7 @@ def upsert_setting(log: DataFrame, key: str, value: str, updated_at, seq: int) -
     row = spark.range(1).select(
         F.lit(key).alias("key"),
         F.lit(value).alias("value"),
-        F.lit(updated_at).cast("timestamp_ntz").alias("updated_at"),
+        times.at(updated_at).alias("updated_at"),
         F.lit(seq).cast("bigint").alias("seq"),
     )
     return log.unionByName(row)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcast.functions.times import day_start
+from quillcast.functions import times
 
 
 def count_sent_today(ledger: DataFrame, asof: datetime, tz: str = "UTC") -> DataFrame:
@@ -15,7 +15,7 @@ def count_sent_today(ledger: DataFrame, asof: datetime, tz: str = "UTC") -> Data
 
     A ledger with a folder per day is read from that day's folder on.
     """
-    midnight = day_start(F.lit(asof).cast("timestamp_ntz"), tz)
+    midnight = times.day_start(times.at(asof), tz)
     recent = ledger.where(F.col("sent_at") >= midnight)
     if "sent_date" in ledger.columns:
         recent = recent.where(F.col("sent_date") >= F.to_date(midnight))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast import fixed
+from quillcast.functions import times
 from quillcast.operators.caps import first_per_group
 from quillcast.operators.skew import join_one
 
@@ -33,7 +34,7 @@ def live_since(
     leaves so few rows per set that a window over them is cheap.
     """
     by = by or []
-    at = F.lit(asof).cast("timestamp_ntz")
+    at = times.at(asof)
     spans = (
         marks.where(F.col("marked_at") <= at)
         .groupBy(*by, F.window("marked_at", ttl).alias("span"))
@@ -67,7 +68,7 @@ def seen_set_live(
     meet the start of their set.
     """
     by = by or []
-    at = F.lit(asof).cast("timestamp_ntz")
+    at = times.at(asof)
     since = live_since(marks, asof, ttl, by)
     last = (
         marks.where(F.col("marked_at") <= at)
@@ -85,7 +86,7 @@ def keys_live_each(
     marks: DataFrame, asof: datetime, ttl: str = fixed.SEEN_TTL, key: str = "url_hash"
 ) -> DataFrame:
     """Keys live at ``asof`` if every key had a time limit of its own."""
-    at = F.lit(asof).cast("timestamp_ntz")
+    at = times.at(asof)
     return (
         marks.where((F.col("marked_at") <= at) & (F.col("marked_at") + _interval(ttl) > at))
         .select(key)

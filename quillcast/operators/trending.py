@@ -60,14 +60,21 @@ def search_top(
 def top_repos_fallback(
     primary: DataFrame, search: DataFrame, k: int = fixed.REPORT_SIZE
 ) -> DataFrame:
-    """The primary ranking, or the search ranking where that is empty."""
+    """The primary ranking, or the search ranking where that is empty.
+
+    Both are at most ``k`` rows, so the choice is made over ``2 * k`` of them.
+    """
     columns = ["full_name", "description", "topics", "stargazers_count", "language", "html_url"]
-    places = [c for c in ("page_no", "pos") if c in primary.columns]
-    found = search_top(search, k=k).select(*columns)
-    for place in places:
+    found = search_top(search, k=k)
+    for place in ("page_no", "pos"):
         found = found.withColumn(place, F.lit(0).cast(primary.schema[place].dataType))
-    fallback = found.where(~primary.exists())
-    return primary.select(*columns, *places).unionByName(fallback.select(*columns, *places))
+        columns.append(place)
+    both = (
+        primary.select(*columns, F.lit(0).alias("_choice"))
+        .unionByName(found.select(*columns, F.lit(1).alias("_choice")))
+        .withColumn("_best", F.min("_choice").over(W.partitionBy()))
+    )
+    return both.where("_choice = _best").drop("_choice", "_best")
 
 
 def rank_repos(top: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcast import fixed, schemas
+from quillcast.functions import times
 from quillcast.functions.text import escape_markup
 from quillcast.operators import articles as A
 from quillcast.operators import compose as C
@@ -115,8 +116,8 @@ def run_digest(
     run = f"{root}/runs/{asof:%Y%m%dT%H%M%S}"
     ledger = tables.read_ledger(spark, f"{root}/ledger")
     marks = tables.read_table(spark, f"{root}/marks", schemas.MARKS)
-    before = marks.where(F.col("marked_at") < F.lit(asof).cast("timestamp_ntz"))
-    earlier = ledger.where(F.col("sent_at") < F.lit(asof).cast("timestamp_ntz"))
+    before = marks.where(F.col("marked_at") < times.at(asof))
+    earlier = ledger.where(F.col("sent_at") < times.at(asof))
 
     fetched = tables.staged(fetched_articles(sources, entries, pages), f"{run}/fetched")
     live = seen_set_live(before, asof, ttl)

@@ -6,13 +6,14 @@ what arrived since the last one.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillcast import fixed, schemas
+from quillcast.functions import times
 from quillcast.operators.articles import ARTICLE_COLUMNS, normalise, stamp_source
 from quillcast.operators.caps import feed_cap
 from quillcast.operators.novelty import anti_ledger, ledger_append
@@ -68,7 +69,7 @@ def digest_stream(
         part = f"{root}/articles/batch_id={batch_id}"
         anti_ledger(found, ledger).select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(part)
         new = session.read.schema(schemas.ARTICLES).parquet(part)
-        at = sent_at or datetime.now()
+        at = sent_at or datetime.now(timezone.utc)
         ledger_append(new, ledger, at).write.mode("overwrite").parquet(
             f"{root}/ledger/batch_id={batch_id}"
         )
@@ -88,7 +89,7 @@ def ttl_dedup_stream(arrivals: DataFrame, key: str, time: str, ttl: str = fixed.
     ``ttl`` after it was let through at the earliest.
     """
     return (
-        arrivals.withColumn(time, F.col(time).cast("timestamp"))
+        arrivals.withColumn(time, times.instant(time))
         .withWatermark(time, ttl)
         .dropDuplicatesWithinWatermark([key])
     )
@@ -97,11 +98,11 @@ def ttl_dedup_stream(arrivals: DataFrame, key: str, time: str, ttl: str = fixed.
 def sent_per_day_stream(ledger: DataFrame, late: str = "1 day") -> DataFrame:
     """Running number of rows sent on each day."""
     return (
-        ledger.withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+        ledger.withColumn("sent_at", times.instant("sent_at"))
         .withWatermark("sent_at", late)
         .groupBy(F.window("sent_at", "1 day").alias("day"))
         .agg(F.count("*").alias("n_sent"))
-        .select(F.to_date("day.start").alias("sent_date"), "n_sent")
+        .select(times.utc_date("day.start").alias("sent_date"), "n_sent")
     )
 
 

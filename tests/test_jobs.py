@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 from quillcast import schemas
 from quillcast.plans.digest import run_digest
 from quillcast.sources import tables
