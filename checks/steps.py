@@ -96,7 +96,7 @@ def links(pages: str, *keys: str) -> str:
 def crawled(links: str) -> str:
     """Articles of a link table: valid, first of each URL, then the first ten per source."""
     return f"""
-        SELECT source_id, page_id * 1048576 + pos AS position, {trim('title')} AS title, url,
+        SELECT source_id, n - 1 AS position, {trim('title')} AS title, url,
                '' AS summary, CAST(NULL AS TIMESTAMP) AS published_at, sha256(url) AS url_hash
         FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_id, pos) AS n
               FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY page_id, pos) AS k

@@ -65,6 +65,9 @@ PLAIN_FOOTER = "🤖 /help for controls"
 HEADLINES_INTRO = "⚠️ Summarisation failed, here are raw headlines:"
 LINKED_INTRO = "⚠️ *Summarisation unavailable — raw headlines:*"
 TRENDING_TITLE = "⭐ *Trending AI/ML GitHub Repos* — this week"
+FIGURES = "%d articles from %d sources"
+SOURCE_LINE = "%s #%d %s [%s]"
+STATUS = "*📊 Bot Status*\n\nActive sources: %d\nArticles sent today: %d"
 NOTHING_FETCHED = "✅ No articles fetched from any source."
 NOTHING_NEW = "✅ No new articles since last digest."
 NO_REPOS = "❌ No trending repos found."

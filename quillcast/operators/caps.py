@@ -15,9 +15,13 @@ from quillcast import fixed
 from quillcast.operators.skew import join_one
 
 
-def first_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+def first_per_group(
+    df: DataFrame, group: list[str], order: list, n: int, rank: str | None = None
+) -> DataFrame:
+    """First ``n`` rows of each group; ``rank`` names a column for their place from 1."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    first = df.withColumn(rank or "_rank", place).where(F.col(rank or "_rank") <= n)
+    return first if rank else first.drop("_rank")
 
 
 def feed_cap(entries: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
@@ -30,9 +34,9 @@ def first_link(links: DataFrame) -> DataFrame:
     return first_per_group(links, ["source_id", "url"], ["page_id", "pos"], 1)
 
 
-def crawl_cap(links: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
+def crawl_cap(links: DataFrame, n: int = fixed.FEED_CAP, rank: str | None = None) -> DataFrame:
     """First ``n`` links of each source; apply it to valid and distinct links."""
-    return first_per_group(links, ["source_id"], ["page_id", "pos"], n)
+    return first_per_group(links, ["source_id"], ["page_id", "pos"], n, rank)
 
 
 def digest_cap(articles: DataFrame, n: int = fixed.DIGEST_CAP) -> DataFrame:

@@ -123,7 +123,7 @@ def digest_header(new: DataFrame, sources: DataFrame, asof: datetime) -> DataFra
     """Header of each digest: all its new articles, and the active sources asked for it."""
     counts = new.groupBy("digest_id").agg(F.count("*").alias("n_articles"))
     asked = sources.where("active").groupBy("digest_id").agg(F.count("*").alias("n_sources"))
-    figures = F.format_string("%d articles from %d sources", "n_articles", "n_sources")
+    figures = F.format_string(fixed.FIGURES, "n_articles", "n_sources")
     header = F.concat(
         F.lit(f"{fixed.DIGEST_TITLE}\n_"),
         escape_markup(long_date(F.lit(asof.date()))),

@@ -73,15 +73,13 @@ def crawl_articles(links: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
     """Links (source_id, page_id, pos, title, url) to articles.
 
     Invalid and repeated links are dropped before the cap, so a source gives
-    ``n`` articles where it has that many.
+    ``n`` articles where it has that many. Their position is their place among
+    the links kept.
     """
     valid = links.withColumn("url", trim_blank("url")).where(has_scheme_host("url"))
-    kept = crawl_cap(first_link(valid), n)
-    # Page and place in one number, so order needs no further column.
-    position = F.col("page_id") * F.lit(1 << 20) + F.col("pos")
-    return kept.select(
+    return crawl_cap(first_link(valid), n, "place").select(
         "source_id",
-        position.cast("bigint").alias("position"),
+        (F.col("place") - 1).cast("bigint").alias("position"),
         trim_blank("title").alias("title"),
         "url",
         F.lit("").alias("summary"),

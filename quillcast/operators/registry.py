@@ -33,7 +33,7 @@ def all_sources(registry: DataFrame) -> DataFrame:
 def registry_lines(registry: DataFrame) -> DataFrame:
     """One display line per source, active or not."""
     mark = F.when(F.col("active"), "✅").otherwise("❌")
-    line = F.format_string("%s #%d %s [%s]", mark, "source_id", "name", "type")
+    line = F.format_string(fixed.SOURCE_LINE, mark, "source_id", "name", "type")
     return registry.select("source_id", escape_markup(line).alias("line"))
 
 

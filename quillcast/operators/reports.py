@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillcast import fixed
 from quillcast.functions import times
 
 
@@ -52,9 +53,5 @@ def status_report(
 
 def status_text(report: DataFrame) -> DataFrame:
     """The status report as a message."""
-    text = F.format_string(
-        "*📊 Bot Status*\n\nActive sources: %d\nArticles sent today: %d",
-        "active_sources",
-        "sent_today",
-    )
+    text = F.format_string(fixed.STATUS, "active_sources", "sent_today")
     return report.select(text.alias("message"))
