@@ -911,7 +911,7 @@ def _folder(t: Inputs) -> str:
 def _stream(t: Inputs, name: str) -> DataFrame:
     # The pattern also matches a table that is a folder.
     path = f"{t.sf_dir}/{name}.parque[t]"
-    return streams.landed(t.spark, path, table(t.spark, t.sf_dir, name).schema.simpleString()[7:-1].replace(":", " "))
+    return streams.landed(t.spark, path, table(t.spark, t.sf_dir, name).schema)
 
 
 @query(SENT_PER_DAY.format("ts", "events"))

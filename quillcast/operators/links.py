@@ -17,7 +17,11 @@ REPO_BEFORE_SPAN = (
     r'href="/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)"[^>]*>\s*\n\s*<span[^>]*>[^<]*</span>'
 )
 
-_ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+# An anchor that is closed before the next one starts; the reference is quoted.
+_ANCHOR = (
+    r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*')[^>]*>"""
+    r"((?:[^<]++|<(?!/?a[\s>]))*+)</a\s*>"
+)
 
 
 def _pairs(body: Column, pattern: str) -> Column:
@@ -63,7 +67,8 @@ def page_links(pages: DataFrame, *keys: str, body: str = "html", base: str = "ur
         *keys, F.col(base).alias("_base"), F.posexplode(_pairs(F.col(body), _ANCHOR)).alias("pos", "link")
     )
     text = plain_text("link.second")
-    href = trim_blank("link.first")
+    quoted = F.col("link.first")
+    href = trim_blank(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
     return anchors.select(
         *keys, "pos", text.alias("title"), resolve_url(href, "_base").alias("url")
     ).where("title <> ''")

@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quillcast import fixed, schemas
 from quillcast.functions import times
@@ -23,7 +24,9 @@ from quillcast.sources.feeds import parse_feeds
 STREAM_LEDGER = schemas.LEDGER + ", batch_id bigint"
 
 
-def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def landed(
+    spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000
+) -> DataFrame:
     """Stream of the rows of Parquet files as they land in a folder."""
     return (
         spark.readStream.schema(schema)

@@ -47,6 +47,27 @@ def test_markdown_links_and_articles(spark):
     assert [(r.pos, r.title) for r in top.collect()] == [(0, "A"), (1, "B")]
 
 
+def test_page_links(spark):
+    html = (
+        """<a href="/a">A <b>b</b></a><a href='it"s'>B</a><A class="x" HREF = "?q">C</A><a name="n">no</a>"""
+        """<a href="/open">open <a href="/d">D</a><a href="/e"> </a><abbr>x</abbr><a href="/f">f"""
+    )
+    df = spark.createDataFrame([(1, "https://x.example/p/q", html)], "page_id int, url string, html string")
+    got = [(r.title, r.url) for r in links.page_links(df, "page_id").orderBy("pos").collect()]
+    assert got == [
+        ("A b", "https://x.example/a"),
+        ("B", 'https://x.example/p/it"s'),
+        ("C", "https://x.example/p/q?q"),
+        ("D", "https://x.example/d"),
+    ]
+
+
+def test_page_with_many_open_anchors_is_read_in_one_pass(spark):
+    html = '<a href="/x">' * 100_000
+    df = spark.createDataFrame([(1, "https://x.example/", html)], "page_id int, url string, html string")
+    assert links.page_links(df, "page_id").count() == 0
+
+
 def test_page_cap_comes_after_dropping_repeats(spark):
     body = "[a](https://x.example/1) " * 5 + "[b](https://x.example/2) [c](https://x.example/3)"
     found = links.markdown_links(link_page(spark, body), "source_id", "page_id")
