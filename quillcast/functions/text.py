@@ -29,8 +29,8 @@ def trim_blank(c: Column | str) -> Column:
 def plain_text(c: Column | str) -> Column:
     """Text without tags, each run of tags and blanks being one space."""
     text = F.regexp_replace(as_col(c), "<[^>]+>", " ")
-    spaced = F.translate(text, BLANKS, " " * len(BLANKS))
-    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
+    # The same characters as BLANKS, in the form that is fastest to match.
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def first_non_empty(*cols: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast import fixed
-from quillcast.operators.skew import join_one
+from quillcast.operators.skew import BROADCAST_ROWS, at_most, join_one
 
 
 def first_per_group(
@@ -29,6 +29,30 @@ def feed_cap(entries: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
     return first_per_group(entries, ["source_id"], ["position"], n)
 
 
+def feed_cap_of(
+    entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP, rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The feed cap for the entries of the given sources; others are dropped.
+
+    Entries are wide, and ranking them would sort and shuffle their texts. The
+    last position within the cap is found from the two numbers alone instead,
+    and entries are compared with it as they are scanned. That needs one row
+    per source on every executor, so with more than ``rows`` sources the
+    entries are ranked after all.
+    """
+    ids = sources.select("source_id")
+    if not at_most(ids, rows):
+        return feed_cap(entries.join(ids, "source_id", "left_semi"), n)
+    last = (
+        feed_cap(entries.select("source_id", "position"), n)
+        .groupBy("source_id")
+        .agg(F.max("position").alias("_last"))
+        .join(F.broadcast(ids), "source_id", "left_semi")
+    )
+    within = entries.join(F.broadcast(last), "source_id").where(F.col("position") <= F.col("_last"))
+    return within.drop("_last")
+
+
 def first_link(links: DataFrame) -> DataFrame:
     """First occurrence of each URL of a source."""
     return first_per_group(links, ["source_id", "url"], ["page_id", "pos"], 1)

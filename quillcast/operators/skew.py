@@ -1,4 +1,4 @@
-"""Salting for joins in which one key may have a large share of the rows.
+"""Joins in which one key may have a large share of the rows.
 
 Run-time skew handling splits a hot key only where both join sides come straight
 from a shuffle. Sides here are often partitioned by an earlier step already, so
@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 256
+# Rows of two numbers each that may be broadcast; a few dozen MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether there are no more rows than that. Counts no further."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def salt(*columns: str) -> Column:

@@ -12,7 +12,7 @@ from quillcast.functions import times
 from quillcast.functions.text import escape_markup
 from quillcast.operators import articles as A
 from quillcast.operators import compose as C
-from quillcast.operators.caps import digest_cap, feed_cap
+from quillcast.operators.caps import digest_cap, feed_cap_of
 from quillcast.operators.links import crawl_articles, top_links
 from quillcast.operators.near_dup import near_dup_keep
 from quillcast.operators.novelty import filter_new_articles, ledger_append, marks_of
@@ -26,15 +26,17 @@ def fetched_articles(
 ) -> DataFrame:
     """Articles of all active sources: entries of feeds and links of crawled pages.
 
-    Caps come before the join with the registry: they are per source, so the
-    result is the same, and no source is left with many rows to join.
+    Caps come before names are added: they are per source, so the result is the
+    same, and no source is left with many rows to join.
     """
     of_kind = lambda df, kind: df.withColumn("type", F.lit(kind))
-    from_feeds = of_kind(A.normalise(feed_cap(entries, n)), "rss")
+    active = sources.where("active")
+    capped = feed_cap_of(entries, A.of_type(active, "rss"), n)
+    from_feeds = of_kind(A.normalise(capped), "rss")
     links = top_links(pages, "source_id", "page_id", n=n)
     from_pages = of_kind(crawl_articles(links, n), "crawl")
     return A.stamp_source(
-        from_feeds.unionByName(from_pages), sources.where("active"), ["source_id", "type"]
+        from_feeds.unionByName(from_pages), active, ["source_id", "type"]
     ).select(*A.ARTICLE_COLUMNS)
 
 

@@ -71,6 +71,22 @@ def test_hot_source_cap(spark):
     assert {(r.source_id, r.position) for r in got} == {(s, p) for s, ps in want.items() for p in ps[:10]}
 
 
+def test_both_ways_of_the_feed_cap(spark):
+    """Compared while scanned or ranked, the hot source among the asked ones or not."""
+    entries = skewed(spark).select(
+        F.col("g").alias("source_id"), (F.col("v") % 1_000_003 * 31_000 + F.col("id")).alias("position"),
+        F.repeat(F.lit("x"), 100).alias("summary"),
+    )
+    for ids in ([0, 1, 2, 3, 999], [5, 6], []):
+        sources = spark.createDataFrame([(i,) for i in ids], "source_id bigint")
+        scanned, ranked = caps.feed_cap_of(entries, sources, 10), caps.feed_cap_of(entries, sources, 10, rows=0)
+        assert "summary" not in "".join(re.findall(r"Exchange[^\n]*", plan(scanned)))
+        got = sorted((r.source_id, r.position) for r in scanned.collect())
+        assert got == sorted((r.source_id, r.position) for r in ranked.collect())
+        # Other multiples of three went to group 0.
+        assert len(got) == 10 * len([i for i in ids if i == 0 or (i < 300 and i % 3)])
+
+
 def largest_share(df):
     """Largest share of the rows that one task has."""
     sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
