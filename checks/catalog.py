@@ -256,6 +256,13 @@ def settings_latest(t):
     return G.settings_latest(log)
 
 
+@query(sql("SELECT DISTINCT page_no FROM fx_listing WHERE page_no % 5 <> 0", "fx_listing"))
+def listing_scan(t):
+    """Listing responses; every 5th failed."""
+    status = F.when(F.col("page_no") % 5 == 0, 503).otherwise(200)
+    return pages.fetched_only(t.listing().withColumn("status", status)).select("page_no")
+
+
 REPO_COLUMNS = "full_name, description, stargazers_count, language, html_url, topic_list AS topics"
 
 
@@ -791,17 +798,40 @@ def top_links(t):
     return L.top_links(t.fx_markdown, "source_id", "page_id", n=2)
 
 
-@query(
-    f"""SELECT page_id, pos, title, concat(regexp_extract(url, '^https?://[^/?#]+', 0), href) AS url FROM (
-            SELECT page_id, url, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 AS pos,
-                   unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
-                   {trim("unnest(regexp_extract_all(html, '<a href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + ">([^<]*)</a>', 2))")} AS title
-            FROM pages) WHERE title <> ''"""
-)
+ANCHOR_SQL = '<a href="([^"]*)">([^<]*)</a>'
+
+
+def page_links_sql(*keys: str) -> str:
+    return f"""
+        SELECT {', '.join(keys)}, pos, title, concat(regexp_extract(url, '^https?://[^/?#]+', 0), href) AS url
+        FROM (SELECT {', '.join(keys)}, url,
+                     generate_subscripts(regexp_extract_all(html, '{ANCHOR_SQL}', 1), 1) - 1 AS pos,
+                     unnest(regexp_extract_all(html, '{ANCHOR_SQL}', 1)) AS href,
+                     {trim(f"unnest(regexp_extract_all(html, '{ANCHOR_SQL}', 2))")} AS title
+              FROM fx_html) WHERE title <> ''"""
+
+
+@query(sql(page_links_sql("page_id"), ("fx_html", "SELECT * FROM pages")))
 def page_links(t):
     return L.page_links(t.pages, "page_id")
 
 
+@query(
+    sql(
+        "SELECT source_id, position, title, url, url_hash FROM o_crawled",
+        "fx_markdown",
+        ("fx_html", "SELECT p.*, m.source_id FROM pages p JOIN fx_markdown m USING (page_id)"),
+        ("o_html_links", page_links_sql("source_id", "page_id")),
+        ("o_crawled", S.crawled("o_html_links")),
+    )
+)
+def crawl_html(t):
+    """Articles of the anchors of HTML pages."""
+    sources = t.fx_markdown.select("page_id", "source_id")
+    links = L.page_links(t.pages.join(sources, "page_id"), "source_id", "page_id")
+    return L.crawl_articles(links).select("source_id", "position", "title", "url", "url_hash")
+
+
 @query(
     sql(
         "SELECT page_no, row_number() OVER (PARTITION BY page_no ORDER BY p) - 1 AS pos, repo_path "

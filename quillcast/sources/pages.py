@@ -20,4 +20,9 @@ def with_content(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Repository listing pages that were fetched without error."""
-    return spark.read.schema(schemas.LISTING).json(path).where("status = 200").drop("status")
+    return fetched_only(spark.read.schema(schemas.LISTING).json(path))
+
+
+def fetched_only(responses: DataFrame) -> DataFrame:
+    """Drop the responses that are errors."""
+    return responses.where("status = 200").drop("status")
