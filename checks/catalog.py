@@ -998,6 +998,20 @@ def add_sources(t):
     return G.add_sources(t.fx_add_lines, t.fx_sources)
 
 
+@query(
+    sql(
+        """SELECT seq, CASE WHEN url IS NULL THEN 'usage' WHEN NOT is_web THEN 'invalid'
+                           WHEN place = 1 AND url NOT IN (SELECT url FROM fx_sources) THEN 'added'
+                           ELSE 'duplicate' END AS outcome
+           FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS place,
+                        regexp_matches(url, '^https?://[^/?#]') AS is_web FROM o_registrations)""",
+        "fx_sources", "fx_add_lines", REGISTRATIONS,
+    )
+)
+def registration_results(t):
+    return G.registration_results(t.fx_add_lines, t.fx_sources).select("seq", "outcome")
+
+
 LAST_SWITCH = (
     "o_last",
     """SELECT source_id, action FROM (SELECT *, row_number() OVER (

@@ -83,23 +83,42 @@ def dense_number(df: DataFrame, order: str, name: str, block: int = 1_000_000) -
     )
 
 
+def _added(lines: DataFrame, registry: DataFrame) -> DataFrame:
+    """The lines that add a source, with its new id."""
+    valid = parse_registrations(lines).where(F.col("url").isNotNull() & is_web_url("url"))
+    fresh = first_per_group(valid, ["url"], ["seq"], 1).join(
+        registry.select("url"), "url", "left_anti"
+    )
+    top = registry.agg(F.coalesce(F.max("source_id"), F.lit(0))).scalar()
+    return dense_number(fresh, "seq", "_n").withColumn(
+        "source_id", (top + F.col("_n")).cast("bigint")
+    )
+
+
 def add_sources(lines: DataFrame, registry: DataFrame) -> DataFrame:
     """Sources the registration lines add, with new ids in line order.
 
     The first line with a URL wins, and a URL the registry holds is not added
     again nor made active.
     """
-    valid = parse_registrations(lines).where(F.col("url").isNotNull() & is_web_url("url"))
-    fresh = first_per_group(valid, ["url"], ["seq"], 1).join(
-        registry.select("url"), "url", "left_anti"
+    return _added(lines, registry).select(
+        "source_id", "name", "url", "type", F.lit(True).alias("active")
     )
-    top = registry.agg(F.coalesce(F.max("source_id"), F.lit(0))).scalar()
-    return dense_number(fresh, "seq", "_n").select(
-        (top + F.col("_n")).cast("bigint").alias("source_id"),
-        "name",
-        "url",
-        "type",
-        F.lit(True).alias("active"),
+
+
+def registration_results(lines: DataFrame, registry: DataFrame) -> DataFrame:
+    """What comes of each registration line: its outcome, and the id of an added source."""
+    ids = _added(lines, registry).select("seq", "source_id")
+    outcome = (
+        F.when(F.col("url").isNull(), "usage")
+        .when(~is_web_url("url"), "invalid")
+        .when(F.col("source_id").isNull(), "duplicate")
+        .otherwise("added")
+    )
+    return (
+        parse_registrations(lines)
+        .join(ids, "seq", "left")
+        .select("seq", outcome.alias("outcome"), "source_id")
     )
 
 

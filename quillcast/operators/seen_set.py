@@ -88,7 +88,7 @@ def keys_live_each(
     """Keys live at ``asof`` if every key had a time limit of its own."""
     at = times.at(asof)
     return (
-        marks.where((F.col("marked_at") <= at) & (F.col("marked_at") + _interval(ttl) > at))
+        marks.where((F.col("marked_at") <= at) & (F.col("marked_at") > at - _interval(ttl)))
         .select(key)
         .distinct()
     )

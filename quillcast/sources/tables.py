@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,17 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A kept table, empty before its first write."""
-    if _exists(spark, path):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], StructType.fromDDL(schema))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], StructType.fromDDL(schema))
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:

@@ -200,6 +200,10 @@ def test_add_sources(spark):
     got = registry.add_sources(df, have).orderBy("source_id").collect()
     assert [(r.source_id, r.name, r.type) for r in got] == [(5, "N", "rss"), (6, "M", "crawl")]
     assert registry.add_sources(df, have.limit(0)).agg(F.min("source_id")).first()[0] == 1
+    results = registry.registration_results(df.unionByName(df.limit(1).selectExpr("seq - 1 AS seq", "'x' AS line")), have)
+    assert [(r.outcome, r.source_id) for r in results.orderBy("seq").collect()] == [
+        ("usage", None), ("added", 5), ("duplicate", None), ("duplicate", None), ("invalid", None), ("added", 6)
+    ]
 
 
 def test_last_switch_counts(spark):
