@@ -10,7 +10,7 @@ from quillcast.functions.text import first_non_empty
 # One entry of a feed. Text between CDATA marks may hold any tag.
 _ENTRY = (
     r"(?s)<(item|entry)(?=[\s>])"
-    r"(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/\1>|!\[CDATA\[))*+</\1>"
+    r"(?:[^<]++|<!\[CDATA\[(?:[^\]]++|\](?!\]>))*+\]\]>|<(?!/\1>|!\[CDATA\[))*+</\1>"
 )
 
 # Both feed dialects in one schema; a missing element reads as null.

@@ -68,8 +68,10 @@ def test_permalink_id_is_the_link_of_last_resort(spark):
 
 
 def test_text_between_cdata_marks_may_hold_an_end_tag(spark):
-    body = "<rss><item><link>https://x.example/1</link><description><![CDATA[a </item> b]]></description></item></rss>"
-    assert [r.description for r in parsed(spark, body).collect()] == ["a </item> b"]
+    body = "<rss><item><link>https://x.example/1</link><description><![CDATA[{}]]></description></item></rss>"
+    texts = ["a </item> b", "a[1]] > ]b]", "]", ""]
+    rows = parsed(spark, *(body.format(t) for t in texts)).orderBy("source_id").collect()
+    assert [r.description for r in rows] == texts
 
 
 def test_title_default_only_when_absent(spark):
