@@ -63,11 +63,3 @@ def route_by_type(sources: DataFrame) -> DataFrame:
         "route",
         F.when(F.col("type") == "rss", "feed").when(F.col("type") == "crawl", "page").otherwise("skip"),
     )
-
-
-def union_articles(*parts: DataFrame) -> DataFrame:
-    """All articles of a run. Copies of one URL stay, as nothing removes them within a run."""
-    whole = parts[0].select(*ARTICLE_COLUMNS)
-    for part in parts[1:]:
-        whole = whole.unionByName(part.select(*ARTICLE_COLUMNS))
-    return whole
