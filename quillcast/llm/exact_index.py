@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import BLANKS
+from quillcast.llm.common import BLANKS, scratch, staged
 
 ENTRY = "text_sha256 string, keep_id bigint, keep_chars bigint, n bigint, run string"
 
@@ -97,8 +97,8 @@ class DigestIndex:
 def lookup(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Every row with the row of its text that stays.
 
-    The index is read as a plain table here: with both sides straight from a shuffle Spark
-    splits the partition of a digest that has very many rows.
+    ``index`` should be a plain table: with both sides straight from a shuffle Spark splits
+    the partition of a digest that has very many rows.
     """
     return rows.join(index, "text_sha256").select(
         "doc_id",
@@ -114,6 +114,4 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str, run: str = "f
     index = DigestIndex(spark, folder)
     rows = digests(docs)
     index.add(rows, run)
-    kept = spark.read.schema(ENTRY).parquet(folder)
-    kept = kept.select("text_sha256", F.col("keep_id").alias("doc_id"), F.col("keep_chars").alias("chars"), "n")
-    return lookup(rows, unpacked(kept.groupBy("text_sha256").agg(*best())))
+    return lookup(rows, staged(index.read(), scratch(spark), "folded"))

@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from quillcast.llm import bpe_heap, bpe_rounds, exact_index, token_files, warc
-from quillcast.llm.common import scratch, table
+from pyspark.sql import functions as F
+
+from quillcast.llm import (
+    bpe_heap,
+    bpe_rounds,
+    exact_index,
+    line_chunks,
+    quality_pairs,
+    spaced_seeds,
+    token_files,
+    toxic_pu,
+    warc,
+)
+from quillcast.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +94,65 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe_rounds.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    model = quality_pairs.train(docs, table(spark, sf_dir, "labels"), ~held_out, lands_at=0.3)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return quality_pairs.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items."""
+    found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "agreeing")
+
+
+# The same answer from any five words in a row: two exchanged words in fifteen leave as many.
+ORACLES["op4_spaced_seeds"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+bw AS (SELECT item_id, least(len(w), 15) AS size, unnest(w) AS word, unnest(range(len(w))) AS p FROM b WHERE len(w) >= 11),
+d5 AS (SELECT doc_id, p, [word, lead(word, 1) OVER v, lead(word, 2) OVER v, lead(word, 3) OVER v, lead(word, 4) OVER v] AS g
+  FROM dw WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+b5 AS (SELECT item_id, p, [word, lead(word, 1) OVER v, lead(word, 2) OVER v, lead(word, 3) OVER v, lead(word, 4) OVER v] AS g
+  FROM bw WINDOW v AS (PARTITION BY item_id ORDER BY p)),
+lines AS (SELECT DISTINCT doc_id, item_id, d5.p - b5.p AS shift FROM d5 JOIN b5 USING (g) WHERE g[5] IS NOT NULL),
+met AS (
+  SELECT l.*, bw.p, size, (dw.word = bw.word)::INT AS same,
+  FROM lines l JOIN bw USING (item_id) JOIN dw ON dw.doc_id = l.doc_id AND dw.p = bw.p + shift
+), windows AS (
+  SELECT doc_id, item_id, p, shift, size, sum(same) OVER v AS agreeing, count(*) OVER v AS n
+  FROM met WINDOW v AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)
+)
+SELECT doc_id, item_id, max(agreeing)::INT AS agreeing FROM windows
+WHERE n >= size AND agreeing >= size - CASE WHEN size < 15 THEN 0 ELSE 2 END
+GROUP BY ALL
+"""
+
+
+@query
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages, with the numbers of the chunks that went."""
+    found = line_chunks.line_dedup(spark, table(spark, sf_dir, "documents"), scratch(spark))
+    return found.select("doc_id", F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), "_removed", "text")
+
+
+@query
+def op10_toxic_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; a third of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    model = toxic_pu.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return toxic_pu.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
