@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from quillcast.llm import (
     quality_pairs,
     spaced_seeds,
     token_files,
+    token_groups,
     toxic_pu,
     warc,
 )
@@ -156,3 +158,10 @@ def op10_toxic_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxic_pu.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
     return toxic_pu.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under three-word shingles and a similarity of 0.9."""
+    docs = table(spark, sf_dir, "documents")
+    return token_groups.near_duplicates(spark, docs, scratch(spark), k=3, ratio=Fraction(9, 10))

@@ -8,7 +8,7 @@ way. The prior is the share of toxic rows among usable labels.
 
 At most ``TOXIC`` toxic and ``UNLABELLED`` other texts are fitted, those with the smallest
 hash of the id; all documents are scored over their whole texts. Words are runs of
-letters in lower case and their beginnings, each counted once a text. Only words that toxic texts have more
+letters in lower case, each counted once a text. Only words that toxic texts have more
 often than unlabelled ones, by ``TELLING`` standard deviations, get a weight.
 Unlabelled texts are drawn from all documents, whatever their labels.
 
@@ -32,17 +32,11 @@ from pyspark.sql import functions as F
 TOXIC = 4_000
 UNLABELLED = 12_000
 TELLING = 5.0
-BEGINNINGS = (5, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct words, and beginnings of longer ones, which end in a dash."""
-    words = set(LETTERS.findall(text.lower()))
-    found = set(words)
-    for n in BEGINNINGS:
-        found.update([w[:n] + "-" for w in words if len(w) > n])
-    return found
+    return set(LETTERS.findall(text.lower()))
 
 
 class WordModel:
