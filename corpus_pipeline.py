@@ -33,8 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    found = spaced_seeds.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return spaced_seeds.clean_documents(docs, staged(found, scratch(spark), "leaks"))
+    folder = scratch(spark)
+    found = spaced_seeds.leaks(docs, table(spark, sf_dir, "benchmark"), folder)
+    return spaced_seeds.clean_documents(docs, staged(found, folder, "leaks"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def op3_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of benchmark items."""
-    found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch(spark))
     return found.select("doc_id", "item_id", "agreeing")
 
 

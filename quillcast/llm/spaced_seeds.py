@@ -2,12 +2,12 @@
 
 A mask names the words of a span that count; the others may be anything. Every span of
 every document is hashed under each mask and met with those of the benchmark. Around a
-hit the words of both are compared in place: an item leaks where ``WINDOW`` words in a row
+hit the words of both are compared: an item leaks where ``WINDOW`` words in a row
 agree but for ``EXCHANGED`` of them. Any two exchanged words in such a window leave at
 least one mask untouched, so the masks miss none. Items shorter than the window must
 stand there whole and without exchange.
 
-All is DataFrame operations over arrays of word hashes; only hits leave a row's task.
+All is DataFrame operations over arrays of word hashes; only hits leave a task.
 Benchmark hashes are broadcast in blocks of at most about ``BLOCK`` rows, a few dozen MB; a
 larger benchmark takes several passes over the documents.
 
@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillcast.llm.common import staged
+
 MASKS = ((0, 1, 2, 3, 5, 8, 9, 10), (0, 2, 3, 4, 6, 7, 8, 10), (0, 1, 4, 5, 6, 7, 9, 10))
 SPAN = 11
 WINDOW = 15
@@ -36,15 +38,20 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, words: str) -> DataFrame:
-    """A row for each place and mask of each row that has room for a span."""
-    starts = F.sequence(F.lit(0), F.size(words) - SPAN)
+def seeds(rows: DataFrame, words: Column, *kept: str) -> DataFrame:
+    """``kept``, place and seed: a row for each place and mask of each row with room for a span.
+
+    Rows carry no texts, however many places a text has. The outer form keeps Spark from
+    testing for empty arrays below, which would hash every text twice; rows without a place
+    have no seed and meet nothing.
+    """
     hashes = F.transform(
-        starts,
+        F.sequence(F.lit(0), F.size(words) - SPAN),
         lambda i: F.array(*[F.xxhash64(F.lit(m), *[F.get(words, i + o) for o in mask]) for m, mask in enumerate(MASKS)]),
     )
-    placed = rows.where(F.size(words) >= SPAN).select("*", F.posexplode(hashes).alias("at", "_seeds"))
-    return placed.select("*", F.explode("_seeds").alias("seed")).drop("_seeds")
+    flat = F.when(F.size(words) >= SPAN, F.flatten(hashes))
+    placed = rows.select(*kept, F.posexplode_outer(flat).alias("at", "seed"))
+    return placed.withColumn("at", F.floor(F.col("at") / len(MASKS)).cast("int"))
 
 
 def context(at: Column) -> Column:
@@ -56,7 +63,8 @@ def item_seeds(items: DataFrame) -> DataFrame:
     """Seeds of items with the few words around each, so that a row has a bounded size."""
     near = F.slice("item_words", context(F.col("at")) + 1, F.lit(2 * WINDOW - SPAN))
     size = F.size("item_words").alias("item_size")
-    return seeds(items, "item_words").select("seed", "item_id", F.col("at").alias("item_at"), size, near.alias("near"))
+    placed = seeds(items, F.col("item_words"), "item_id", "item_words")
+    return placed.select("seed", "item_id", F.col("at").alias("item_at"), size, near.alias("near"))
 
 
 def verified(hits: DataFrame) -> DataFrame:
@@ -89,20 +97,27 @@ def verified(hits: DataFrame) -> DataFrame:
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, item_id``, the first word of the document that a hit covers, and the most words in agreement."""
+def leaks(docs: DataFrame, benchmark: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
+    """``doc_id, item_id``, the first word of the document that a hit covers, and the most words in agreement.
+
+    Hits are written to ``folder`` first. Then only documents with hits are cut into words
+    again to be compared; few enough hits are broadcast for that, by their count.
+    """
     items = benchmark.select("item_id", word_hashes("text").alias("item_words"))
     items = items.where(F.size("item_words") >= SPAN)
     rows = items.agg(F.sum((F.size("item_words") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, math.ceil(rows / block))
-    texts = seeds(docs.select("doc_id", word_hashes("text").alias("words")), "words")
+    texts = docs.select("doc_id", word_hashes("text").alias("words"))
 
     def of_block(k: int) -> DataFrame:
         some = items.where(F.pmod(F.xxhash64("item_words"), F.lit(blocks)) == k)
-        return verified(texts.join(F.broadcast(item_seeds(some)), "seed"))
+        return seeds(texts, F.col("words"), "doc_id").join(F.broadcast(item_seeds(some)), "seed").drop("seed")
 
-    hits = reduce(DataFrame.unionByName, [of_block(k) for k in range(blocks)])
-    return hits.groupBy("doc_id", "item_id").agg(F.min("at").alias("at"), F.max("agreeing").alias("agreeing"))
+    hits = staged(reduce(DataFrame.unionByName, [of_block(k) for k in range(blocks)]), folder, "hits")
+    hits = hits.withColumnRenamed("doc_id", "hit_id")
+    few = F.broadcast(hits) if hits.count() <= block else hits
+    met = texts.join(few, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    return verified(met).groupBy("doc_id", "item_id").agg(F.min("at").alias("at"), F.max("agreeing").alias("agreeing"))
 
 
 def clean_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
