@@ -1,8 +1,8 @@
 """Near duplicates by exact Jaccard similarity of shingle sets, through a token-group matrix.
 
 Equal sets are one class first. Classes fall into groups of similar sets: those with a pair
-of smallest hashes in common are compared with one of them, and what is similar enough is a
-group. What is left are links between groups. The matrix holds for each group the union of
+of smallest hashes in common are compared with one of them, the one with the fewest tokens of its own, and what is similar
+enough is a group. What is left are links between groups. The matrix holds for each group the union of
 its members' tokens, as far as they matter: with tokens in a fixed order, rare ones first,
 two sets over the threshold share ``SHARED`` tokens of their first few. For each group and
 token it keeps how many tokens a member has from there on, and the range of sizes, so the
@@ -38,7 +38,8 @@ from quillcast.llm.components import components
 
 BANDS = 4
 SHARED = 3
-COUNTED = 1 << 18  # words of a larger share than 1 / COUNTED are counted, so no more than that
+COUNTED = 1 << 22  # words of a larger share than 1 / COUNTED are counted, so no more than that
+FEW = 1_000_000  # rows of an id and a digest that may be broadcast, some 50 MB
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(2 * BANDS)], np.uint64)
 
 
@@ -119,24 +120,33 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Nodes with their sets, of the documents that stand for ``wanted`` (``doc_id, node``)."""
+    """Nodes with their sets and partners, of the documents that stand for ``wanted``.
+
+    ``wanted`` (``doc_id, node, partners``) is broadcast where it is counted to be small; else
+    the texts are shuffled.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets.sets(batch.column(0).to_pylist(), k)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
             same = [d == w for d, w in zip(digests, batch.column(1).to_pylist())]
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["node", "tokens"])
+            columns = [batch.column(1), pa.array(found, pa.binary()), batch.column(2)]
+            out = pa.RecordBatch.from_arrays(columns, ["node", "tokens", "partners"])
             yield out.filter(pa.array(same, pa.bool_()))
 
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node").mapInArrow(
-        made, "node binary, tokens binary"
-    ).dropDuplicates(["node"])
+    few = wanted.count() <= FEW
+    rows = texts.join(F.broadcast(wanted) if few else wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]))
+    schema = "node binary, tokens binary, partners array<binary>"
+    return rows.select("text", "node", "partners").mapInArrow(made, schema)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, ratio: Fraction) -> DataFrame:
-    """The pairs (``a, b``) whose sets are as similar as ``ratio``."""
+def similar(sets: DataFrame, ratio: Fraction) -> DataFrame:
+    """The pairs (``a, b``) of sets and their partners that are as similar as ``ratio``.
+
+    Only partners' sets and one copy of the others for each partner are shuffled.
+    """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +157,9 @@ def similar(pairs: DataFrame, sets: DataFrame, ratio: Fraction) -> DataFrame:
                 keep.append(ratio.denominator * shared >= ratio.numerator * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    of_b = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    ends = sets.select(F.explode("partners").alias("node")).distinct()
+    of_b = sets.select("node", "tokens").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    rows = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.explode("partners").alias("b"))
     rows = rows.join(of_b.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(compared, "a binary, b binary")
 
@@ -167,9 +178,16 @@ def across(member: DataFrame, group: DataFrame, ratio: Fraction) -> DataFrame:
         & (F.col("low") * ratio.numerator <= n * ratio.denominator)
         & (F.col("high") * ratio.denominator >= n * ratio.numerator)
         & (F.least("rest", "most") >= must - SHARED + 1)
+        & (F.least("common", "at_most") >= must)
     )
 
 
+def in_several(tokens: DataFrame, of: str) -> DataFrame:
+    """The rows whose token stands in more than one ``of``."""
+    several = tokens.groupBy("token").agg(F.min(of).alias("g"), F.max(of).alias("h")).where("g != h")
+    return tokens.join(several.select("token"), "token", "left_semi")
+
+
 def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Fraction) -> tuple[DataFrame, DataFrame]:
     """Rows with their classes (``doc_id, n, node``), and components of similar classes."""
     table = common_words(docs)
@@ -177,26 +195,42 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     classes = signed_rows.where("keys IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
-    keys = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    pivots = keys.groupBy("band", "key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b != top")
-    pairs = keys.join(pivots, ["band", "key"]).where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    # the beginning of each class's set, a row per token; hashes of nodes stand for them
+    first = staged(classes.select("doc_id", "node"), folder, "first")
+    rows = signed_rows.select("doc_id", "node", F.col("n").cast("int").alias("n"), "tokens")
+    same = rows["node"].eqNullSafe(first["node"]) & rows["doc_id"].eqNullSafe(first["doc_id"])
+    tokens = rows.join(first, same).select(
+        F.xxhash64(rows["node"]).alias("id"), "n", F.posexplode("tokens").alias("at", "token")
+    )
+    tokens = tokens.withColumn("rest", F.col("n") - F.col("at")).drop("at")
+    tokens = staged(in_several(tokens, "id"), folder, "shared")
+    met = tokens.groupBy("id").agg(F.count_distinct("token").alias("met"))
+    classes = classes.withColumn("id", F.xxhash64("node")).join(met, "id", "left")
+    looked_at = F.least(F.col("n"), F.col("n") + F.floor(-F.col("n") * ratio.numerator / ratio.denominator) + SHARED)
+    classes = classes.withColumn("own", looked_at - F.coalesce("met", F.lit(0)))
+    classes = staged(classes.select("id", "node", "n", "keys", "own"), folder, "classes")
+
+    # a group's centre has the fewest tokens that no other set has
+    keys = classes.select("node", "own", F.posexplode("keys").alias("band", "key"))
+    centre = F.min(F.struct("own", "node"))["node"].alias("b")
+    centres = keys.groupBy("band", "key").agg(centre, F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(centres, ["band", "key"]).where("node != b").select(F.col("node").alias("a"), "b").distinct()
     pairs = staged(pairs, folder, "pairs")
     near = compared(docs, signed_rows, pairs, folder, "near", k, ratio)
-    groups = staged(components(near, folder, "groups"), folder, "grouped")
-
-    # the beginning of each class's set, a row per token
-    first = signed_rows.where("keys IS NOT NULL").select("node", "n", "tokens").dropDuplicates(["node"])
-    first = first.join(groups, "node", "left")
-    tokens = first.select(
-        "node",
-        "n",
-        F.xxhash64(F.coalesce("component", "node")).alias("group"),
-        F.posexplode("tokens").alias("at", "token"),
-    ).withColumn("rest", F.col("n") - F.col("at"))
-    shared = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h")
-    tokens = staged(tokens.join(shared.select("token"), "token", "left_semi").drop("at"), folder, "tokens")
+    groups = components(near, folder, "groups")
+
+    group = F.xxhash64(F.coalesce("component", "node")).alias("group")
+    # no set has more in common with a class than the tokens that are not its own
+    most = (F.col("n") - F.col("own")).alias("common")
+    grouped = classes.join(groups, "node", "left").select("id", group, most)
+    tokens = tokens.join(staged(grouped, folder, "grouped"), "id").withColumnRenamed("id", "node")
+    tokens = staged(in_several(tokens, "group"), folder, "tokens")
+    forget(spark, folder, "shared")
     matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(
-        F.max("rest").alias("most"), F.min("n").alias("low"), F.max("n").alias("high")
+        F.max("rest").alias("most"),
+        F.max("common").alias("at_most"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
     )
     opened = across(tokens, matrix, ratio).groupBy("node", "other").count().where(F.col("count") >= SHARED)
     opened = staged(opened.select("node", "other"), folder, "opened")
@@ -205,6 +239,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         "token",
         F.col("group").alias("other"),
         F.col("rest").alias("most"),
+        F.col("common").alias("at_most"),
         F.col("n").alias("low"),
         F.col("n").alias("high"),
     )
@@ -212,19 +247,24 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     askers = askers.join(opened, "node").withColumnRenamed("other", "opens")
     met = across(askers, members, ratio).where("opens = other AND node < b")
     pairs = met.groupBy(F.col("node").alias("a"), "b").count().where(F.col("count") >= SHARED).select("a", "b")
+    names = classes.select(F.col("node").alias("name"), "id")
+    for end in ("a", "b"):
+        pairs = pairs.join(names, F.col(end) == F.col("id")).withColumn(end, F.col("name")).drop("name", "id")
     far = compared(docs, signed_rows, staged(pairs, folder, "far-pairs"), folder, "far", k, ratio)
-    forget(spark, folder, "tokens", "opened", "grouped")
+    forget(spark, folder, "tokens", "opened", "grouped", "first", "classes")
     found = components(staged(near.unionByName(far), folder, "all-links"), folder, "all")
     return signed_rows.select("doc_id", "n", "node"), found
 
 
 def compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, folder: str, name: str, k: int, ratio: Fraction) -> DataFrame:
     """The pairs that are similar; sets are made anew for the documents of pairs alone."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = rows.select("doc_id", "node").join(ends, "node", "left_semi")
-    wanted = staged(wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id")), folder, f"{name}-wanted")
+    ends = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("partners"))
+    alone = pairs.select(F.col("b").alias("node")).distinct().join(ends, "node", "left_anti")
+    ends = ends.unionByName(alone.withColumn("partners", F.expr("cast(array() AS array<binary>)")))
+    ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = staged(ends.join(ids, "node"), folder, f"{name}-wanted")
     sets = staged(sets_of(docs, wanted, k), folder, f"{name}-sets")
-    found = staged(similar(pairs, sets, ratio), folder, name)
+    found = staged(similar(sets, ratio).distinct(), folder, name)
     forget(docs.sparkSession, folder, f"{name}-sets", f"{name}-wanted")
     return found
 
