@@ -77,13 +77,13 @@ def without(text: str, numbers: list[int]) -> str:
     return "\n".join([x for n, (a, b) in enumerate(chunks(text)) if n not in gone for x in lines[a:b]])
 
 
-KEYS = ["_id", "_text"]
+KEYS = ["_quillcast_id", "_quillcast_text"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds the place of a row: its id, also where null, and a hash of its text."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(
-        "_text", F.xxhash64("text")
+    return docs.withColumn("_quillcast_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(
+        "_quillcast_text", F.xxhash64("text")
     )
 
 
@@ -102,7 +102,7 @@ def chunk_hashes(rows: DataFrame) -> DataFrame:
             )
 
     texts = rows.where("text IS NOT NULL").select(*KEYS, "text")
-    return texts.mapInArrow(run, "_id string, _text bigint, number int, hash bigint")
+    return texts.mapInArrow(run, "_quillcast_id string, _quillcast_text bigint, number int, hash bigint")
 
 
 def chunk_texts(rows: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def chunk_texts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *KEYS, "number", "hash", "chunk"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _id string, _text bigint, number int, hash bigint, chunk string"
-    return rows.select("doc_id", *KEYS, "text", "_listed").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, _quillcast_id string, _quillcast_text bigint, number int, hash bigint, chunk string"
+    return rows.select("doc_id", *KEYS, "text", "_quillcast_listed").mapInArrow(run, schema)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -133,19 +133,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     rows = keyed(docs)
     hashes = staged(chunk_hashes(rows), folder, "hashes")
     repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    listed = hashes.join(repeated, "hash", "left_semi").groupBy(*KEYS).agg(F.collect_set("number").alias("_listed"))
+    listed = hashes.join(repeated, "hash", "left_semi").groupBy(*KEYS).agg(F.collect_set("number").alias("_quillcast_listed"))
     marked = staged(rows.join(listed, KEYS, "left"), folder, "marked")
     forget(spark, folder, "hashes")
-    suspects = marked.where("_listed IS NOT NULL")
+    suspects = marked.where("_quillcast_listed IS NOT NULL")
     texts = staged(chunk_texts(suspects.dropDuplicates(KEYS)), folder, "texts")
-    place = F.struct("doc_id", "_text", "number")
+    place = F.struct("doc_id", "_quillcast_text", "number")
     first = texts.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = texts.join(first.drop("n"), ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     gone = staged(gone.groupBy(*KEYS).agg(F.array_sort(F.collect_set("number")).alias("_removed")), folder, "gone")
     forget(spark, folder, "texts")
-    untouched = marked.where("_listed IS NULL").withColumn("_removed", F.lit(None).cast("array<int>"))
+    untouched = marked.where("_quillcast_listed IS NULL").withColumn("_removed", F.lit(None).cast("array<int>"))
     cleaned = cut(suspects.join(gone, KEYS, "left"))
-    done = untouched.unionByName(cleaned).drop("_listed", *KEYS)
+    done = untouched.unionByName(cleaned).drop("_quillcast_listed", *KEYS)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

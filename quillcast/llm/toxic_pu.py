@@ -54,6 +54,7 @@ def fit(codes: np.ndarray, texts: np.ndarray, toxic: np.ndarray, prior: float, w
     ``codes`` and ``texts`` are the word and the text of each entry of the presence matrix.
     """
     n, n_toxic, n_other = len(toxic), toxic.sum(), (~toxic).sum()
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     weights, bias = np.zeros(width), np.log(prior / (1 - prior))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     rate, ridge = 0.1, 1e-6
