@@ -129,7 +129,11 @@ def compress(ids: np.ndarray, rounds: int = 4, least: int = 16) -> tuple[np.ndar
         at = np.minimum(np.searchsorted(found[order], keys), len(found) - 1)
         rank = np.where(found[order][at] == keys, order[at], len(found))
         before, after = np.r_[len(found), rank[:-1]], np.r_[rank[1:], len(found)]
-        chosen = np.flatnonzero((rank < len(found)) & (rank < before) & (rank <= after))
+        # of a pair that overlaps itself every second one, from the left of its run
+        place = np.arange(len(rank))
+        start = np.maximum.accumulate(np.where(rank == before, 0, place))
+        free = (rank[start] < before[start]) & ((place - start) % 2 == 0)
+        chosen = np.flatnonzero((rank < len(found)) & free & (rank <= after))
         pairs = np.stack([found >> np.uint32(16), found & np.uint32(0xFFFF)], 1).astype(np.uint16)
         body[chosen] = FIRST_RULE + len(rules) + rank[chosen]
         stay = np.ones(len(body), bool)

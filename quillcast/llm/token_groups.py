@@ -43,6 +43,11 @@ FEW = 1_000_000  # rows of an id and a digest that may be broadcast, some 50 MB
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(2 * BANDS)], np.uint64)
 
 
+def shared_by(ratio: Fraction) -> int:
+    """Tokens looked for in two beginnings: no more than any two similar sets that differ must share."""
+    return min(SHARED, -(-ratio.numerator // (ratio.denominator - ratio.numerator)))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -102,7 +107,7 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
                     least = np.minimum.reduce(tokens[:, None] * SEEDS ^ (tokens >> np.uint64(32))[:, None])
                     keys.append(signed(shingle_sets.mixed(least[::2] ^ shingle_sets.mixed(least[1::2]))))
                     order = np.argsort(together[start + place], kind="stable")
-                    firsts.append(signed(tokens[order[: n - -(-n * ratio.numerator // ratio.denominator) + SHARED]]))
+                    firsts.append(signed(tokens[order[: n - -(-n * ratio.numerator // ratio.denominator) + shared_by(ratio)]]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -177,7 +182,7 @@ def across(member: DataFrame, group: DataFrame, ratio: Fraction) -> DataFrame:
         (F.col("group") != F.col("other"))
         & (F.col("low") * ratio.numerator <= n * ratio.denominator)
         & (F.col("high") * ratio.denominator >= n * ratio.numerator)
-        & (F.least("rest", "most") >= must - SHARED + 1)
+        & (F.least("rest", "most") >= must - shared_by(ratio) + 1)
         & (F.least("common", "at_most") >= must)
     )
 
@@ -206,7 +211,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     tokens = staged(in_several(tokens, "id"), folder, "shared")
     met = tokens.groupBy("id").agg(F.count_distinct("token").alias("met"))
     classes = classes.withColumn("id", F.xxhash64("node")).join(met, "id", "left")
-    looked_at = F.least(F.col("n"), F.col("n") + F.floor(-F.col("n") * ratio.numerator / ratio.denominator) + SHARED)
+    looked_at = F.least(F.col("n"), F.col("n") + F.floor(-F.col("n") * ratio.numerator / ratio.denominator) + shared_by(ratio))
     classes = classes.withColumn("own", looked_at - F.coalesce("met", F.lit(0)))
     classes = staged(classes.select("id", "node", "n", "keys", "own"), folder, "classes")
 
@@ -232,7 +237,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.min("n").alias("low"),
         F.max("n").alias("high"),
     )
-    opened = across(tokens, matrix, ratio).groupBy("node", "other").count().where(F.col("count") >= SHARED)
+    opened = across(tokens, matrix, ratio).groupBy("node", "other").count().where(F.col("count") >= shared_by(ratio))
     opened = staged(opened.select("node", "other"), folder, "opened")
     members = tokens.select(
         F.col("node").alias("b"),
@@ -246,7 +251,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     askers = tokens.join(opened.select("node").distinct(), "node", "left_semi")
     askers = askers.join(opened, "node").withColumnRenamed("other", "opens")
     met = across(askers, members, ratio).where("opens = other AND node < b")
-    pairs = met.groupBy(F.col("node").alias("a"), "b").count().where(F.col("count") >= SHARED).select("a", "b")
+    pairs = met.groupBy(F.col("node").alias("a"), "b").count().where(F.col("count") >= shared_by(ratio)).select("a", "b")
     names = classes.select(F.col("node").alias("name"), "id")
     for end in ("a", "b"):
         pairs = pairs.join(names, F.col(end) == F.col("id")).withColumn(end, F.col("name")).drop("name", "id")
