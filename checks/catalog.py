@@ -964,7 +964,7 @@ def stream_ttl_dedup(t):
     sql(
         f"""SELECT source_id, position, title, url_hash FROM (
                 SELECT a.source_id, a.position, a.title, a.url_hash FROM ({S.normal('o_cap')}) a
-                JOIN fx_sources s USING (source_id) WHERE s.active)""",
+                JOIN fx_sources s USING (source_id) WHERE s.active AND s.type = 'rss')""",
         "fx_sources", "fx_entries",
         ("o_cap", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY position) AS n
                                     FROM fx_entries) WHERE n <= 10"""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,11 +17,17 @@ _MAIL_DATES = (
     "d MMM yyyy HH:mm:ss xx",
     "d MMM yyyy HH:mm z",
     "d MMM yyyy HH:mm xx",
+    "d MMM yyyy H:mm:ss z",
+    "d MMM yyyy H:mm:ss xx",
+    "d MMM yy H:mm:ss z",
+    "d MMM yy H:mm:ss xx",
 )
 
 
 def at(t: datetime) -> Column:
-    """A point in time in UTC, whatever the zone of the session."""
+    """A point in time in UTC, whatever the zone of the session; without a zone it is UTC."""
+    if t.tzinfo:
+        t = t.astimezone(timezone.utc)
     return F.lit(f"{t:%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz")
 
 
@@ -39,9 +45,12 @@ def published_at(c: Column | str) -> Column:
     """UTC time of a feed date (mail or ISO style), null where it is neither."""
     text = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]+,\s*", "")
     mail = F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in _MAIL_DATES))
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), text.try_cast("timestamp"))
-    local = F.coalesce(mail, iso).cast("timestamp_ntz")
-    return F.convert_timezone(None, F.lit("UTC"), local)
+    zoned = F.when(text.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned.try_cast("timestamp"))
+    # from the instant itself: a local time is told twice when clocks go back
+    seconds = F.unix_micros(F.coalesce(mail, iso)).cast("decimal(20,0)") / F.lit(1_000_000)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
 
 
 def long_date(c: Column | str) -> Column:

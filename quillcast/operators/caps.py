@@ -2,7 +2,8 @@
 
 Each is a ``row_number() <= n`` filter. Spark turns that into a group limit
 before the shuffle, so a map task sends at most ``n`` rows of a group and one
-huge source or digest never reaches a single task.
+huge source or digest never reaches a single task. That holds up to
+``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise it for larger caps.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast import fixed
-from quillcast.operators.skew import BROADCAST_ROWS, at_most, join_one
+from quillcast.operators.skew import join_one
 
 
 def first_per_group(
@@ -25,32 +26,18 @@ def first_per_group(
 
 
 def feed_cap(entries: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
-    """First ``n`` raw entries of each source, counted before any is dropped."""
-    return first_per_group(entries, ["source_id"], ["position"], n)
+    """First ``n`` raw entries of each source, counted before any is dropped.
 
+    Entries of several documents of a source may share a position. The document's number, if
+    there is one, and then the entry itself put them in order, so there are never more than ``n``.
+    """
+    order = [c for c in ("document", "position", "link", "title", "summary", "description") if c in entries.columns]
+    return first_per_group(entries, ["source_id"], order, n)
 
-def feed_cap_of(
-    entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP, rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """The feed cap for the entries of the given sources; others are dropped.
 
-    Entries are wide, and ranking them would sort and shuffle their texts. The
-    last position within the cap is found from the two numbers alone instead,
-    and entries are compared with it as they are scanned. That needs one row
-    per source on every executor, so with more than ``rows`` sources the
-    entries are ranked after all.
-    """
-    ids = sources.select("source_id")
-    if not at_most(ids, rows):
-        return feed_cap(entries.join(ids, "source_id", "left_semi"), n)
-    last = (
-        feed_cap(entries.select("source_id", "position"), n)
-        .groupBy("source_id")
-        .agg(F.max("position").alias("_last"))
-        .join(F.broadcast(ids), "source_id", "left_semi")
-    )
-    within = entries.join(F.broadcast(last), "source_id").where(F.col("position") <= F.col("_last"))
-    return within.drop("_last")
+def feed_cap_of(entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
+    """The feed cap for the entries of the given sources; others are dropped before they are ranked."""
+    return feed_cap(entries.join(sources.select("source_id"), "source_id", "left_semi"), n)
 
 
 def first_link(links: DataFrame) -> DataFrame:
@@ -64,8 +51,12 @@ def crawl_cap(links: DataFrame, n: int = fixed.FEED_CAP, rank: str | None = None
 
 
 def digest_cap(articles: DataFrame, n: int = fixed.DIGEST_CAP) -> DataFrame:
-    """First ``n`` articles of each digest, in order of source and position."""
-    return first_per_group(articles, ["digest_id"], ["source_id", "position"], n)
+    """First ``n`` articles of each digest, in order of source, position and URL."""
+    return first_per_group(articles, ["digest_id"], _places(articles), n)
+
+
+def _places(articles: DataFrame) -> list[str]:
+    return [c for c in ("source_id", "position", "url_hash") if c in articles.columns]
 
 
 def digest_overflow(articles: DataFrame, n: int = fixed.DIGEST_CAP) -> DataFrame:
@@ -74,9 +65,10 @@ def digest_overflow(articles: DataFrame, n: int = fixed.DIGEST_CAP) -> DataFrame
     Ranking a whole digest would take one task. The last shown article of each
     full digest is found under the cap instead, and rows are compared with it.
     """
-    place = F.struct("source_id", "position")
+    places = _places(articles)
+    place = F.struct(*places)
     last_shown = (
-        digest_cap(articles.select("digest_id", "source_id", "position"), n)
+        digest_cap(articles.select("digest_id", *places), n)
         .groupBy("digest_id")
         .agg(F.max(place).alias("_last"), F.count("*").alias("_shown"))
         .where(F.col("_shown") == n)

@@ -12,13 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 256
-# Rows of two numbers each that may be broadcast; a few dozen MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether there are no more rows than that. Counts no further."""
-    return df.limit(rows + 1).count() <= rows
 
 
 def salt(*columns: str) -> Column:

@@ -24,10 +24,16 @@ def repo_candidates(paths: DataFrame, n: int = fixed.LISTING_CAP) -> DataFrame:
 def repo_enrich(candidates: DataFrame, repos: DataFrame) -> DataFrame:
     """Metadata of the candidates; those without any are dropped.
 
-    Paths are compared in lower case, as a lookup by path ignores case.
+    Repositories are found by the path that was asked for, which a renamed one no longer has
+    as its name. Paths are compared in lower case, as a lookup ignores case. Of several
+    responses for a path the latest counts (``landed_at``, if there is one), and of equal
+    ones the one with the most stars.
     """
-    keyed = candidates.withColumn("_key", F.lower("repo_path"))
-    return keyed.join(repos.withColumn("_key", F.lower("full_name")), "_key").drop("_key")
+    asked = "path" if "path" in repos.columns else "full_name"
+    latest = [F.desc("landed_at")] if "landed_at" in repos.columns else []
+    found = repos.withColumn("_key", F.lower(asked)).drop("path")
+    found = first_per_group(found, ["_key"], [*latest, F.desc("stargazers_count"), "full_name", "html_url"], 1)
+    return candidates.withColumn("_key", F.lower("repo_path")).join(found, "_key").drop("_key")
 
 
 def repo_text() -> Column:

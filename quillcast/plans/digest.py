@@ -26,14 +26,16 @@ def fetched_articles(
 ) -> DataFrame:
     """Articles of all active sources: entries of feeds and links of crawled pages.
 
-    Caps come before names are added: they are per source, so the result is the
-    same, and no source is left with many rows to join.
+    Entries and pages of other sources go before they are read or ranked. Caps come
+    before names are added: they are per source, so the result is the same, and no
+    source is left with many rows to join.
     """
     of_kind = lambda df, kind: df.withColumn("type", F.lit(kind))
     active = sources.where("active")
     capped = feed_cap_of(entries, A.of_type(active, "rss"), n)
     from_feeds = of_kind(A.normalise(capped), "rss")
-    links = top_links(pages, "source_id", "page_id", n=n)
+    crawled = A.of_type(active, "crawl").select("source_id")
+    links = top_links(pages.join(crawled, "source_id", "left_semi"), "source_id", "page_id", n=n)
     from_pages = of_kind(crawl_articles(links, n), "crawl")
     return A.stamp_source(
         from_feeds.unionByName(from_pages), active, ["source_id", "type"]

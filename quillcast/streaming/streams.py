@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from quillcast import fixed, schemas
 from quillcast.functions import times
-from quillcast.operators.articles import ARTICLE_COLUMNS, normalise, stamp_source
-from quillcast.operators.caps import feed_cap
+from quillcast.operators.articles import ARTICLE_COLUMNS, normalise, of_type, stamp_source
+from quillcast.operators.caps import feed_cap_of
 from quillcast.operators.novelty import anti_ledger, ledger_append
 from quillcast.sources import tables
 from quillcast.sources.feeds import parse_feeds
@@ -48,6 +48,16 @@ def landed_feeds(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
 
 
+def _batch_time(spark: SparkSession, path: str, sent_at: datetime | None) -> datetime:
+    """When a batch was sent: kept at its first attempt, so that a replay has the same time."""
+    kept = tables.read_table(spark, path, "sent_at timestamp_ntz").first()
+    if kept:
+        return kept.sent_at
+    at = sent_at or datetime.now(timezone.utc)
+    spark.range(1).select(times.at(at).alias("sent_at")).write.mode("overwrite").parquet(path)
+    return at
+
+
 def digest_stream(
     entries: DataFrame,
     sources: DataFrame,
@@ -55,7 +65,7 @@ def digest_stream(
     sent_at: datetime | None = None,
     n: int = fixed.FEED_CAP,
 ) -> StreamingQuery:
-    """Find the new articles of all that landed, and record them.
+    """Find the new articles of all that landed for active feeds, and record them.
 
     Results are folders under ``root``: ``articles`` and ``ledger``, both with
     one part per micro-batch, and the checkpoint that numbers the batches. A
@@ -68,11 +78,12 @@ def digest_stream(
         session = batch.sparkSession
         ledger = tables.read_table(session, f"{root}/ledger", STREAM_LEDGER)
         ledger = ledger.where(F.col("batch_id") < batch_id)
-        found = stamp_source(normalise(feed_cap(batch, n)), sources.where("active"))
+        feeds = of_type(sources.where("active"), "rss")
+        found = stamp_source(normalise(feed_cap_of(batch, feeds, n)), feeds)
         part = f"{root}/articles/batch_id={batch_id}"
         anti_ledger(found, ledger).select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(part)
         new = session.read.schema(schemas.ARTICLES).parquet(part)
-        at = sent_at or datetime.now(timezone.utc)
+        at = _batch_time(session, f"{root}/times/batch_id={batch_id}", sent_at)
         ledger_append(new, ledger, at).write.mode("overwrite").parquet(
             f"{root}/ledger/batch_id={batch_id}"
         )

@@ -151,3 +151,22 @@ def test_small_texts(spark):
     assert values(spark, ["One. Two! Three.", "none"], X.leading_sentences("t")) == ["One. Two!", "none"]
     assert values(spark, [None, "", "a"], X.or_default("t", "d")) == ["d", "d", "a"]
     assert values(spark, ["1234567"], X.thousands(F.col("t").cast("bigint"))) == ["1,234,567"]
+
+
+def test_exact_times(spark, conf):
+    """The hour that clocks tell twice, two-digit years, and times with a zone."""
+    from datetime import timedelta, timezone
+
+    for zone in ("UTC", "America/New_York"):
+        conf("spark.sql.session.timeZone", zone)
+        cases = {
+            "Sun, 03 Nov 2024 06:30:00 GMT": datetime(2024, 11, 3, 6, 30),
+            "Sun, 03 Nov 2024 05:30:00 GMT": datetime(2024, 11, 3, 5, 30),
+            "2024-11-03T06:30:00": datetime(2024, 11, 3, 6, 30),
+            "2024-11-03T01:30:00-05:00": datetime(2024, 11, 3, 6, 30),
+            "Fri, 09 May 25 08:00:00 GMT": datetime(2025, 5, 9, 8),
+            "9 May 2025 8:00:00 EST": datetime(2025, 5, 9, 13),
+        }
+        assert values(spark, list(cases), D.published_at("t")) == list(cases.values())
+    aware = datetime(2025, 5, 9, 8, tzinfo=timezone(timedelta(hours=-4)))
+    assert spark.range(1).select(D.at(aware)).first()[0] == datetime(2025, 5, 9, 12)
