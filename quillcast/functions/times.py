@@ -24,6 +24,19 @@ _MAIL_DATES = (
 )
 
 
+# Zone names of mail dates, which mean one offset all year.
+_MAIL_ZONES = {
+    "EST": "-0500",
+    "EDT": "-0400",
+    "CST": "-0600",
+    "CDT": "-0500",
+    "MST": "-0700",
+    "MDT": "-0600",
+    "PST": "-0800",
+    "PDT": "-0700",
+}
+
+
 def at(t: datetime) -> Column:
     """A point in time in UTC, whatever the zone of the session; without a zone it is UTC."""
     if t.tzinfo:
@@ -44,6 +57,8 @@ def utc_date(c: Column | str) -> Column:
 def published_at(c: Column | str) -> Column:
     """UTC time of a feed date (mail or ISO style), null where it is neither."""
     text = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]+,\s*", "")
+    for name, offset in _MAIL_ZONES.items():
+        text = F.regexp_replace(text, f" {name}$", f" {offset}")
     mail = F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in _MAIL_DATES))
     zoned = F.when(text.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$"), text).otherwise(F.concat(text, F.lit("Z")))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned.try_cast("timestamp"))
