@@ -31,6 +31,7 @@ SPAN = 11
 WINDOW = 15
 EXCHANGED = 2
 BLOCK = 200_000
+BUCKETS = 1 << 20  # of ids; some 20 MB where all are marked
 
 
 def word_hashes(text: str) -> Column:
@@ -100,8 +101,9 @@ def verified(hits: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id``, the first word of the document that a hit covers, and the most words in agreement.
 
-    Hits are written to ``folder`` first. Then only documents with hits are cut into words
-    again to be compared; few enough hits are broadcast for that, by their count.
+    Hits are written to ``folder`` first. Then only documents whose id falls into a bucket
+    with hits are cut into words again and meet them. The buckets are a fixed number, so
+    they may be broadcast whatever the number of hits.
     """
     items = benchmark.select("item_id", word_hashes("text").alias("item_words"))
     items = items.where(F.size("item_words") >= SPAN)
@@ -114,9 +116,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, folder: str, block: int = BLOCK
         return seeds(texts, F.col("words"), "doc_id").join(F.broadcast(item_seeds(some)), "seed").drop("seed")
 
     hits = staged(reduce(DataFrame.unionByName, [of_block(k) for k in range(blocks)]), folder, "hits")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    marked = F.broadcast(hits.select(bucket).distinct())  # of at most BUCKETS rows
+    suspects = docs.select("doc_id", "text", bucket).join(marked, "bucket", "left_semi")
+    texts = suspects.select("doc_id", word_hashes("text").alias("words"))
     hits = hits.withColumnRenamed("doc_id", "hit_id")
-    few = F.broadcast(hits) if hits.count() <= block else hits
-    met = texts.join(few, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    met = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     return verified(met).groupBy("doc_id", "item_id").agg(F.min("at").alias("at"), F.max("agreeing").alias("agreeing"))
 
 
