@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillcast.llm import word_text
 from quillcast.llm.remembered import Remembered
@@ -38,6 +39,9 @@ END = END_ID.to_bytes(2, "little")
 SHARD_IDS = 1 << 20
 FIRST_RULE = 50_000
 MOST_SYMBOLS = 1 << 16
+NO_RULE = np.uint16(MOST_SYMBOLS - 1)  # no rank is as large
+BITS = 20
+FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 SHARD = (
     "part int, shard int, n_ids bigint, rules binary, lengths binary, body binary, "
     "doc_ids binary, no_id binary, doc_starts binary"
@@ -55,6 +59,10 @@ class WordEncoder:
         self.last = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab().items():
             self.last[i] = token.endswith("</w>")
+        # the same model for words that are cut already
+        self.model = Tokenizer(self.library.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.known = Remembered(None)
 
     def learn(self, cuts: list[str]) -> None:
@@ -64,7 +72,7 @@ class WordEncoder:
         ids: dict[str, bytes] = {}
         for i in range(0, len(distinct), 500):
             some = distinct[i : i + 500]
-            flat = self.library.encode(" ".join(some), add_special_tokens=False).ids
+            flat = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ends = (np.flatnonzero(self.last[flat]) + 1).tolist()
             raw = np.array(flat, "<u2").tobytes()
             ids.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(some, [0, *ends], ends))
@@ -72,41 +80,55 @@ class WordEncoder:
             self.known.young[c] = ids[p[0]] if len(p) == 1 else b"".join(map(ids.get, p))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if "<|" in t else word_text.cuts(t) for t in texts]
         known = self.known
         if len(known.young) > known.size:
             known.old, known.young = known.young, {}
-        new = set().union(*(c for c in cut if c)) - known.young.keys()
+        get = known.young.get
+        cut = [None if "<|" in t else word_text.cuts(t) for t in texts]
+        parts = [None if c is None else list(map(get, c)) for c in cut]
+        new = {c for cs, ps in zip(cut, parts) if ps and None in ps for c, p in zip(cs, ps) if p is None}
         met = new & known.old.keys()
         known.young.update((c, known.old[c]) for c in met)
         self.learn(list(new - met))
-        get = known.young.get
         out = []
-        for t, c in zip(texts, cut):
+        for t, c, p in zip(texts, cut, parts):
             if c is None:  # it may hold special strings
                 flat = self.library.encode(t, add_special_tokens=False).ids
                 out.append(np.array([*flat, END_ID], "<u2"))
             else:
-                out.append(np.frombuffer(b"".join(map(get, c)) + END, "<u2"))
+                out.append(np.frombuffer(b"".join(map(get, c) if None in p else p) + END, "<u2"))
         for c in new:
             if len(c) > known.longest:
                 del known.young[c]
         return out
 
 
-def frequent_pairs(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent adjacent pairs, best first, and their counts.
+@lru_cache(1)
+def encoder_of(file: str) -> WordEncoder:
+    """One for the tasks that a Python worker runs in turn, so known words serve the next task."""
+    return WordEncoder(file)
+
+
+def ranked_pairs(symbols: np.ndarray, most: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the most frequent adjacent pairs, best first, and the rank of each place's pair.
 
-    Pairs are counted by a hash first; only those whose hash is frequent are sorted.
+    Pairs are counted by their hash. Of several pairs of one hash one is counted and the
+    others wait for the next turn, which hashes otherwise, so no pairs are sorted.
     """
     keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
-    bins = (keys * np.uint32(2654435761)) >> np.uint32(12)
-    often = np.bincount(bins, minlength=1 << 20) >= least
-    found, counts = np.unique(keys[often[bins]], return_counts=True)
-    keep = counts >= least
-    found, counts = found[keep], counts[keep]
-    best = np.argsort(-counts, kind="stable")[:most]
-    return found[best], counts[best]
+    bins = (keys * FACTORS[turn % len(FACTORS)]) >> np.uint32(32 - BITS)
+    often = np.flatnonzero((np.bincount(bins, minlength=1 << BITS) >= least)[bins])
+    stands = np.zeros(1 << BITS, np.uint32)
+    stands[bins[often]] = keys[often]
+    same = often[stands[bins[often]] == keys[often]]
+    counts = np.bincount(bins[same], minlength=1 << BITS)
+    found = np.flatnonzero(counts >= least)
+    found = found[np.argsort(-counts[found], kind="stable")[:most]]
+    rank_of = np.full(1 << BITS, NO_RULE, np.uint16)
+    rank_of[found] = np.arange(len(found))
+    ranks = np.full(len(keys), NO_RULE, np.uint16)
+    ranks[same] = rank_of[bins[same]]
+    return stands[found], ranks
 
 
 def compress(ids: np.ndarray, rounds: int = 4, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,23 +139,22 @@ def compress(ids: np.ndarray, rounds: int = 4, least: int = 16) -> tuple[np.ndar
     """
     body = ids.astype(np.uint16)
     rules, lengths = np.zeros((0, 2), np.uint16), np.ones(FIRST_RULE, np.int64)
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(body) < 2:
             break
         room = MOST_SYMBOLS - FIRST_RULE - len(rules)
-        found, _ = frequent_pairs(body, min(room, (MOST_SYMBOLS - FIRST_RULE) // rounds + 1), least)
+        found, rank = ranked_pairs(body, min(room, (MOST_SYMBOLS - FIRST_RULE) // rounds + 1), least, turn)
         if not len(found):
             break
-        keys = body[:-1].astype(np.uint32) << np.uint32(16) | body[1:]
-        order = np.argsort(found)
-        at = np.minimum(np.searchsorted(found[order], keys), len(found) - 1)
-        rank = np.where(found[order][at] == keys, order[at], len(found))
-        before, after = np.r_[len(found), rank[:-1]], np.r_[rank[1:], len(found)]
+        before, after = np.r_[NO_RULE, rank[:-1]], np.r_[rank[1:], NO_RULE]
+        free = rank < before
         # of a pair that overlaps itself every second one, from the left of its run
-        place = np.arange(len(rank))
-        start = np.maximum.accumulate(np.where(rank == before, 0, place))
-        free = (rank[start] < before[start]) & ((place - start) % 2 == 0)
-        chosen = np.flatnonzero((rank < len(found)) & free & (rank <= after))
+        again = np.flatnonzero((rank == before) & (rank != NO_RULE))
+        if len(again):
+            first = np.r_[True, np.diff(again) > 1]
+            start = np.maximum.accumulate(np.where(first, again - 1, 0))
+            free[again] = free[start] & ((again - start) % 2 == 0)
+        chosen = np.flatnonzero(free & (rank <= after))
         pairs = np.stack([found >> np.uint32(16), found & np.uint32(0xFFFF)], 1).astype(np.uint16)
         body[chosen] = FIRST_RULE + len(rules) + rank[chosen]
         stay = np.ones(len(body), bool)
@@ -170,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, id_column: str = "doc_id
     """Encode documents, end each by ``END_ID``, and write shards in ascending id order."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(file), TaskContext.get().partitionId()
+        encoder, part = encoder_of(file), TaskContext.get().partitionId()
         number, ids, names, held = 0, [], [], 0
 
         def shard() -> pa.RecordBatch:

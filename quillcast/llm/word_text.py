@@ -33,6 +33,10 @@ def cuts(text: str) -> list[str]:
 
 def words(cut: str, library: Tokenizer) -> list[str]:
     """The words of a cut. Letters newer than Python's tables are left to the library."""
+    if cut.isalpha():
+        return [cut]
+    if cut[:-1].isalpha() and cut[-1] in ".,;:!?":
+        return [cut[:-1], cut[-1]]
     if cut.isascii() or "Cn" not in map(unicodedata.category, cut):
         return WORD.findall(cut)
     cut = library.normalizer.normalize_str(cut)
