@@ -27,6 +27,56 @@ _ENTRY_SCHEMA = """
 """
 
 
+_CDATA = r"<!\[CDATA\[(?:[^\]]++|\](?!\]>))*+\]\]>"
+_COMMENT = rf"(?s)({_CDATA})|<!--.*?-->"
+_ATOM_PREFIX = rf"(?s)({_CDATA})|(</?)atom:"
+_PIECES = rf"(?s){_CDATA}|(?:[^<]++|<(?!!\[CDATA\[))++|<"
+_BARE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)"
+_NESTED = r"""(?s)(<(summary|content)\s[^>]*type=["']xhtml["'][^>]*(?<!/)>)((?:[^<]++|<(?!/\2>|!\[CDATA\[))*+)(</\2>)"""
+# Entities of HTML that feeds use without declaring them.
+_ENTITIES = {
+    "nbsp": 160,
+    "copy": 169,
+    "laquo": 171,
+    "reg": 174,
+    "raquo": 187,
+    "eacute": 233,
+    "ndash": 8211,
+    "mdash": 8212,
+    "lsquo": 8216,
+    "rsquo": 8217,
+    "ldquo": 8220,
+    "rdquo": 8221,
+    "bull": 8226,
+    "hellip": 8230,
+    "euro": 8364,
+    "trade": 8482,
+}
+
+
+def _entries(body: Column) -> Column:
+    """The entries of a document, without its comments and the prefix of prefixed feeds."""
+    plain = F.when(body.contains("<!--"), F.regexp_replace(body, _COMMENT, "$1")).otherwise(body)
+    plain = F.when(plain.contains("<atom:entry"), F.regexp_replace(plain, _ATOM_PREFIX, "$1$2")).otherwise(plain)
+    return F.regexp_extract_all(plain, F.lit(_ENTRY), F.lit(0))
+
+
+def _readable(entry: Column) -> Column:
+    """An entry as XML: its ampersands outside CDATA marks repaired, nested markup as text."""
+
+    def repaired(piece: Column) -> Column:
+        text = piece
+        for name, code in _ENTITIES.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(f"&#{code};"))
+        text = F.regexp_replace(text, _BARE, "&amp;")
+        return F.when(piece.startswith("<![CDATA["), piece).otherwise(text)
+
+    pieces = F.transform(F.regexp_extract_all(entry, F.lit(_PIECES), F.lit(0)), repaired)
+    entry = F.when(entry.rlike(_BARE), F.array_join(pieces, "")).otherwise(entry)
+    nested = F.regexp_replace(entry, _NESTED, r"$1<![CDATA[$3]]>$4")
+    return F.when(entry.contains("xhtml"), nested).otherwise(entry)
+
+
 def read_feed_documents(spark: SparkSession, path: str) -> DataFrame:
     """Landed feed files as (path, body), one row per file."""
     return spark.read.text(path, wholetext=True).select(
@@ -48,10 +98,11 @@ def parse_feeds(
     the feed cap where a source has one document in a run: it takes no shuffle.
 
     Entries are cut out of the document and read one by one, so a broken
-    document still gives the entries before the break, and an entry that is no
-    XML is lost alone. Documents without any entry give no rows.
+    document still gives the entries before the break. Bare ampersands, entities of
+    HTML and nested markup are read as text; an entry that is no XML even so is lost
+    alone. Comments hold no entries. Documents without any entry give no rows.
     """
-    found = F.regexp_extract_all(F.col(body), F.lit(_ENTRY), F.lit(0))
+    found = _entries(F.col(body))
     if first is not None:
         found = F.slice(found, 1, first)
     cut = documents.select(*keys, F.posexplode(found).alias("position", "entry"))
@@ -59,7 +110,7 @@ def parse_feeds(
     parsed = cut.select(
         *keys,
         F.col("position").cast("bigint").alias("position"),
-        F.from_xml("entry", _ENTRY_SCHEMA, options).alias("e"),
+        F.from_xml(_readable(F.col("entry")), _ENTRY_SCHEMA, options).alias("e"),
     )
     # An absent title stays null, an empty one stays empty.
     title = F.when(F.col("e.title").isNotNull(), F.coalesce(F.col("e.title._VALUE"), F.lit("")))
@@ -90,5 +141,4 @@ def _entry_link() -> Column:
 
 def feeds_without_entries(documents: DataFrame, *keys: str, body: str = "body") -> DataFrame:
     """Keys of the documents that give no entry at all, broken or empty."""
-    found = F.regexp_extract_all(F.col(body), F.lit(_ENTRY), F.lit(0))
-    return documents.where(F.coalesce(F.size(found), F.lit(0)) == 0).select(*keys)
+    return documents.where(F.coalesce(F.size(_entries(F.col(body))), F.lit(0)) == 0).select(*keys)

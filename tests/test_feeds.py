@@ -46,10 +46,39 @@ def test_partial_feed_keeps_entries_before_the_break(spark):
 
 
 def test_broken_entry_is_lost_alone(spark):
-    body = "<rss><item><title>a & b</title><link>https://x.example/0</link></item><item><link>https://x.example/1</link></item></rss>"
+    body = "<rss><item><title>a <b </title><link>https://x.example/0</link></item><item><link>https://x.example/1</link></item></rss>"
     assert [(r.position, r.link) for r in parsed(spark, body).collect()] == [(1, "https://x.example/1")]
 
 
+def test_ampersands_and_entities(spark):
+    item = "<item><title>{}</title><link>https://x.example/{}</link><description><![CDATA[{}]]></description></item>"
+    cases = [
+        ("a & b", "?a=1&b=2", "c & d", "a & b", "?a=1&b=2", "c & d"),
+        ("x&nbsp;y &mdash; z", "1", "&nbsp;", "x y — z", "1", "&nbsp;"),
+        ("&amp; &#233; &lt;", "2", "</item>&", "& é <", "2", "</item>&"),
+        ("&unknown; AT&T", "3", "", "&unknown; AT&T", "3", ""),
+    ]
+    body = "<rss>" + "".join(item.format(*c[:3]) for c in cases) + "</rss>"
+    rows = parsed(spark, body).orderBy("position").collect()
+    assert [(r.position, r.title, r.link, r.description) for r in rows] == [
+        (i, c[3], f"https://x.example/{c[4]}", c[5]) for i, c in enumerate(cases)
+    ]
+
+
+def test_comments_prefixes_and_nested_markup(spark):
+    item = "<item><link>https://x.example/{}</link>{}</item>"
+    body = "<rss><!-- " + item.format(0, "") + " -->" + item.format(1, "<description><![CDATA[<!-- a -->]]></description>") + "</rss>"
+    assert [(r.position, r.link, r.description) for r in parsed(spark, body).collect()] == [
+        (0, "https://x.example/1", "<!-- a -->")
+    ]
+    prefixed = ATOM.replace("</", "</atom:").replace("<", "<atom:").replace("<atom:/atom:", "</atom:")
+    row = normalise(parsed(spark, prefixed)).first()
+    assert (row.title, row.url, row.summary) == ("T1", "https://at.example/1", "s")
+    nested = '<feed><entry><link href="https://x.example/2"/><content type="xhtml"><div><p>One &amp; <b>two</b></p></div></content></entry></feed>'
+    row = normalise(parsed(spark, nested)).first()
+    assert (row.url, row.summary) == ("https://x.example/2", "One &amp; two")
+
+
 def test_feeds_without_entries(spark):
     docs = spark.createDataFrame(list(enumerate([A, C, PARTIAL, "", None])), "i int, body string")
     assert sorted(r.i for r in feeds.feeds_without_entries(docs, "i").collect()) == [1, 3, 4]
