@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -65,7 +66,7 @@ class Inputs:
 
     def staged(self, df: DataFrame) -> DataFrame:
         """Rows a query uses more than once."""
-        return tables.staged(df, f"{tables.shared_folder(self.spark)}/{uuid.uuid4().hex}")
+        return tables.staged(df, _folder(self))
 
     def capped(self) -> DataFrame:
         return K.digest_cap(self.new())
@@ -935,6 +936,9 @@ def sent_per_day(t):
 
 
 def _folder(t: Inputs) -> str:
+    sc = t.spark.sparkContext
+    if not (t.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checks-"))  # a session of tests
     return f"{tables.shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 

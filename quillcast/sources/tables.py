@@ -6,7 +6,6 @@ plus write, so no table format beyond Parquet is needed.
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -20,17 +19,12 @@ from quillcast import schemas
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables that every executor sees.
 
-    This is what the cluster names in ``spark.checkpoint.dir``. A local folder
-    is made up only where that is unset and the session is a local one.
+    This is what the cluster names in ``spark.checkpoint.dir``.
     """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillcast-"))
-    return sc.getCheckpointDir()
+    return folder
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
