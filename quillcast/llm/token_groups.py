@@ -6,8 +6,9 @@ enough is a group. What is left are links between groups. The matrix holds for e
 its members' tokens, as far as they matter: with tokens in a fixed order, rare ones first,
 two sets over the threshold share ``SHARED`` tokens of their first few. For each group and
 token it keeps how many tokens a member has from there on, and the range of sizes, so the
-overlap of a set with a whole group is bounded by the count of tokens that can count. Only
-groups that reach the bound are opened, and only their members that reach it too are
+overlap of a set with a whole group is bounded by the count of tokens that can count. Of
+two groups the smaller one's sets ask the larger one. Only groups that reach the bound are
+opened, by the tokens that count for them, and only their members that reach it too are
 compared. Sets of one group are never compared again, and members of a group meet a set
 only through tokens that leave enough overlap, which a copy's own words don't.
 
@@ -29,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcast.llm import shingle_sets
@@ -169,8 +170,8 @@ def similar(sets: DataFrame, ratio: Fraction) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(compared, "a binary, b binary")
 
 
-def across(member: DataFrame, group: DataFrame, ratio: Fraction) -> DataFrame:
-    """Sets and groups, or sets and members of groups, joined by tokens that can count.
+def across(member: DataFrame, group: DataFrame, asks: Column, ratio: Fraction, on: str | list[str] = "token") -> DataFrame:
+    """Sets and groups that they ask, or sets and members of groups, joined by tokens that can count.
 
     The first ``SHARED`` tokens that a similar pair shares leave each side at least as many
     tokens as the pair must share less those before.
@@ -178,8 +179,8 @@ def across(member: DataFrame, group: DataFrame, ratio: Fraction) -> DataFrame:
     n, m = F.col("n"), F.greatest(F.col("low"), -F.floor(-F.col("n") * ratio.numerator / ratio.denominator))
     # ceil(r / (1 + r) * (n + m)), in whole numbers
     must = -F.floor(-(n + m) * ratio.numerator / (ratio.numerator + ratio.denominator))
-    return member.join(group, "token").where(
-        (F.col("group") != F.col("other"))
+    return member.join(group, on).where(
+        asks
         & (F.col("low") * ratio.numerator <= n * ratio.denominator)
         & (F.col("high") * ratio.denominator >= n * ratio.numerator)
         & (F.least("rest", "most") >= must - shared_by(ratio) + 1)
@@ -225,20 +226,27 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     groups = components(near, folder, "groups")
 
     group = F.xxhash64(F.coalesce("component", "node")).alias("group")
+    sizes = staged(groups.groupBy("component").agg(F.count("*").alias("size")), folder, "sizes")
+    size = F.coalesce("size", F.lit(1)).alias("size")
     # no set has more in common with a class than the tokens that are not its own
     most = (F.col("n") - F.col("own")).alias("common")
-    grouped = classes.join(groups, "node", "left").select("id", group, most)
+    grouped = classes.join(groups.join(sizes, "component"), "node", "left").select("id", group, size, most)
     tokens = tokens.join(staged(grouped, folder, "grouped"), "id").withColumnRenamed("id", "node")
     tokens = staged(in_several(tokens, "group"), folder, "tokens")
-    forget(spark, folder, "shared")
+    forget(spark, folder, "shared", "sizes")
     matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(
         F.max("rest").alias("most"),
         F.max("common").alias("at_most"),
         F.min("n").alias("low"),
         F.max("n").alias("high"),
+        F.first("size").alias("other_size"),
     )
-    opened = across(tokens, matrix, ratio).groupBy("node", "other").count().where(F.col("count") >= shared_by(ratio))
-    opened = staged(opened.select("node", "other"), folder, "opened")
+    # sets of the smaller group ask the larger one; a group opened keeps the tokens that count for it
+    asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("group") < F.col("other")))
+    opened = across(tokens, matrix, asks, ratio).groupBy("node", "other").agg(
+        F.first("n").alias("n"), F.first("common").alias("common"), F.collect_list(F.struct("token", "rest")).alias("by")
+    )
+    opened = staged(opened.where(F.size("by") >= shared_by(ratio)), folder, "opened")
     members = tokens.select(
         F.col("node").alias("b"),
         "token",
@@ -248,9 +256,8 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.col("n").alias("low"),
         F.col("n").alias("high"),
     )
-    askers = tokens.join(opened.select("node").distinct(), "node", "left_semi")
-    askers = askers.join(opened, "node").withColumnRenamed("other", "opens")
-    met = across(askers, members, ratio).where("opens = other AND node < b")
+    askers = opened.select("node", "other", "n", "common", F.inline("by"))
+    met = across(askers, members, F.lit(True), ratio, ["token", "other"])
     pairs = met.groupBy(F.col("node").alias("a"), "b").count().where(F.col("count") >= shared_by(ratio)).select("a", "b")
     names = classes.select(F.col("node").alias("name"), "id")
     for end in ("a", "b"):
