@@ -31,8 +31,10 @@ from tokenizers import Tokenizer
 
 from quillcast.llm import word_text
 from quillcast.llm.remembered import WORDS
+from quillcast.llm.shingle_sets import parts
 
 NO_RANK = np.iinfo(np.int64).max
+IDS = pa.list_(pa.int32())
 LONG = 64  # characters; longer cuts are not remembered
 
 
@@ -161,8 +163,9 @@ def encode_documents(docs: DataFrame, file: str, id_column: str = "doc_id", text
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RoundsEncoder(file)
         for batch in batches:
-            ids = encoder.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [pa.array(encoder.encode(some), IDS) for some in parts(batch.column(1).to_pylist())]
+            column = pa.chunked_array(ids, IDS).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])
 
     return texts_of(docs, id_column, text).mapInArrow(encoded, f"doc_id {kind}, ids array<int>")
 
@@ -191,13 +194,13 @@ def round_trips(docs: DataFrame, file: str, id_column: str = "doc_id", text: str
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RoundsEncoder(file)
         for batch in batches:
-            ids = encoder.encode(batch.column(1).to_pylist())
-            columns = [
-                batch.column(0),
-                pa.array(map(len, ids), pa.int64()),
-                pa.array([hexed(" ".join([encoder.numerals[i] for i in d])) for d in ids], pa.string()),
-                pa.array([hexed(encoder.decode(d)) for d in ids], pa.string()),
-            ]
+            sizes, of_ids, of_texts = [], [], []
+            for some in parts(batch.column(1).to_pylist()):
+                ids = encoder.encode(some)
+                sizes.extend(map(len, ids))
+                of_ids.extend(hexed(" ".join([encoder.numerals[i] for i in d])) for d in ids)
+                of_texts.extend(hexed(encoder.decode(d)) for d in ids)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.string()) for c in (of_ids, of_texts))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
