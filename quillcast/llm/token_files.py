@@ -33,6 +33,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from quillcast.llm import word_text
 from quillcast.llm.remembered import Remembered
+from quillcast.llm.shingle_sets import parts
 
 END_ID = 1
 END = END_ID.to_bytes(2, "little")
@@ -213,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, id_column: str = "doc_id
 
         for batch in batches:
             names_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, found in zip(names_of, encoder.encode(texts)):
+            for name, found in zip(names_of, chain.from_iterable(map(encoder.encode, parts(texts)))):
                 ids.append(found)
                 names.append(name)
                 held += len(found)
