@@ -51,7 +51,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-# SQL can express neither the fit nor the content-defined chunks.
+# SQL can't express the fit.
 ORACLE_SQL = None
 
 

@@ -1,19 +1,22 @@
-"""Repeated passages of lines, found by content-defined chunks.
+"""Repeated passages of lines, found by windows of lines.
 
-A rolling hash over the hashes of the last ``ROLL`` lines says where a chunk ends, so an
-insertion moves boundaries only near it and equal passages get equal chunks wherever they
-stand. A line of ``LONG`` words or more is a chunk of its own. Chunks of several lines, or
-of one such line, that occur more than once anywhere are compared byte by byte, and all
-but the first occurrence go, by document id and place.
+A passage is a run of at least two lines and ``WORDS`` words, or one line of ``LONG`` words.
+From every line on, the shortest passage that begins there is a window, and so is the
+shortest that ends there. Any passage is covered by windows within it, and whether lines
+are a window depends on them alone, so a passage that stands in two places has the same
+windows in both, whatever stands around it. Windows that occur more than once anywhere are
+compared byte by byte, and the lines of all but the first occurrence go, by document id
+and place. A line is what goes or stays as a whole; each keeps one occurrence.
 
-Chunk hashes are counted first; only chunks whose hash is repeated send their text. A
+Window hashes are counted first; only windows whose hash is repeated send their text. A
 passage that very many documents share is a key with many rows there: it is counted
 before the shuffle, and the join back to its places is one that Spark splits.
 
 A null text stays null and an empty one empty. Repeated rows, equal in id and text, are
-treated alike, as one place. Chunks of fewer than ``WORDS`` words are left alone. All columns
-are kept; ``n_chars``, if there is one, is counted anew. An empty table gives no rows. A
-document all of whose chunks go keeps its row.
+treated alike, as one place. A window that overlaps its own first occurrence, as in a line
+said over and over, takes only lines after that. All columns are kept; ``n_chars``, if there
+is one, is counted anew. An empty table gives no rows. A document all of whose lines go
+keeps its row.
 """
 
 from __future__ import annotations
@@ -27,54 +30,70 @@ from pyspark.sql import functions as F
 
 from quillcast.llm.common import forget, staged
 
-ROLL = 2
-DIVISOR = 3
 WORDS = 20
 LONG = 50
-MASK = (1 << 64) - 1
-FACTOR = 0x9E3779B97F4A7C15
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """First line and end of each chunk; chunks cover all lines."""
-    lines = text.split("\n")
-    long = [len(line) >= LONG and line.count(" ") + 1 >= LONG for line in lines]
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    found, start, rolling = [], 0, 0
-    for i, h in enumerate(hashes):
-        if long[i]:
-            if start < i:
-                found.append((start, i))
-            found.append((i, i + 1))
-            start, rolling = i + 1, 0
+    """First line and end of what goes or stays as a whole: each line."""
+    return [(i, i + 1) for i in range(text.count("\n") + 1)]
+
+
+def spans(words: list[int]) -> list[tuple[int, int]]:
+    """First line and end of each window, in order, of lines with so many words."""
+    found, total, end = set(), 0, 0
+    for start, own in enumerate(words):  # the shortest that begin at a line
+        if own >= LONG:
+            found.add((start, start + 1))
+        else:
+            while end < len(words) and (end < start + 2 or total < WORDS):
+                total += words[end]
+                end += 1
+            if end >= start + 2 and total >= WORDS:
+                found.add((start, end))
+        if end > start:
+            total -= own
+        else:
+            end = start + 1
+    total, start = 0, 0
+    for last, own in enumerate(words):  # the shortest that end at one
+        total += own
+        if own >= LONG:
+            found.add((last, last + 1))
             continue
-        gone = hashes[i - ROLL] * FACTOR**ROLL if i - ROLL >= start else 0
-        rolling = (rolling * FACTOR + h - gone) & MASK
-        if i + 1 - start >= ROLL and (rolling >> 32) % DIVISOR == 0:
-            found.append((start, i + 1))
-            start, rolling = i + 1, 0
-    if start < len(lines):
-        found.append((start, len(lines)))
-    return found
-
-
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """Numbers and texts of chunks that may go when repeated."""
+        while start < last - 1 and total - words[start] >= WORDS:
+            total -= words[start]
+            start += 1
+        if start < last and total >= WORDS:
+            found.add((start, last + 1))
+    return sorted(found)
+
+
+def windows(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """First line, first line that may go, end and text of each window."""
     lines = text.split("\n")
-    for number, (a, b) in enumerate(chunks(text)):
-        chunk = "\n".join(lines[a:b])
-        words = chunk.count(" ") + chunk.count("\n") + 1
-        if words >= WORDS and (b - a > 1 or words >= LONG):
-            yield number, chunk
+    seen: dict[int, tuple[int, int]] = {}
+    for a, b in spans([line.count(" ") + 1 for line in lines]):
+        window = "\n".join(lines[a:b])
+        c, d = seen.setdefault(hashed(window), (a, b))
+        again = c < a < d and lines[a:b] == lines[c:d]
+        yield a, d if again else a, b, window
+
+
+def candidates(text: str) -> Iterator[tuple[int, tuple[str, int]]]:
+    """Numbers of lines that may go, each with a window it stands in and its place there."""
+    for a, free, b, window in windows(text):
+        for number in range(free, b):
+            yield number, (window, number - a)
 
 
-def hashed(chunk: str) -> int:
-    return xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
+def hashed(window: str) -> int:
+    return xxhash.xxh3_64_intdigest(window) - (1 << 63)
 
 
 def without(text: str, numbers: list[int]) -> str:
-    lines, gone = text.split("\n"), set(numbers)
-    return "\n".join([x for n, (a, b) in enumerate(chunks(text)) if n not in gone for x in lines[a:b]])
+    gone = set(numbers)
+    return "\n".join([line for n, line in enumerate(text.split("\n")) if n not in gone])
 
 
 KEYS = ["_quillcast_id", "_quillcast_text"]
@@ -87,15 +106,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def chunk_hashes(rows: DataFrame) -> DataFrame:
+def window_hashes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, numbers, found = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for number, chunk in candidates(text):
+                for number, (_, _, _, window) in enumerate(windows(text)):
                     places.append(i)
                     numbers.append(number)
-                    found.append(hashed(chunk))
+                    found.append(hashed(window))
             ids = [batch.column(c).take(pa.array(places, pa.int64())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [*ids, pa.array(numbers, pa.int32()), pa.array(found, pa.int64())], [*KEYS, "number", "hash"]
@@ -105,43 +124,46 @@ def chunk_hashes(rows: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_quillcast_id string, _quillcast_text bigint, number int, hash bigint")
 
 
-def chunk_texts(rows: DataFrame) -> DataFrame:
-    """Texts of the chunks whose numbers are listed."""
+def window_texts(rows: DataFrame) -> DataFrame:
+    """Texts of the windows whose numbers are listed, with their first line, first line that may go and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, numbers, found, texts = [], [], [], []
+            places, lines, found, texts = [], [], [], []
             for i, (text, listed) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 listed = set(listed)
-                for number, chunk in candidates(text):
+                for number, (*at, window) in enumerate(windows(text)):
                     if number in listed:
                         places.append(i)
-                        numbers.append(number)
-                        found.append(hashed(chunk))
-                        texts.append(chunk)
+                        lines.append(at)
+                        found.append(hashed(window))
+                        texts.append(window)
             ids = [batch.column(c).take(pa.array(places, pa.int64())) for c in (0, 1, 2)]
-            arrays = [*ids, pa.array(numbers, pa.int32()), pa.array(found, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *KEYS, "number", "hash", "chunk"])
+            ends = [pa.array([at[k] for at in lines], pa.int32()) for k in range(3)]
+            arrays = [*ids, *ends, pa.array(found, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *KEYS, "line", "free", "stop", "hash", "window"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _quillcast_id string, _quillcast_text bigint, number int, hash bigint, chunk string"
+    schema = f"doc_id {kind}, _quillcast_id string, _quillcast_text bigint, line int, free int, stop int, hash bigint, window string"
     return rows.select("doc_id", *KEYS, "text", "_quillcast_listed").mapInArrow(run, schema)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The documents without repeated chunks, with ``_removed``, the numbers of chunks that went."""
+    """The documents without repeated passages, with ``_removed``, the numbers of lines that went."""
     rows = keyed(docs)
-    hashes = staged(chunk_hashes(rows), folder, "hashes")
+    hashes = staged(window_hashes(rows), folder, "hashes")
     repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     listed = hashes.join(repeated, "hash", "left_semi").groupBy(*KEYS).agg(F.collect_set("number").alias("_quillcast_listed"))
     marked = staged(rows.join(listed, KEYS, "left"), folder, "marked")
     forget(spark, folder, "hashes")
     suspects = marked.where("_quillcast_listed IS NOT NULL")
-    texts = staged(chunk_texts(suspects.dropDuplicates(KEYS)), folder, "texts")
-    place = F.struct("doc_id", "_quillcast_text", "number")
-    first = texts.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = texts.join(first.drop("n"), ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-    gone = staged(gone.groupBy(*KEYS).agg(F.array_sort(F.collect_set("number")).alias("_removed")), folder, "gone")
+    texts = staged(window_texts(suspects.dropDuplicates(KEYS)), folder, "texts")
+    place = F.struct("doc_id", "_quillcast_text", "line")
+    first = texts.groupBy("hash", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = texts.join(first.drop("n"), ["hash", "window"]).where(~place.eqNullSafe(F.col("first")) & (F.col("free") < F.col("stop")))
+    lines = F.explode(F.sequence("free", F.col("stop") - 1)).alias("number")
+    gone = later.select(*KEYS, lines).groupBy(*KEYS).agg(F.array_sort(F.collect_set("number")).alias("_removed"))
+    gone = staged(gone, folder, "gone")
     forget(spark, folder, "texts")
     untouched = marked.where("_quillcast_listed IS NULL").withColumn("_removed", F.lit(None).cast("array<int>"))
     cleaned = cut(suspects.join(gone, KEYS, "left"))
@@ -153,7 +175,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Rows without their removed chunks."""
+    """Rows without their removed lines."""
     names = rows.columns
     at, removed = names.index("text"), names.index("_removed")
 

@@ -174,3 +174,66 @@ def test_chunks_cover_texts_and_resist_shifts():
     moved = ["new first", *lines]
     shifted = {"\n".join(moved[a:b]) for a, b in line_chunks.chunks("\n".join(moved))}
     assert len(plain & shifted) > 0.9 * len(plain)
+
+
+def without_runs(rows):
+    """Documents without lines of a run that stands in an earlier place, by extending every pair of equal lines."""
+    texts = {i: t.split("\n") for i, t in rows}
+    at = {}
+    for i in sorted(texts):
+        for n, line in enumerate(texts[i]):
+            at.setdefault(line, []).append((i, n))
+    out = []
+    for j, lines in sorted(texts.items()):
+        gone = set()
+        for n, line in enumerate(lines):
+            for i, m in at[line]:
+                if (i, m) >= (j, n):
+                    continue
+                end = 0
+                while n + end < len(lines) and m + end < len(texts[i]) and lines[n + end] == texts[i][m + end]:
+                    end += 1
+                words = sum(len(x.split(" ")) for x in lines[n : n + end])
+                if len(line.split(" ")) >= 50 or (end > 1 and words >= 20):
+                    gone |= set(range(n, n + end)) if end > 1 and words >= 20 else {n}
+        out.append((j, "\n".join(x for n, x in enumerate(lines) if n not in gone)))
+    return out
+
+
+def test_passages_over_several_lines(spark, tmp_path):
+    """Copies of passages of 2 to 20 lines go whole, wherever they stand."""
+    rng = random.Random(11)
+    line = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
+    shapes = [(2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 9), (8, 8), (9, 14), (20, 10), (30, 2), (2, 49)]
+    rows, planted = [], []
+    for n, k in shapes:
+        for _ in range(6):
+            passage = [line(k) for _ in range(n)]
+            for copy in range(5):
+                own = [line(rng.randint(1, 40)) for _ in range(rng.randint(0, 8))]
+                place = rng.randint(0, len(own))
+                own[place:place] = passage
+                rows.append((len(rows), "\n".join(own)))
+                planted.append((copy, passage))
+    found = line_chunks.line_dedup(spark, frame(spark, rows).repartition(4), str(tmp_path)).collect()
+    left = sorted((r.doc_id, r.text) for r in found)
+    for (i, text), (copy, passage) in zip(left, planted):
+        assert set(passage) <= set(text.split("\n")) if copy == 0 else not set(passage) & set(text.split("\n"))
+    assert left == without_runs(rows)
+
+
+def test_windows_against_all_runs():
+    rng = random.Random(12)
+    for _ in range(500):
+        words = [rng.choice([1, 2, 5, 9, 12, 25, 55]) for _ in range(rng.randint(1, 25))]
+        passage = lambda a, b: words[a] >= 50 if b - a == 1 else b - a > 1 and sum(words[a:b]) >= 20
+        every = [(a, b) for a in range(len(words)) for b in range(a + 1, len(words) + 1) if passage(a, b)]
+        shortest = {(a, b) for a, b in every if (a, b) in (min(x for x in every if x[0] == a), max(x for x in every if x[1] == b))}
+        assert line_chunks.spans(words) == sorted(shortest)
+
+
+def test_a_line_said_over_and_over(spark, tmp_path):
+    said = " ".join(f"s{k}" for k in range(30))
+    rows = [(1, "\n".join([said] * 6)), (2, "\n".join(["own", said, said, said])), (3, said)]
+    found = line_chunks.line_dedup(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, f"{said}\n{said}"), (2, "own"), (3, said)]
