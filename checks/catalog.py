@@ -478,12 +478,12 @@ def stamp_source(t):
 
 @query(sql("SELECT digest_id, source_a, position_a, source_b, position_b, jaccard FROM o_pairs", *S.PAIRS))
 def near_dup_pairs(t):
-    return N.near_dup_pairs(t.new(), SIZE, THRESHOLD)
+    return N.near_dup_pairs(t.staged(t.capped()), SIZE, THRESHOLD)
 
 
 @query(sql("SELECT digest_id, source_id, position, title FROM o_kept", *S.PAIRS))
 def near_dup_keep(t):
-    return N.near_dup_keep(t.new(), SIZE, THRESHOLD).select(
+    return N.near_dup_keep(t.staged(t.capped()), SIZE, THRESHOLD).select(
         "digest_id", "source_id", "position", "title"
     )
 
@@ -559,7 +559,7 @@ def topic_assign(t):
     )
 )
 def topic_groups(t):
-    kept = N.near_dup_keep(t.new(), SIZE, THRESHOLD)
+    kept = N.near_dup_keep(t.staged(t.capped()), SIZE, THRESHOLD)
     return P.topic_groups(P.topic_assign(kept, S.TEST_TOPIC_WORDS))
 
 

@@ -1,10 +1,11 @@
-"""Near-duplicates among the articles of one digest.
-
-A digest must not show one story twice, so articles are compared within a
-digest and after its cap. Two articles are near-duplicates if the Jaccard
-similarity of their word shingles reaches the threshold. The cap is applied
-here, so a digest is at most ``n`` rows and is compared inside one row, without
-a join; only near-duplicate pairs come out.
+"""Near-duplicates among the articles of a digest, however many it has.
+
+Two articles are near-duplicates if the Jaccard similarity of their word
+shingles reaches the threshold, which is above 0. Articles of equal shingles
+are one set, so copies are never compared with each other. Two similar sets
+share one of the rarest shingles of each (as many as a set may lack, and one),
+so candidates come from an equi-join on those; similarity is then exact. No
+cap is applied here: the digest job compares what a digest shows.
 """
 
 from __future__ import annotations
@@ -12,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcast import fixed
 from quillcast.functions.text import words
-from quillcast.operators.caps import digest_cap
 
 
 def shingles(size: int) -> Column:
@@ -28,73 +27,85 @@ def shingles(size: int) -> Column:
     )
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a["shingles"], b["shingles"]))
-    return shared / (F.size(a["shingles"]) + F.size(b["shingles"]) - shared)
-
+def _in_sets(articles: DataFrame, size: int) -> DataFrame:
+    """Articles with their shingles ``_set``, a key ``_key`` of digest and set, and ``_place``."""
+    digest = F.coalesce(F.col("digest_id").cast("string"), F.lit(""))
+    return (
+        articles.withColumn("_words", words(F.concat_ws(" ", "title", "summary")))
+        .withColumn("_set", F.array_sort(shingles(size)))
+        .withColumn("_key", F.sha2(F.concat_ws(" ", digest, F.array_join("_set", " ")), 256))
+        .withColumn("_place", F.struct("source_id", "position"))
+        .drop("_words")
+    )
 
-def _place(a: Column) -> Column:
-    return F.struct(a["source_id"], a["position"])
 
+def _similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a``, ``b``, ``jaccard``: keys of similar sets of one digest, each pair once.
 
-def _digests(articles: DataFrame, size: int, n: int) -> DataFrame:
-    """One row per digest with the array ``rows``: article, length and shingles of each."""
-    capped = digest_cap(articles, n)
-    row = F.struct(
-        "source_id",
-        "position",
-        F.length("summary").alias("length"),
-        "shingles",
-        F.struct(*articles.columns).alias("article"),
+    ``sets`` has one row per set: ``digest_id``, ``_key``, ``_set``.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    each = sets.select("digest_id", "_key", F.size("_set").alias("_size"), F.explode("_set").alias("_shingle"))
+    digest = F.coalesce(F.col("digest_id").cast("string"), F.lit(""))
+    each = each.withColumn("_digest", digest).drop("digest_id")
+    # A shingle of one set alone is no candidate, but has its place among the rarest.
+    counts = each.groupBy("_digest", "_shingle").agg(F.count("*").alias("_n"))
+    ranked = each.join(counts, ["_digest", "_shingle"]).groupBy("_digest", "_key", "_size")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("_n", "_shingle"))).alias("_ranked"))
+    first = F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9).cast("int") + 1
+    rare = ranked.select("_digest", "_key", "_size", F.explode(F.slice("_ranked", 1, first)).alias("_r"))
+    rare = rare.where("_r._n > 1").select("_digest", "_key", "_size", F.col("_r._shingle").alias("_shingle"))
+    side = lambda df, x: df.withColumnsRenamed({"_key": x, "_size": f"_size_{x}"})
+    least = F.least("_size_a", "_size_b") >= F.greatest("_size_a", "_size_b") * threshold - 1e-9
+    met = side(rare, "a").join(side(rare, "b"), ["_digest", "_shingle"]).where(F.col("a") < F.col("b"))
+    met = met.where(least).select("a", "b").distinct()
+    set_of = lambda x: sets.select(F.col("_key").alias(x), F.col("_set").alias(f"_set_{x}"))
+    shared = F.size(F.array_intersect("_set_a", "_set_b"))
+    jaccard = shared / (F.size("_set_a") + F.size("_set_b") - shared)
+    both = met.join(set_of("a"), "a").join(set_of("b"), "b")
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_dup_pairs(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
+    """Near-duplicate pairs of each digest, each once, the earlier place first."""
+    rows = _in_sets(articles, size)
+    sets = rows.select("digest_id", "_key", "_set").dropDuplicates(["_key"])
+    similar = _similar(sets, threshold)
+    turned = similar.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")
+    same = sets.select(F.col("_key").alias("a"), F.col("_key").alias("b"), F.lit(1.0).alias("jaccard"))
+    if threshold > 1:
+        same = same.limit(0)
+    side = lambda x: rows.select(
+        *(["digest_id"] if x == "a" else []),
+        F.col("_key").alias(x),
+        F.col("_place").alias(f"_place_{x}"),
+        F.col("source_id").alias(f"source_{x}"),
+        F.col("position").alias(f"position_{x}"),
     )
-    return (
-        capped.withColumn("_words", words(F.concat_ws(" ", "title", "summary")))
-        .withColumn("shingles", shingles(size))
-        .groupBy("digest_id")
-        .agg(F.collect_list(row).alias("rows"))
+    pairs = similar.unionByName(turned).unionByName(same).join(side("a"), "a").join(side("b"), "b")
+    return pairs.where("_place_a < _place_b").select(
+        "digest_id", "source_a", "position_a", "source_b", "position_b", "jaccard"
     )
 
 
-def near_dup_pairs(
-    articles: DataFrame, size: int = 3, threshold: float = 0.8, n: int = fixed.DIGEST_CAP
-) -> DataFrame:
-    """Near-duplicate pairs of each digest, each once, the earlier place first."""
-
-    def partners(a: Column) -> Column:
-        return F.transform(
-            F.filter(
-                "rows", lambda b: (_place(a) < _place(b)) & (_similarity(a, b) >= threshold)
-            ),
-            lambda b: F.struct(
-                a["source_id"].alias("source_a"),
-                a["position"].alias("position_a"),
-                b["source_id"].alias("source_b"),
-                b["position"].alias("position_b"),
-                _similarity(a, b).alias("jaccard"),
-            ),
-        )
-
-    pairs = F.flatten(F.transform("rows", partners))
-    return _digests(articles, size, n).select("digest_id", F.inline(pairs))
-
-
-def near_dup_keep(
-    articles: DataFrame, size: int = 3, threshold: float = 0.8, n: int = fixed.DIGEST_CAP
-) -> DataFrame:
-    """Articles of each capped digest without a more informative near-duplicate in it.
+def near_dup_keep(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
+    """Articles of each digest without a more informative near-duplicate in it.
 
     The longer summary is the more informative one; of equals, the earlier article.
+    The best article of a set stands for its copies, so no pairs of copies are made.
     """
-
-    def beats(b: Column, a: Column) -> Column:
-        return (b["length"] > a["length"]) | (
-            (b["length"] == a["length"]) & (_place(b) < _place(a))
-        )
-
-    kept = F.filter(
-        "rows",
-        lambda a: ~F.exists("rows", lambda b: beats(b, a) & (_similarity(a, b) >= threshold)),
-    )
-    return (
-        _digests(articles, size, n).select(F.explode(kept).alias("row")).select("row.article.*")
+    rows = _in_sets(articles, size).withColumn("_rank", F.struct((-F.length("summary")).alias("n"), "_place"))
+    ranked = rows.where("summary is not null")
+    best = ranked.groupBy("_key").agg(
+        F.first("digest_id").alias("digest_id"), F.first("_set").alias("_set"), F.min("_rank").alias("_best")
     )
+    similar = _similar(best.select("digest_id", "_key", "_set"), threshold)
+    rank_of = lambda x: best.select(F.col("_key").alias(x), F.col("_best").alias(f"_best_{x}"))
+    met = similar.join(rank_of("a"), "a").join(rank_of("b"), "b")
+    beaten = met.where("_best_a != _best_b").select(F.when(F.expr("_best_a < _best_b"), F.col("b")).otherwise(F.col("a")).alias("_key"))
+    left = best.select("_key", "_best").join(beaten.distinct(), "_key", "left_anti")
+    kept = ranked.join(left, "_key").where(F.col("_rank") == F.col("_best"))
+    if threshold > 1:
+        kept = ranked
+    return kept.select(*articles.columns).unionByName(rows.where("summary is null").select(*articles.columns))

@@ -57,7 +57,7 @@ def digest_texts(
     it lacks get raw headlines. Without it the body is composed here.
     """
     if bodies is None:
-        body = C.digest_bodies(topic_assign(near_dup_keep(new, n=n), topic_words))
+        body = C.digest_bodies(topic_assign(near_dup_keep(digest_cap(new, n)), topic_words))
     else:
         body = C.digest_or_fallback(digest_cap(new, n), bodies).select("digest_id", "body")
     return C.compose_digest(body, C.digest_header(new, sources, asof), footer)

@@ -311,3 +311,31 @@ def test_given_text_or_headlines(spark):
     given = spark.createDataFrame([(2, "body"), (1, "")], "digest_id bigint, body string")
     got = {r.digest_id: r.body for r in compose.digest_or_fallback(df, given).collect()}
     assert got == {1: "⚠️ Summarisation failed, here are raw headlines:\n\n• Untitled (S1)", 2: "body"}
+
+
+def test_near_duplicates_beyond_the_cap(spark):
+    """All articles of a digest are compared, against every pair of them."""
+    import random
+
+    rng = random.Random(4)
+    rows, texts = [], [[f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 2, 12, 30]))] for _ in range(25)]
+    for i in range(150):
+        text = list(rng.choice(texts))
+        if rng.random() < 0.5:
+            text[rng.randrange(len(text))] = f"x{rng.randrange(3)}"
+        rows.append((i % 2, i // 10, i, f"u{i}", "", " ".join(text)))
+    sets = {r[2]: {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} for r in rows for w in [r[5].split()]}
+    pairs, lost = set(), set()
+    for a in rows:
+        for b in rows:
+            x, y = sets[a[2]], sets[b[2]]
+            if a[0] == b[0] and a[2] < b[2] and len(x & y) / len(x | y) >= 0.8:
+                pairs.add((a[0], a[2], b[2], len(x & y) / len(x | y)))
+                lost.add(a[2] if len(b[5]) > len(a[5]) else b[2])
+    df = articles(spark, rows)
+    got = near_dup.near_dup_pairs(df).collect()
+    assert sorted((r.digest_id, r.position_a, r.position_b, r.jaccard) for r in got) == sorted(pairs)
+    assert any(p[1] > 100 for p in pairs) and any(p[3] < 1 for p in pairs)
+    kept = near_dup.near_dup_keep(df)
+    assert kept.columns == df.columns
+    assert sorted(r.position for r in kept.collect()) == sorted({r[2] for r in rows} - lost)
