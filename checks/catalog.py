@@ -977,8 +977,8 @@ def stream_ttl_dedup(t):
 def stream_digest(t):
     """New articles found by the stream over the entries; the ledger is empty before it."""
     root = _folder(t)
-    # Landed entries are what a stream starts from.
-    t.fx_entries.drop("page_id").write.parquet(f"{root}/landed")
+    # Landed entries are what a stream starts from; each source has one document, in one file.
+    t.fx_entries.drop("page_id").repartition("source_id").write.parquet(f"{root}/landed")
     entries = streams.landed(t.spark, f"{root}/landed", schemas.ENTRIES)
     streams.digest_stream(entries, t.fx_sources, f"{root}/run", ASOF).awaitTermination()
     found = t.spark.read.schema(schemas.ARTICLES).parquet(f"{root}/run/articles")

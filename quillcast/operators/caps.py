@@ -31,8 +31,11 @@ def feed_cap(entries: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
     Entries of several documents of a source may share a position. The document's number, if
     there is one, and then the entry itself put them in order, so there are never more than ``n``.
     """
-    order = [c for c in ("document", "position", "link", "title", "summary", "description") if c in entries.columns]
-    return first_per_group(entries, ["source_id"], order, n)
+    return first_per_group(entries, ["source_id"], _entry_order(entries), n)
+
+
+def _entry_order(entries: DataFrame) -> list[str]:
+    return [c for c in ("document", "position", "link", "title", "summary", "description") if c in entries.columns]
 
 
 def feed_cap_of(entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
@@ -40,6 +43,12 @@ def feed_cap_of(entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP)
     return feed_cap(entries.join(sources.select("source_id"), "source_id", "left_semi"), n)
 
 
+def feed_cap_per_document(entries: DataFrame, sources: DataFrame, n: int = fixed.FEED_CAP) -> DataFrame:
+    """The feed cap for each document of the given sources by itself."""
+    of_sources = entries.join(sources.select("source_id"), "source_id", "left_semi")
+    return first_per_group(of_sources, ["source_id", "document"], _entry_order(entries), n)
+
+
 def first_link(links: DataFrame) -> DataFrame:
     """First occurrence of each URL of a source."""
     return first_per_group(links, ["source_id", "url"], ["page_id", "pos"], 1)

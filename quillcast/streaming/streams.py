@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from quillcast import fixed, schemas
 from quillcast.functions import times
 from quillcast.operators.articles import ARTICLE_COLUMNS, normalise, of_type, stamp_source
-from quillcast.operators.caps import feed_cap_of
+from quillcast.operators.caps import feed_cap_per_document
 from quillcast.operators.novelty import anti_ledger, ledger_append
 from quillcast.sources import tables
 from quillcast.sources.feeds import parse_feeds
@@ -71,15 +71,21 @@ def digest_stream(
     one part per micro-batch, and the checkpoint that numbers the batches. A
     batch sees the ledger of the batches before it and replaces its own parts,
     so a replayed batch gives the same articles again and none twice.
+
+    The feed cap is per source and document, so it doesn't matter which files
+    share a batch. A document is the column ``document`` or ``path``, if there is
+    one, and the landed file otherwise; its entries must land in one file.
     """
     spark = entries.sparkSession
+    if "document" not in entries.columns:
+        entries = entries.withColumn("document", F.col("path" if "path" in entries.columns else "_metadata.file_path"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         ledger = tables.read_table(session, f"{root}/ledger", STREAM_LEDGER)
         ledger = ledger.where(F.col("batch_id") < batch_id)
         feeds = of_type(sources.where("active"), "rss")
-        found = stamp_source(normalise(feed_cap_of(batch, feeds, n)), feeds)
+        found = stamp_source(normalise(feed_cap_per_document(batch, feeds, n)), feeds)
         part = f"{root}/articles/batch_id={batch_id}"
         anti_ledger(found, ledger).select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(part)
         new = session.read.schema(schemas.ARTICLES).parquet(part)

@@ -140,3 +140,17 @@ def test_sent_per_day_stream(spark, tmp_path):
         out = streams.write_available(streams.sent_per_day_stream(ledger), root, "complete")
         counts = {r.sent_date.day: r.n_sent for r in out.collect()}
     assert counts == {9: 3, 10: 1, 11: 1}
+
+
+def test_digest_stream_caps_documents_not_batches(spark, tmp_path):
+    """Three documents of a source give the same articles in one batch and in three."""
+    sources, _, _ = inputs(spark)
+    landing, got = str(tmp_path / "in"), {}
+    for d in range(3):
+        land(spark, [(1, p, f"u{d}-{p}", "t", "s", "", None) for p in range(8 + 4 * d)], landing)
+    for files in (1, 1000):
+        root = str(tmp_path / f"out{files}")
+        entries = streams.landed(spark, landing, schemas.ENTRIES, files)
+        streams.digest_stream(entries, sources, root, ASOF).awaitTermination()
+        got[files] = sorted(r.url for r in spark.read.schema(schemas.ARTICLES).parquet(f"{root}/articles").collect())
+    assert got[1] == got[1000] == sorted(f"u{d}-{p}" for d in range(3) for p in range(min(8 + 4 * d, 10)))
