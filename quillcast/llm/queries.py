@@ -19,6 +19,7 @@ from quillcast.llm import (
     token_files,
     token_groups,
     toxic_pu,
+    url_rules,
     warc,
 )
 from quillcast.llm.common import fold, scratch, table
@@ -165,3 +166,31 @@ def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under three-word shingles and a similarity of 0.9."""
     docs = table(spark, sf_dir, "documents")
     return token_groups.near_duplicates(spark, docs, scratch(spark), k=3, ratio=Fraction(9, 10))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    listed = [F.struct(*[F.lit(x).alias(c) for x, c in zip(rule, ("host", "path", "verdict"))]) for rule in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
+    return url_rules.judged(table(spark, sf_dir, "pages"), rules, scratch(spark))
+
+
+ORACLES["op12_url_rules"] = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(rh, rp, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), best AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(r.verdict, length(rh || rp)) AS verdict
+  FROM u JOIN rules r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)
+"""
