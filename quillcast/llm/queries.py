@@ -20,6 +20,7 @@ from quillcast.llm import (
     token_groups,
     toxic_pu,
     url_rules,
+    vector_codes,
     warc,
 )
 from quillcast.llm.common import fold, scratch, table
@@ -194,3 +195,53 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)
 """
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, four parts of 256 entries each."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"), scratch(spark))[0]
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry in each round; doubles hold these products exactly."""
+    steps = ["""
+k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, label, part, v[1 + part * len(v) // 4 : (part + 1) * len(v) // 4] AS x FROM k, (SELECT unnest(range(4)) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c FROM x
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, part, any_value(x) AS x, min({{'d': list_inner_product(x, x)
+    - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': entry}}) AS best
+  FROM x JOIN b{r} USING (part) GROUP BY vec_id, part
+)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT part, best.e AS entry, i, sum(x[i]::HUGEINT) AS s, count(*) AS n
+  FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) // 4 FROM k))) AS i) GROUP BY ALL
+), b{r + 1} AS MATERIALIZED (
+  SELECT b{r}.part, b{r}.entry, coalesce(new, c) AS c FROM b{r} LEFT JOIN (
+    SELECT part, entry, list(((s - (((s % n) + n) % n)) // n)::DOUBLE ORDER BY i) AS new FROM m{r} GROUP BY part, entry
+  ) q ON b{r}.part = q.part AND b{r}.entry = q.entry
+)""")
+    return "WITH " + ", ".join(steps) + f""", told AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code,
+    sum(best.d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry))
+   FROM b{rounds}) AS codebooks_sha256
+FROM told
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
