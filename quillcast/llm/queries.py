@@ -14,6 +14,7 @@ from quillcast.llm import (
     bpe_rounds,
     exact_index,
     line_chunks,
+    phrase_tries,
     quality_pairs,
     spaced_seeds,
     token_files,
@@ -245,3 +246,55 @@ FROM told
 
 
 ORACLES["op13_vector_codes"] = _codes_sql()
+
+
+@query
+def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of all documents, two to five words that stand together at least 100 times."""
+    return phrase_tries.collocations(table(spark, sf_dir, "documents"), scratch(spark))
+
+
+def _grams(sizes: range) -> str:
+    """All contiguous phrases of each size within pieces."""
+    cols = {m: ", ".join(f"lead(w, {j}) OVER v AS w{j}" for j in range(1, m)) for m in sizes}
+    return " UNION ALL ".join(
+        f"SELECT lang, concat_ws(' ', w{''.join(f', w{j}' for j in range(1, m))}) AS phrase, {m} AS m FROM "
+        f"(SELECT lang, w, {cols[m]} FROM words WINDOW v AS (PARTITION BY doc, piece ORDER BY place)) WHERE w{m - 1} IS NOT NULL"
+        for m in sizes
+    )
+
+
+ORACLES["op11_phrase_tries"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT doc, lang, unnest(string_split_regex(t, '[.,;:!?
+-]')) AS t, generate_subscripts(string_split_regex(t, '[.,;:!?
+-]'), 1) AS piece FROM d
+), s AS (SELECT doc, lang, piece, list_filter(string_split_regex(t, '[ 	]+'), lambda w: w <> '') AS ws FROM p),
+words AS MATERIALIZED (SELECT doc, lang, piece, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM s),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, w AS phrase, 1 AS m FROM words UNION ALL {_grams(range(2, 6))}),
+f AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS MATERIALIZED (SELECT * FROM f WHERE m >= 2),
+kept AS (
+  SELECT c.* FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM cand x WHERE x.lang = c.lang AND x.m > c.m AND x.a >= c.a
+      AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+  SELECT lang, phrase, m, a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS ws FROM kept
+), scores AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, l.a AS l, r.a AS r, n,
+    (1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts JOIN totals USING (lang)
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+), lowest AS (
+  SELECT lang, phrase, a, n, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS b FROM scores GROUP BY ALL
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase::BLOB) AS rank, phrase, a,
+    b.l AS l, b.r AS r, n, b.score::BIGINT AS score FROM lowest
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
