@@ -34,15 +34,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillcast.llm.common import forget, staged
-from quillcast.llm.shingle_sets import mixed, parts
+from quillcast.llm.shingle_sets import PART, mixed
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences inside one longer phrase
 BLOCK = 500_000  # phrases of a broadcast trie; some 50 MB
-BITS = 24  # of a counter's or bit's number: 64 MB of counters in a task, 16 MB as a bitmap
+BITS = 24  # of a counter's or bit's number: 64 MB of counters in a task, 2 MB as a bitmap
+SLOT = 1024  # counts that are summed as one row
+HELD = 500_000  # candidates that a task holds before it passes them on
+PIECE = 1 << 20  # characters that are cut into words at once where no words are gathered
 SEEDS = 8
+WORDS = 1 << 20  # words whose places are worked on at once
+WIDE = 8  # followers beyond which a state is placed by itself
 
 KIND = np.zeros(256, np.int8)  # of bytes: 0 in a word, 1 between words, 2 between pieces
 KIND[[0x20, 0x09]] = 1
@@ -54,7 +59,7 @@ def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = KIND[data]
     edge = np.diff(np.r_[True, kind > 0, True].astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return starts, ends, np.cumsum(kind == 2)[starts]
+    return starts, ends, np.cumsum(kind == 2, dtype=np.int32)[starts]
 
 
 def hashes_of(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
@@ -73,13 +78,21 @@ def hashes_of(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int) ->
     return np.where(out == 0, np.uint64(1), out)
 
 
-def texts_by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
-    """Languages and texts of a batch, in runs of bounded size."""
+def texts_by_language(batch: pa.RecordBatch, size: int = PART) -> Iterator[tuple[str, list[str]]]:
+    """Languages and texts of a batch, in runs of some ``size`` characters or one text."""
     lang = batch.column(0).dictionary_encode()
     codes = lang.indices.to_numpy(zero_copy_only=False)
     for code, name in enumerate(lang.dictionary.to_pylist()):
         texts = batch.column(1).filter(pa.array(codes == code))
-        yield from ((name, some) for some in parts(texts.to_pylist()))
+        held, n = [], 0
+        for text in texts:
+            held.append(text.as_py())
+            n += len(held[-1])
+            if n >= size:
+                yield name, held
+                held, n = [], 0
+        if held:
+            yield name, held
 
 
 def cut(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +152,8 @@ def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def among(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return bitmap[bucket(hashes, len(bitmap).bit_length() - 1)]
+    at = bucket(hashes, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def bitmap_of(rows: DataFrame, bits: int) -> np.ndarray:
@@ -149,7 +163,7 @@ def bitmap_of(rows: DataFrame, bits: int) -> np.ndarray:
     told = slots.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[told["slot"].to_numpy()] = told["bits"].to_numpy()
-    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+    return out.astype("<i8").view(np.uint8)
 
 
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -201,7 +215,7 @@ def word_stretches(docs: DataFrame, frequent, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in batches:
-            for lang, texts in texts_by_language(batch):
+            for lang, texts in texts_by_language(batch, PIECE):
                 data, starts, ends, pieces, bounds = cut(texts)
                 hashes = hashes_of(data, starts, ends - starts, seed)
                 kept = np.flatnonzero(among(known, phrase_hashes([hashes], own_seed(lang))))
@@ -225,8 +239,20 @@ def text_rows(langs: list[str], lang: np.ndarray, words: np.ndarray, sizes: np.n
     )
 
 
+def some_places(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Places]:
+    """The places of all texts, of some ``WORDS`` words or one text at a time."""
+    for batch in batches:
+        ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+            yield Places(batch.slice(start, end - start), size)
+            start = end
+
+
 class Places:
-    """The stretches of a batch of texts in a row, and the places where ``size`` words stand together."""
+    """The stretches of some texts in a row, and the places where ``size`` words stand together."""
 
     def __init__(self, batch: pa.RecordBatch, size: int):
         lang = batch.column(0).dictionary_encode()
@@ -246,10 +272,6 @@ class Places:
         own = np.array([own_seed(x) for x in self.langs], np.uint64)
         return phrase_hashes(self.columns(self.at), own[self.lang])
 
-    def phrases(self, chosen: np.ndarray) -> pa.RecordBatch:
-        """``lang, words`` at some of the places."""
-        return phrase_rows(self.langs, self.lang[chosen], np.stack(self.columns(self.at[chosen]), 1))
-
 
 def busy_buckets(texts: DataFrame, size: int, least: int, bits: int) -> np.ndarray:
     """A bitmap of the buckets that at least ``least`` places of phrases of ``size`` words fall into."""
@@ -266,8 +288,7 @@ def busy_buckets(texts: DataFrame, size: int, least: int, bits: int) -> np.ndarr
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n"])
             counters[:] = 0
 
-        for batch in batches:
-            places = Places(batch, size)
+        for places in some_places(batches, size):
             if seen + len(places.at) >= 1 << 32:
                 yield from told()
                 seen = 0
@@ -279,40 +300,98 @@ def busy_buckets(texts: DataFrame, size: int, least: int, bits: int) -> np.ndarr
     return bitmap_of(counts.where(F.col("n") >= least).select(F.col("bucket").cast("bigint").alias("bucket")), bits)
 
 
+def distinct_rows(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)]]
+
+
+class Distinct:
+    """Distinct phrases under some names, merged whenever as many as ``HELD`` have come."""
+
+    def __init__(self):
+        self.lists: dict = {}
+        self.new = 0
+
+    def add(self, name, phrases: np.ndarray) -> None:
+        self.lists.setdefault(name, []).append(phrases)
+        self.new += len(phrases)
+        if self.new > HELD:
+            self.lists = {name: [found] for name, found in self.merged()}
+            self.new = 0
+
+    def merged(self) -> list:
+        return [(name, distinct_rows(np.concatenate(some))) for name, some in self.lists.items()]
+
+    def held(self) -> int:
+        return sum(len(x) for some in self.lists.values() for x in some)
+
+
 def candidates(texts: DataFrame, size: int, busy) -> DataFrame:
-    """``lang, words``: the distinct phrases of ``size`` words in the stretches, in a busy bucket."""
+    """``lang, words``: the distinct phrases of ``size`` words in the stretches, in a busy bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task passes its phrases on as a row for each language and range of hashes.
+    """
+
+    def packed(found: Distinct) -> Iterator[pa.RecordBatch]:
+        for lang, phrases in found.merged():
+            slots = bucket(phrase_hashes(list(phrases.T), own_seed(lang)), 8)
+            phrases = phrases[np.argsort(slots, kind="stable")]
+            slots, n = np.unique(slots, return_counts=True)
+            columns = [
+                pa.repeat(pa.scalar(lang, pa.string()), len(slots)),
+                pa.array(slots.astype(np.int32)),
+                lists(phrases.ravel().view(np.int64), n * size),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "slot", "words"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Distinct()
+        for places in some_places(batches, size):
+            open_ = np.flatnonzero(among(busy.value, places.hashes()))
+            words, lang = np.stack(places.columns(places.at[open_]), 1), places.lang[open_]
+            for code in np.unique(lang):
+                found.add(places.langs[code], distinct_rows(words[lang == code]))
+            if found.held() > 2 * HELD:
+                yield from packed(found)
+                found = Distinct()
+        yield from packed(found)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Distinct()
         for batch in batches:
-            places = Places(batch, size)
-            hashes = places.hashes()
-            open_ = np.flatnonzero(among(busy.value, hashes))
-            _, first, same = np.unique(hashes[open_], return_index=True, return_inverse=True)
-            other = open_[first][same]  # a place with the same hash; its words may differ all the same
-            odd = places.lang[open_] != places.lang[other]
-            for a, b in zip(places.columns(places.at[open_]), places.columns(places.at[other])):
-                odd |= a != b
-            yield places.phrases(np.r_[open_[first], open_[odd]])
+            words = batch.column(2)
+            ends = np.cumsum(np.r_[0, np.diff(words.offsets.to_numpy())]) // size
+            phrases = words.flatten().to_numpy().view(np.uint64).reshape(-1, size)
+            for k, lang in enumerate(batch.column(0).to_pylist()):
+                found.add(lang, phrases[ends[k] : ends[k + 1]])
+        for lang, phrases in found.merged():
+            yield phrase_rows([lang], np.zeros(len(phrases), np.int32), phrases)
 
-    return texts.mapInArrow(run, "lang string, words array<bigint>").distinct()
+    rows = texts.mapInArrow(gather, "lang string, slot int, words array<bigint>").repartition("lang", "slot")
+    return rows.mapInArrow(merge, "lang string, words array<bigint>")
 
 
 class Trie:
-    """Phrases of one length in a double array: from state s by symbol c to ``base[s] + c`` if its ``check`` is s."""
+    """Phrases of one length in a double array: from state s by symbol c to ``base[s] + c`` if its ``check`` is s.
+
+    Words are numbered by how many phrases have them, and a word's number is read as one to
+    three symbols of 8 bits, so a state has at most 256 followers and the array stays dense.
+    """
 
     def __init__(self, langs: np.ndarray, phrases: np.ndarray):
         self.langs, lang = np.unique(langs, return_inverse=True)
         self.phrase_langs, self.phrases = lang.astype(np.int32), phrases
-        self.symbols, codes, n = np.unique(phrases, return_inverse=True, return_counts=True)
-        rank = np.empty(len(n), np.int64)
-        rank[np.argsort(-n, kind="stable")] = np.arange(1, len(n) + 1)  # frequent words get small codes
-        self.codes = rank.astype(np.int32)
-        codes = rank[codes.reshape(phrases.shape)]
-        self.room, self.lowest = len(self.langs), 0  # cells so far; none below is free
+        self.words, which, n = np.unique(phrases, return_inverse=True, return_counts=True)
+        rank = np.empty(len(n), np.int32)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+        self.numbers, which = rank, which.reshape(phrases.shape)
+        self.shifts = range((max(len(n) - 1, 1).bit_length() - 1) // 8 * 8, -1, -8)
+        self.room = len(self.langs)  # cells in use begin with a root for each language
         self.base, self.check = np.zeros(self.room, np.int32), np.full(self.room, -2, np.int32)
-        state = lang.astype(np.int64)  # a root for each language
+        state, rng = lang.astype(np.int64), np.random.default_rng(len(phrases))
         for j in range(phrases.shape[1]):
-            state = self.grow(state, codes[:, j])
+            for shift in self.shifts:
+                state = self.grow(state, symbols(rank[which[:, j]], shift), rng)
         self.base, self.check = self.base[: self.room], self.check[: self.room]
         self.phrase_of = np.full(self.room, -1, np.int32)
         self.phrase_of[state] = np.arange(len(phrases), dtype=np.int32)
@@ -320,87 +399,113 @@ class Trie:
     def reserve(self, cells: int) -> None:
         if cells > len(self.check):
             more = max(cells - len(self.check), len(self.check) // 2)
-            self.base, self.check = np.r_[self.base, np.zeros(more, np.int32)], np.r_[self.check, np.full(more, -1, np.int32)]
+            self.base = np.r_[self.base, np.zeros(more, np.int32)]
+            self.check = np.r_[self.check, np.full(more, -1, np.int32)]
 
-    def grow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def grow(self, state: np.ndarray, symbol: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Add the next symbol of all phrases; the states they lead to."""
-        most = len(self.symbols) + 1
-        pairs, where = np.unique(state * most + code, return_inverse=True)
-        parent, symbol = pairs // most, pairs % most
+        pairs, where = np.unique(state * 512 + symbol, return_inverse=True)
+        parent, symbol = pairs // 512, pairs % 512
         begin = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]][: len(parent)])
         fan = np.diff(np.r_[begin, len(parent)])
-        for k in np.argsort(-fan, kind="stable")[: int((fan > 1).sum())]:
-            symbols = symbol[begin[k] : begin[k] + fan[k]]
-            self.put(parent[begin[k]], symbols, self.fitting(symbols))
-        lone = begin[fan == 1]  # any free cell does, once it lies above all symbols
-        self.reserve(most + self.room + len(lone))
-        free = np.flatnonzero(self.check[most:] == -1)[: len(lone)] + most
-        self.base[parent[lone]] = free - symbol[lone]
-        self.check[free] = parent[lone]
-        self.room = max(self.room, int(free.max(initial=0)) + 1)
-        return (self.base[parent] + symbol)[where]
-
-    def put(self, state: int, symbols: np.ndarray, base: int) -> None:
-        self.base[state] = base
-        self.check[base + symbols] = state
-        self.room = max(self.room, base + int(symbols[-1]) + 1)
-
-    def fitting(self, symbols: np.ndarray) -> int:
-        """The least base, of some windows of free cells, whose cells for all symbols are free; else one past all."""
-        window = max(64, (1 << 18) // len(symbols))
-        self.reserve(self.room + 16 * window + int(symbols[-1]) + 1)
-        taken = np.flatnonzero(self.check[self.lowest : self.room + 1] == -1)
-        self.lowest += int(taken[0]) if len(taken) else 0
-        at = max(self.lowest, int(symbols[0]))
-        for _ in range(16):
-            bases = np.flatnonzero(self.check[at : at + window] == -1) + at - symbols[0]
-            fits = (self.check[bases[:, None] + symbols] == -1).all(1)
-            if fits.any():
-                return int(bases[fits.argmax()])
-            at += window
-            if at > self.room:
-                break
-        base = max(self.room - int(symbols[0]), 0)
-        self.reserve(base + int(symbols[-1]) + 1)
-        return base
-
-    def coded(self, words: np.ndarray) -> np.ndarray:
-        """Codes of words, 0 for those in no phrase."""
-        at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == words, self.codes[at], 0)
+        bases = np.zeros(len(begin), np.int64)
+        wide = np.flatnonzero(fan > WIDE)
+        for k in wide[np.argsort(-fan[wide], kind="stable")]:
+            bases[k] = self.fitting(symbol[begin[k] : begin[k] + fan[k]])
+            self.check[bases[k] + symbol[begin[k] : begin[k] + fan[k]]] = parent[begin[k]]
+            self.room = max(self.room, int(bases[k]) + 257)
+        node = np.repeat(np.arange(len(begin)), fan)
+        self.scatter(node, parent, symbol, np.flatnonzero(fan[node] <= WIDE), bases, rng)
+        self.base[parent[begin]] = bases
+        return (bases[node] + symbol)[where]
+
+    def scatter(self, node, parent, symbol, left, bases: np.ndarray, rng: np.random.Generator) -> None:
+        """Bases for many states at once: each tries a place, those without a clash keep it, the others try again."""
+        room = max(self.room, int(1.5 * ((self.check[: self.room] != -1).sum() + len(left)))) + 512
+        while len(left):
+            self.reserve(room)
+            tried = rng.integers(0, room - 257, len(bases))
+            cells = tried[node[left]] + symbol[left]
+            owner = np.full(room, -1, np.int64)
+            owner[cells] = node[left]
+            clash = (owner[cells] != node[left]) | (self.check[cells] != -1)
+            failed = np.zeros(len(bases), bool)
+            failed[node[left[clash]]] = True
+            fits = ~failed[node[left]]
+            done = left[fits]
+            bases[node[done]] = tried[node[done]]
+            self.check[cells[fits]] = parent[done]
+            self.room = max(self.room, int(cells[fits].max(initial=0)) + 257)
+            if 4 * len(done) < len(left):
+                room += room // 8
+            left = left[~fits]
+
+    def fitting(self, symbol: np.ndarray) -> int:
+        """The first base in the last few thousand cells where all symbols find a free cell, else one past them."""
+        start = max(self.room - 4096, 0)
+        self.reserve(self.room + 600)
+        free = np.flatnonzero(self.check[start : self.room] == -1) + start - symbol[0]
+        free = free[free >= 0]
+        fits = (self.check[free[:, None] + symbol] == -1).all(1)
+        return int(free[fits.argmax()]) if fits.any() else self.room
+
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for those in no phrase."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.numbers[at], -1)
 
     def counts(self, places: Places) -> np.ndarray:
-        """How often each phrase stands there: all places advance together, word by word."""
+        """How often each phrase stands there: all places advance together, symbol by symbol."""
         index = {x: k for k, x in enumerate(self.langs.tolist())}
         root = np.array([index.get(x, -1) for x in places.langs], np.int32)
         state = root[places.lang]
-        at, state, codes = places.at[state >= 0], state[state >= 0], self.coded(places.words)
+        at, state, numbers = places.at[state >= 0], state[state >= 0], self.numbered(places.words)
         for j in range(places.size):
-            code = codes[at + j]
-            target = self.base[state] + code
-            known = (code > 0) & (target < self.room)
-            known[known] = self.check[target[known]] == state[known]
-            at, state = at[known], target[known]
+            known = numbers[at + j] >= 0
+            at, state = at[known], state[known]
+            for shift in self.shifts:
+                target = self.base[state] + symbols(numbers[at + j], shift)
+                known = self.check[np.minimum(target, self.room - 1)] == state
+                known &= target < self.room
+                at, state = at[known], target[known]
         return np.bincount(self.phrase_of[state], minlength=len(self.phrases))
 
 
-def counted(texts: DataFrame, size: int, trie) -> DataFrame:
-    """``lang, words, n`` of a trie's phrases."""
+def symbols(numbers: np.ndarray, shift: int) -> np.ndarray:
+    """Eight bits of words' numbers, from 1 on."""
+    return ((numbers >> shift) & 255) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def counted(texts: DataFrame, size: int, trie, least: int) -> DataFrame:
+    """``lang, words, n`` of a trie's phrases that stand in the texts ``least`` times.
+
+    A task's counts are a row for each ``SLOT`` phrases, and so is their sum: rows of single
+    counts would be as many as phrases times tasks. All sums together are no larger than the trie.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = trie.value
         totals = np.zeros(len(held.phrases), np.int64)
+        for places in some_places(batches, size):
+            totals += held.counts(places)
+        totals = np.r_[totals, np.zeros(-len(totals) % SLOT, np.int64)].reshape(-1, SLOT)
+        slots = np.flatnonzero(totals.any(1))
+        columns = [pa.array(slots.astype(np.int32)), lists(totals[slots].ravel(), np.full(len(slots), SLOT))]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals = trie.value, {}
         for batch in batches:
-            totals += held.counts(Places(batch, size))
-        found = np.flatnonzero(totals)
-        langs = held.langs.tolist()
-        for start in range(0, len(found), 1 << 16):
-            some = found[start : start + (1 << 16)]
-            yield phrase_rows(langs, held.phrase_langs[some], held.phrases[some], pa.array(totals[some]))
-
-    return texts.mapInArrow(run, "lang string, words array<bigint>, n bigint").groupBy("lang", "words").agg(
-        F.sum("n").alias("n")
-    )
+            counts = batch.column(1).flatten().to_numpy().reshape(-1, SLOT)
+            for slot, row in zip(batch.column(0).to_pylist(), counts):
+                totals[slot] = totals.get(slot, 0) + row
+        for slot, row in totals.items():
+            found = np.flatnonzero(row >= least)
+            at = slot * SLOT + found
+            yield phrase_rows(held.langs.tolist(), held.phrase_langs[at], held.phrases[at], pa.array(row[found]))
+
+    counts = texts.mapInArrow(count, "slot int, counts array<bigint>").repartition("slot")
+    return counts.mapInArrow(add, "lang string, words array<bigint>, n bigint")
 
 
 def phrase_buckets(frequent: DataFrame, bits: int) -> DataFrame:
@@ -423,8 +528,7 @@ def phrase_stretches(texts: DataFrame, size: int, frequent) -> DataFrame:
     """``lang, words``: the texts cut down to stretches of phrases in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = Places(batch, size)
+        for places in some_places(batches, size):
             kept = places.at[among(frequent.value, places.hashes())]
             words, sizes = stretches(places.words, kept, size, places.bounds)
             yield text_rows(places.langs, places.text_lang, words, sizes)
@@ -446,7 +550,7 @@ def frequencies(texts: DataFrame, size: int, least: int, folder: str, block: int
             continue
         words = some["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(some), size)
         trie = sc.broadcast(Trie(np.array(some["lang"].to_pylist()), words))
-        found.append(staged(counted(texts, size, trie).where(F.col("n") >= least), folder, f"frequent-{size}-{k}"))
+        found.append(staged(counted(texts, size, trie, least), folder, f"frequent-{size}-{k}"))
         trie.unpersist()
     forget(spark, folder, f"asked-{size}")
     if not found:
