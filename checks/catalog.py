@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -31,6 +29,7 @@ from quillcast.operators import trending as T
 from quillcast.plans import digest as Q
 from quillcast.plans import trending as QT
 from quillcast.sources import feeds, pages, repos, tables
+from quillcast.streaming import seen as SN
 from quillcast.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +54,10 @@ class Inputs:
         """All articles of the entries, without any cap."""
         return A.normalise(self.fx_entries)
 
+    def all_articles(self) -> DataFrame:
+        """All of them with the digest of their source."""
+        return A.stamp_source(self.articles(), self.fx_sources)
+
     def live(self) -> DataFrame:
         return E.seen_set_live(self.fx_page_marks, ASOF, MARK_TTL)
 
@@ -167,6 +170,26 @@ def atom_scan(t):
     )
 
 
+@query(
+    f"""SELECT {FEED_TITLE} AS title, url, {S.summary('html')} AS summary, '2024-01-01 08:30:00' AS published_at FROM pages
+        UNION ALL SELECT 'x—y', concat(url, '&n=2'), '', NULL FROM pages"""
+)
+def feed_dump_scan(t):
+    """A dump with two entries of every page, read in parts."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    text = F.concat(
+        F.lit("<channel><item><title><![CDATA["), title, F.lit("]]></title><link> "), esc(F.col("url")),
+        F.lit(" </link><description><![CDATA["), F.col("html"),
+        F.lit("]]></description><pubDate>Mon, 01 Jan 2024 08:30:00 GMT</pubDate></item>\n<item><title>x&mdash;y</title><link>"),
+        esc(F.col("url")), F.lit("&n=2</link></item></channel>"),
+    )
+    folder = _folder(t)
+    t.pages.select(text.alias("value")).write.text(folder)
+    found = A.normalise(feeds.read_feed_dump(t.spark, folder).withColumn("source_id", F.lit(1)))
+    return found.select("title", "url", "summary", text_of("published_at"))
+
+
 @query("SELECT page_id FROM pages WHERE page_id % 5 IN (0, 1)")
 def feeds_without_entries(t):
     """Feed documents that give no entry: broken in the first one, or without any."""
@@ -257,11 +280,20 @@ def settings_latest(t):
     return G.settings_latest(log)
 
 
-@query(sql("SELECT DISTINCT page_no FROM fx_listing WHERE page_no % 5 <> 0", "fx_listing"))
+@query(
+    sql(
+        """SELECT page_no, md5(string_agg(CASE WHEN page_no % 2 = 0
+               THEN concat('<article class="r">', chr(10), '<h2><a href="/', repo_path, '">x</a></h2></article>')
+               ELSE concat('<a href="/', repo_path, '" class="l">', chr(10), ' <span class="n">x</span></a>') END,
+               chr(10) ORDER BY pos)) AS body FROM fx_listing WHERE page_no % 5 <> 0 GROUP BY page_no""",
+        "fx_listing",
+    )
+)
 def listing_scan(t):
     """Listing responses; every 5th failed."""
     status = F.when(F.col("page_no") % 5 == 0, 503).otherwise(200)
-    return pages.fetched_only(t.listing().withColumn("status", status)).select("page_no")
+    found = pages.fetched_only(t.listing().withColumn("status", status))
+    return found.select("page_no", F.md5("html").alias("body"))
 
 
 REPO_COLUMNS = "full_name, description, stargazers_count, language, html_url, topic_list AS topics"
@@ -413,6 +445,19 @@ def anti_ledger(t):
     return V.anti_ledger(t.articles(), t.fx_ledger).select("source_id", "position", "url_hash")
 
 
+@query(ORACLES["anti_ledger"])
+def anti_ledger_kept(t):
+    """The same from a kept ledger: a folded base, which is not shuffled, and a part since."""
+    ledger = tables.ledger_of(t.spark, _folder(t), buckets=16)
+    rows = t.fx_ledger.withColumn("sent_date", F.to_date("sent_at"))
+    rows = rows.select("url_hash", "title", "source_id", "sent_at", "sent_date")
+    newer = F.col("sent_at") >= D.at(ASOF)
+    ledger.append("older", rows.where(~newer))
+    ledger.fold(1)
+    ledger.append("newer", rows.where(newer))
+    return V.anti_ledger(t.articles(), ledger.view()).select("source_id", "position", "url_hash")
+
+
 @query(
     sql(
         """SELECT source_id, position, title, url_hash FROM o_articles
@@ -476,19 +521,35 @@ def stamp_source(t):
     )
 
 
-@query(sql("SELECT digest_id, source_a, position_a, source_b, position_b, jaccard FROM o_pairs", *S.PAIRS))
+@query(sql("SELECT digest_id, source_a, position_a, source_b, position_b, jaccard FROM o_pairs", *S.ALL_PAIRS))
 def near_dup_pairs(t):
-    return N.near_dup_pairs(t.staged(t.capped()), SIZE, THRESHOLD)
+    """Over all articles of all entries; of copies the first."""
+    return N.near_dup_pairs(t.staged(t.all_articles()), SIZE, THRESHOLD)
 
 
-@query(sql("SELECT digest_id, source_id, position, title FROM o_kept", *S.PAIRS))
+@query(
+    sql(
+        """SELECT digest_id, source_id, position, struct_extract(rep, 1) AS source_rep, struct_extract(rep, 2) AS position_rep
+           FROM o_reps""",
+        *S.ALL_PAIRS,
+    )
+)
+def near_dup_sets(t):
+    return N.near_dup_sets(t.all_articles(), SIZE)
+
+
+@query(sql("SELECT digest_id, source_id, position, title FROM o_kept", *S.ALL_PAIRS))
 def near_dup_keep(t):
-    return N.near_dup_keep(t.staged(t.capped()), SIZE, THRESHOLD).select(
+    """One article of each connected group of all articles of all entries."""
+    return N.near_dup_keep(t.staged(t.all_articles()), SIZE, THRESHOLD, _folder(t)).select(
         "digest_id", "source_id", "position", "title"
     )
 
 
-# Aggregations
+@query(sql("SELECT digest_id, source_id, position, title FROM o_kept", *S.PAIRS))
+def near_dup_keep_shown(t):
+    """The same for the articles that digests show."""
+    return N.near_dup_keep_shown(t.capped(), SIZE, THRESHOLD).select("digest_id", "source_id", "position", "title")
 
 
 @query(
@@ -559,7 +620,7 @@ def topic_assign(t):
     )
 )
 def topic_groups(t):
-    kept = N.near_dup_keep(t.staged(t.capped()), SIZE, THRESHOLD)
+    kept = N.near_dup_keep_shown(t.capped(), SIZE, THRESHOLD)
     return P.topic_groups(P.topic_assign(kept, S.TEST_TOPIC_WORDS))
 
 
@@ -596,7 +657,7 @@ def fallback_headlines(t):
 @query(
     sql(
         f"""SELECT digest_id, concat('📰 *Your Daily AI & Tech Digest*', chr(10), '_',
-                   strftime(CAST({AT} AS DATE), '%A, %B %-d %Y'), '_', chr(10), {S.lit(fixed.SEPARATOR)}, chr(10), chr(10),
+                   '{S.LOCAL_DAY}', '_', chr(10), {S.lit(fixed.SEPARATOR)}, chr(10), chr(10),
                    {S.lit(fixed.LINKED_INTRO)}, chr(10), chr(10), string_agg(concat('• [', {escape('title')}, '](', url,
                    ') _\\(', {escape('source_name')}, '\\)_'), chr(10) ORDER BY source_id, position), chr(10), chr(10),
                    {S.lit(fixed.SEPARATOR)}, chr(10), {S.lit(fixed.PLAIN_FOOTER)}) AS text
@@ -936,10 +997,7 @@ def sent_per_day(t):
 
 
 def _folder(t: Inputs) -> str:
-    sc = t.spark.sparkContext
-    if not (t.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checks-"))  # a session of tests
-    return f"{tables.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    return tables.scratch(t.spark)
 
 
 def _stream(t: Inputs, name: str) -> DataFrame:
@@ -948,12 +1006,50 @@ def _stream(t: Inputs, name: str) -> DataFrame:
     return streams.landed(t.spark, path, table(t.spark, t.sf_dir, name).schema)
 
 
+def _landed(t: Inputs, df: DataFrame, order: str, files: int = 3) -> DataFrame:
+    """Stream of rows that landed in order of a column, in some files; a file is a batch."""
+    path = _folder(t)
+    ranged = t.staged(df.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()))
+    for k in range(files):
+        ranged.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return streams.landed(t.spark, path, df.schema, 1)
+
+
 @query(SENT_PER_DAY.format("ts", "events"))
 def stream_sent_per_day(t):
-    """The running count over the events as a stream of sends."""
-    sent = _stream(t, "events").withColumnRenamed("ts", "sent_at")
-    out = streams.write_available(streams.sent_per_day_stream(sent), _folder(t), "complete")
-    return out.withColumn("sent_date", text_of("sent_date"))
+    """The running count over the events as a stream of sends; each batch writes the days it changes."""
+    sent = _landed(t, t.events.select(F.col("ts").alias("sent_at")), "sent_at")
+    root = _folder(t)
+    streams.upsert_day_counts(streams.sent_per_day_stream(sent), root).awaitTermination()
+    return streams.read_day_counts(t.spark, root).withColumn("sent_date", text_of("sent_date"))
+
+
+@query(sql(TENANT_LIVE, "fx_marks"))
+def stream_seen_set(t):
+    """Live keys of all sets after several batches of marks up to a point in time."""
+    marks = _landed(t, t.fx_marks.where(F.col("marked_at") <= D.at(ASOF)), "marked_at")
+    kept = SN.SeenSet(t.spark, _folder(t), "tenant_id bigint", TENANT_TTL, buckets=16)
+    SN.seen_stream(marks, kept).awaitTermination()
+    return kept.live(ASOF)
+
+
+@query(
+    sql(
+        f"""SELECT tenant_id, CAST(min(marked_at) AS VARCHAR) AS first_mark, CAST(max(marked_at) AS VARCHAR) AS last_mark,
+                   count(*) AS n_marks
+            FROM (SELECT *, sum(CASE WHEN before IS NULL OR marked_at >= before + INTERVAL {TENANT_TTL} THEN 1 ELSE 0 END)
+                         OVER (PARTITION BY tenant_id ORDER BY marked_at RANGE UNBOUNDED PRECEDING) AS life
+                  FROM (SELECT *, lag(marked_at) OVER (PARTITION BY tenant_id ORDER BY marked_at) AS before FROM fx_marks))
+            GROUP BY tenant_id, life
+            HAVING max(marked_at) + INTERVAL {TENANT_TTL} <= (SELECT max(marked_at) FROM fx_marks)""",
+        "fx_marks",
+    )
+)
+def stream_set_lives(t):
+    """Every life of a set that has ended by the newest mark."""
+    lives = SN.lives_stream(_landed(t, t.fx_marks, "marked_at"), TENANT_TTL, ["tenant_id"])
+    out = streams.write_available(lives, _folder(t))
+    return out.select("tenant_id", text_of("first_mark"), text_of("last_mark"), "n_marks")
 
 
 @query("SELECT DISTINCT user_id % 40 AS key FROM events")
@@ -976,13 +1072,81 @@ def stream_ttl_dedup(t):
 )
 def stream_digest(t):
     """New articles found by the stream over the entries; the ledger is empty before it."""
+    found = t.spark.read.schema(schemas.ARTICLES).parquet(f"{_digest_stream(t)}/articles")
+    return found.select("source_id", "position", "title", "url_hash")
+
+
+def _digest_stream(t: Inputs) -> str:
     root = _folder(t)
     # Landed entries are what a stream starts from; each source has one document, in one file.
     t.fx_entries.drop("page_id").repartition("source_id").write.parquet(f"{root}/landed")
     entries = streams.landed(t.spark, f"{root}/landed", schemas.ENTRIES)
-    streams.digest_stream(entries, t.fx_sources, f"{root}/run", ASOF).awaitTermination()
-    found = t.spark.read.schema(schemas.ARTICLES).parquet(f"{root}/run/articles")
-    return found.select("source_id", "position", "title", "url_hash")
+    words = S.TEST_TOPIC_WORDS
+    streams.digest_stream(entries, t.fx_sources, f"{root}/run", ASOF, topic_words=words).awaitTermination()
+    return f"{root}/run"
+
+
+FEED_RUN = [
+    ("fx_sources", S.DUCKDB["fx_sources"]),
+    ("fx_entries", S.DUCKDB["fx_entries"]),
+    (
+        "o_cap",
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY position) AS n
+                          FROM fx_entries) WHERE n <= 10""",
+    ),
+    (
+        "o_new",
+        f"""SELECT a.*, s.name AS source_name, s.digest_id FROM ({S.normal('o_cap')}) a
+            JOIN fx_sources s USING (source_id) WHERE s.active AND s.type = 'rss'""",
+    ),
+    S.CAPPED[-1],
+    *S.near_dups("o_capped"),
+]
+
+
+def _feed_files(t: Inputs, path: str) -> None:
+    """One feed file for each source, in a folder with the hash of its URL."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    element = lambda name: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"<{name}>"), esc(F.col(name)), F.lit(f"</{name}>")))
+    fields = [F.coalesce(element(c), F.lit("")) for c in ("link", "title", "summary", "description")]
+    item = F.concat(F.lit("<item>"), *fields, F.lit("<pubDate>"), F.col("published"), F.lit("</pubDate></item>"))
+    owned = t.fx_entries.join(t.fx_sources.select("source_id", U.url_hash("url").alias("feed")), "source_id")
+    # a feed shows its first entries, some more than the cap
+    first = K.first_per_group(owned, ["source_id"], ["position"], 2 * fixed.FEED_CAP, "place")
+    items = F.array_sort(F.collect_list(F.struct("place", item.alias("xml"))))
+    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(items, lambda x: x["xml"]), ""), F.lit("</channel></rss>"))
+    feeds_of = first.groupBy("feed").agg(body.alias("value"))
+    feeds_of.repartition("feed").write.partitionBy("feed").option("lineSep", "\n\n").text(path)
+
+
+@query(
+    sql(
+        """SELECT url_hash, title, source_id FROM (
+               SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY source_id, position) AS n FROM o_new) WHERE n = 1""",
+        *FEED_RUN,
+    )
+)
+def stream_feed_files(t):
+    """The ledger after a stream over landed feed files; the registry is read again for each batch."""
+    path, root = _folder(t), _folder(t)
+    _feed_files(t, path)
+    entries = streams.landed_feeds(t.spark, path, first=fixed.FEED_CAP)
+    registry = lambda session: view(session, t.sf_dir, "fx_sources")
+    streams.digest_stream(entries, registry, root, ASOF, topic_words=S.TEST_TOPIC_WORDS).awaitTermination()
+    return tables.ledger_of(t.spark, root).read().select("url_hash", "title", "source_id")
+
+
+@query(
+    sql(
+        "SELECT k AS digest_id, n AS chunk_no, chunk FROM o_chunks",
+        *FEED_RUN, *S.BODIES, S.HEADERS, S.TEXTS, S.chunks("o_texts", "digest_id", "text"),
+    )
+)
+def stream_digest_messages(t):
+    """Messages that the stream over the entries writes for its one batch."""
+    root = _digest_stream(t)
+    sent = t.spark.read.schema(schemas.MESSAGES).parquet(f"{root}/messages")
+    return sent.select("digest_id", "chunk_no", "chunk")
 
 
 # Registry
@@ -1078,7 +1242,8 @@ def _run_job(t: Inputs) -> str:
     """Run the job over a kept ledger and kept marks; gives the folder of its tables."""
     root = _folder(t)
     days = t.fx_ledger.withColumn("sent_date", F.to_date("sent_at"))
-    tables.write_ledger(days.select("url_hash", "title", "source_id", "sent_at", "sent_date"), f"{root}/ledger")
+    before = days.select("url_hash", "title", "source_id", "sent_at", "sent_date")
+    tables.ledger_of(t.spark, root).append("before", before)
     t.fx_page_marks.withColumn("run", F.lit("before")).write.partitionBy("run").parquet(f"{root}/marks")
     Q.run_digest(
         t.spark, t.fx_sources, t.fx_entries, t.fx_markdown, root, ASOF, MARK_TTL, S.TEST_TOPIC_WORDS
@@ -1104,7 +1269,7 @@ def digest_job(t):
 )
 def digest_job_ledger(t):
     """The ledger after the run."""
-    ledger = tables.read_ledger(t.spark, f"{_run_job(t)}/ledger")
+    ledger = tables.ledger_of(t.spark, _run_job(t)).read()
     return ledger.select("url_hash", "title", "source_id", text_of("sent_at"))
 
 

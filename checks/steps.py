@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 from checks.views import DUCKDB, with_steps
 from quillcast import fixed
@@ -21,6 +22,7 @@ TEST_TOPIC_WORDS = dict(
 )
 SIZE, THRESHOLD = 3, 0.8
 
+LOCAL_DAY = f"{ASOF.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(ZONE)):%A, %B %-d %Y}"
 AT = f"TIMESTAMP '{ASOF:%Y-%m-%d %H:%M:%S}'"
 
 
@@ -152,34 +154,61 @@ CAPPED = NEW + [
     ),
 ]
 
-PAIRS = CAPPED + [
-    (
-        "o_sets",
-        f"""SELECT digest_id, source_id, position, place, length(summary) AS size, list_distinct(list_transform(
-                range(1, greatest(len(w) - {SIZE - 1}, 1) + 1),
-                lambda i: array_to_string(w[i:i + {SIZE - 1}], ' '))) AS sh
-            FROM (SELECT *, {words("concat_ws(' ', title, summary)")} AS w FROM o_capped)""",
-    ),
-    (
-        "o_pairs",
-        f"""SELECT *, shared / (len(sa) + len(sb) - shared) AS jaccard FROM (
-                SELECT a.digest_id, a.source_id AS source_a, a.position AS position_a,
-                       b.source_id AS source_b, b.position AS position_b, a.size AS size_a,
-                       b.size AS size_b, a.sh AS sa, b.sh AS sb,
-                       len(list_intersect(a.sh, b.sh)) AS shared
-                FROM o_sets a JOIN o_sets b ON a.digest_id = b.digest_id AND a.place < b.place)
-            WHERE shared / (len(sa) + len(sb) - shared) >= {THRESHOLD}""",
-    ),
+# Articles of all entries with the digest of their source, without any cap.
+ALL = [
+    ("fx_sources", DUCKDB["fx_sources"]),
+    ("fx_entries", DUCKDB["fx_entries"]),
+    ARTICLES,
     (
-        "o_kept",
-        """SELECT * FROM o_capped c WHERE NOT EXISTS (
-               SELECT 1 FROM o_pairs p WHERE p.digest_id = c.digest_id AND (
-                   (p.source_a = c.source_id AND p.position_a = c.position AND size_b > size_a) OR
-                   (p.source_b = c.source_id AND p.position_b = c.position AND size_b <= size_a)))""",
+        "o_all",
+        """SELECT a.*, s.name AS source_name, s.digest_id FROM o_articles a JOIN fx_sources s USING (source_id)""",
     ),
 ]
 
 
+def near_dups(articles: str) -> list[tuple[str, str]]:
+    """Similar pairs, connected groups and what is kept of them, by comparing every pair."""
+    return [
+        (
+            "o_sets",
+            f"""SELECT digest_id, source_id, position, row(source_id, position) AS place, length(summary) AS size,
+                    list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {SIZE - 1}, 1) + 1),
+                        lambda i: array_to_string(w[i:i + {SIZE - 1}], ' ')))) AS sh
+                FROM (SELECT *, {words("concat_ws(' ', title, summary)")} AS w FROM {articles})""",
+        ),
+        ("o_reps", "SELECT *, min(place) OVER (PARTITION BY digest_id, sh) AS rep FROM o_sets"),
+        (
+            "o_pairs",
+            f"""SELECT *, shared / (len(sa) + len(sb) - shared) AS jaccard FROM (
+                    SELECT a.digest_id, a.source_id AS source_a, a.position AS position_a,
+                           b.source_id AS source_b, b.position AS position_b, a.place AS pa, b.place AS pb,
+                           a.sh AS sa, b.sh AS sb, len(list_intersect(a.sh, b.sh)) AS shared
+                    FROM o_reps a JOIN o_reps b ON a.digest_id = b.digest_id AND a.place < b.place
+                    WHERE a.place = a.rep AND b.place = b.rep)
+                WHERE shared / (len(sa) + len(sb) - shared) >= {THRESHOLD}""",
+        ),
+        (
+            "o_reach",
+            """SELECT digest_id, rep AS node, rep AS root FROM o_reps
+               UNION SELECT r.digest_id, CASE WHEN r.node = p.pa THEN p.pb ELSE p.pa END, r.root
+               FROM o_reach r JOIN o_pairs p ON p.digest_id = r.digest_id AND (r.node = p.pa OR r.node = p.pb)""",
+        ),
+        ("o_groups", "SELECT digest_id, node, min(root) AS grp FROM o_reach GROUP BY ALL"),
+        (
+            "o_kept",
+            f"""SELECT c.* FROM {articles} c JOIN (
+                    SELECT digest_id, source_id, position, row_number() OVER (
+                        PARTITION BY digest_id, grp ORDER BY size DESC, place) AS n
+                    FROM o_reps r JOIN o_groups g USING (digest_id) WHERE g.node = r.rep) k
+                ON k.digest_id = c.digest_id AND k.source_id = c.source_id AND k.position = c.position WHERE n = 1""",
+        ),
+    ]
+
+
+PAIRS = CAPPED + near_dups("o_capped")
+ALL_PAIRS = ALL + near_dups("o_all")
+
+
 def topics(articles: str) -> str:
     scores = ", ".join(
         f"len(list_filter(w, lambda x: list_contains({listed!r}, x)))"
@@ -220,7 +249,7 @@ HEADERS = (
     "o_headers",
     f"""SELECT digest_id, n_articles, n_sources, concat(
             '📰 *Your Daily AI & Tech Digest*', chr(10), '_',
-            strftime(CAST({AT} AS DATE), '%A, %B %-d %Y'), ', ', n_articles, ' articles from ',
+            '{LOCAL_DAY}, ', n_articles, ' articles from ',
             n_sources, ' sources_', chr(10), {lit(fixed.SEPARATOR)}, chr(10), chr(10)) AS header
         FROM (SELECT digest_id, count(*) AS n_articles FROM o_new GROUP BY digest_id)
         JOIN (SELECT digest_id, count(*) AS n_sources FROM fx_sources WHERE active GROUP BY digest_id)

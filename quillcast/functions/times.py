@@ -49,6 +49,13 @@ def instant(c: Column | str) -> Column:
     return F.concat(as_col(c).cast("string"), F.lit("Z")).cast("timestamp")
 
 
+def utc(c: Column | str) -> Column:
+    """UTC time of an instant, whatever the zone of the session."""
+    seconds = F.unix_micros(as_col(c)).cast("decimal(20,0)") / F.lit(1_000_000)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+
+
 def utc_date(c: Column | str) -> Column:
     """Date in UTC of an instant."""
     return F.date_from_unix_date(F.floor(F.unix_seconds(as_col(c)) / 86400).cast("int"))
@@ -63,9 +70,7 @@ def published_at(c: Column | str) -> Column:
     zoned = F.when(text.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$"), text).otherwise(F.concat(text, F.lit("Z")))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned.try_cast("timestamp"))
     # from the instant itself: a local time is told twice when clocks go back
-    seconds = F.unix_micros(F.coalesce(mail, iso)).cast("decimal(20,0)") / F.lit(1_000_000)
-    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+    return utc(F.coalesce(mail, iso))
 
 
 def long_date(c: Column | str) -> Column:

@@ -20,7 +20,7 @@ from quillcast.functions.text import (
     message_chunks,
     or_default,
 )
-from quillcast.functions.times import long_date
+from quillcast.functions.times import at, local_time, long_date
 
 _ORDER = ["source_id", "position"]
 
@@ -93,9 +93,9 @@ def linked_line() -> Column:
     )
 
 
-def linked_headlines(capped: DataFrame, asof: datetime) -> DataFrame:
-    """Whole text of a digest of linked headlines."""
-    day = escape_markup(long_date(F.lit(asof.date())))
+def linked_headlines(capped: DataFrame, asof: datetime, zone: str = fixed.DIGEST_ZONE) -> DataFrame:
+    """Whole text of a digest of linked headlines, dated in ``zone``."""
+    day = escape_markup(long_date(F.to_date(local_time(at(asof), zone))))
     lines = _join_lines(capped, ["digest_id"], _ORDER, linked_line(), "\n")
     return lines.select(
         "digest_id",
@@ -119,14 +119,20 @@ def digest_or_fallback(capped: DataFrame, bodies: DataFrame) -> DataFrame:
     )
 
 
-def digest_header(new: DataFrame, sources: DataFrame, asof: datetime) -> DataFrame:
-    """Header of each digest: all its new articles, and the active sources asked for it."""
+def digest_header(
+    new: DataFrame, sources: DataFrame, asof: datetime, zone: str = fixed.DIGEST_ZONE
+) -> DataFrame:
+    """Header of each digest: all its new articles, and the active sources asked for it.
+
+    The date is the reader's: that of ``asof``, a UTC time, in ``zone``.
+    """
+    day = F.to_date(local_time(at(asof), zone))
     counts = new.groupBy("digest_id").agg(F.count("*").alias("n_articles"))
     asked = sources.where("active").groupBy("digest_id").agg(F.count("*").alias("n_sources"))
     figures = F.format_string(fixed.FIGURES, "n_articles", "n_sources")
     header = F.concat(
         F.lit(f"{fixed.DIGEST_TITLE}\n_"),
-        escape_markup(long_date(F.lit(asof.date()))),
+        escape_markup(long_date(day)),
         F.lit(", "),
         escape_markup(figures),
         F.lit(f"_\n{fixed.SEPARATOR}\n\n"),

@@ -5,7 +5,8 @@ shingles reaches the threshold, which is above 0. Articles of equal shingles
 are one set, so copies are never compared with each other. Two similar sets
 share one of the rarest shingles of each (as many as a set may lack, and one),
 so candidates come from an equi-join on those; similarity is then exact. No
-cap is applied here: the digest job compares what a digest shows.
+cap is applied here. The digest job, which shows a capped number of articles, compares
+these inside a row (``near_dup_keep_shown``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillcast import fixed
 from quillcast.functions.text import words
+from quillcast.operators.connected import connected
+from quillcast.sources import tables
 
 
 def shingles(size: int) -> Column:
@@ -67,45 +71,94 @@ def _similar(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def near_dup_pairs(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
-    """Near-duplicate pairs of each digest, each once, the earlier place first."""
-    rows = _in_sets(articles, size)
-    sets = rows.select("digest_id", "_key", "_set").dropDuplicates(["_key"])
-    similar = _similar(sets, threshold)
-    turned = similar.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")
-    same = sets.select(F.col("_key").alias("a"), F.col("_key").alias("b"), F.lit(1.0).alias("jaccard"))
-    if threshold > 1:
-        same = same.limit(0)
-    side = lambda x: rows.select(
-        *(["digest_id"] if x == "a" else []),
-        F.col("_key").alias(x),
-        F.col("_place").alias(f"_place_{x}"),
-        F.col("source_id").alias(f"source_{x}"),
-        F.col("position").alias(f"position_{x}"),
+def near_dup_sets(articles: DataFrame, size: int = 3) -> DataFrame:
+    """Each article with the first article of its digest that has the same shingles, which stands for it.
+
+    ``digest_id, source_id, position, source_rep, position_rep``: a row per article, however many copies.
+    """
+    rows = _in_sets(articles, size).select("digest_id", "source_id", "position", "_key", "_place")
+    first = rows.groupBy("_key").agg(F.min("_place").alias("_first"))
+    return rows.join(first, "_key").select(
+        "digest_id",
+        "source_id",
+        "position",
+        F.col("_first.source_id").alias("source_rep"),
+        F.col("_first.position").alias("position_rep"),
     )
-    pairs = similar.unionByName(turned).unionByName(same).join(side("a"), "a").join(side("b"), "b")
-    return pairs.where("_place_a < _place_b").select(
-        "digest_id", "source_a", "position_a", "source_b", "position_b", "jaccard"
+
+
+def near_dup_pairs(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
+    """Similar articles of each digest of different shingles, each pair once, the earlier place first.
+
+    Of copies only the first is in pairs; ``near_dup_sets`` gives the others.
+    """
+    sets = _in_sets(articles, size).groupBy("_key")
+    sets = sets.agg(F.first("digest_id").alias("digest_id"), F.first("_set").alias("_set"), F.min("_place").alias("_place"))
+    similar = _similar(sets.select("digest_id", "_key", "_set"), threshold)
+    side = lambda x: sets.select("digest_id", F.col("_key").alias(x), F.col("_place").alias(f"_place_{x}"))
+    both = similar.join(side("a"), "a").join(side("b").drop("digest_id"), "b")
+    first, last = F.least("_place_a", "_place_b"), F.greatest("_place_a", "_place_b")
+    return both.select("digest_id", first.alias("_f"), last.alias("_l"), "jaccard").select(
+        "digest_id",
+        F.col("_f.source_id").alias("source_a"),
+        F.col("_f.position").alias("position_a"),
+        F.col("_l.source_id").alias("source_b"),
+        F.col("_l.position").alias("position_b"),
+        "jaccard",
     )
 
 
-def near_dup_keep(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
-    """Articles of each digest without a more informative near-duplicate in it.
+def _rank() -> Column:
+    """The longest summary first, of equals the earlier place; a null summary is shortest."""
+    return F.struct((-F.coalesce(F.length("summary"), F.lit(-1))).alias("n"), "_place")
+
 
-    The longer summary is the more informative one; of equals, the earlier article.
-    The best article of a set stands for its copies, so no pairs of copies are made.
+def near_dup_keep(articles: DataFrame, size: int = 3, threshold: float = 0.8, folder: str | None = None) -> DataFrame:
+    """The most informative article of each connected group of near-duplicates of a digest.
+
+    The longer summary is the more informative one; of equals, the earlier article. Groups
+    are connected: if A is similar to B and B to C, one of the three stays. Links
+    are between sets of equal shingles, so copies never make pairs. Rounds of the search
+    for groups are written below ``folder``, by default in the shared folder.
     """
-    rows = _in_sets(articles, size).withColumn("_rank", F.struct((-F.length("summary")).alias("n"), "_place"))
-    ranked = rows.where("summary is not null")
-    best = ranked.groupBy("_key").agg(
+    spark = articles.sparkSession
+    folder = folder or tables.scratch(spark)
+    rows = _in_sets(articles, size).withColumn("_rank", _rank())
+    sets = rows.groupBy("_key").agg(
         F.first("digest_id").alias("digest_id"), F.first("_set").alias("_set"), F.min("_rank").alias("_best")
     )
-    similar = _similar(best.select("digest_id", "_key", "_set"), threshold)
-    rank_of = lambda x: best.select(F.col("_key").alias(x), F.col("_best").alias(f"_best_{x}"))
-    met = similar.join(rank_of("a"), "a").join(rank_of("b"), "b")
-    beaten = met.where("_best_a != _best_b").select(F.when(F.expr("_best_a < _best_b"), F.col("b")).otherwise(F.col("a")).alias("_key"))
-    left = best.select("_key", "_best").join(beaten.distinct(), "_key", "left_anti")
-    kept = ranked.join(left, "_key").where(F.col("_rank") == F.col("_best"))
-    if threshold > 1:
-        kept = ranked
-    return kept.select(*articles.columns).unionByName(rows.where("summary is null").select(*articles.columns))
+    sets = tables.staged(sets, f"{folder}/sets")
+    groups = connected(_similar(sets.select("digest_id", "_key", "_set"), threshold).select("a", "b"), folder)
+    of_set = sets.join(groups, F.col("_key") == F.col("node"), "left")
+    of_group = of_set.groupBy(F.coalesce("group", "_key").alias("_group"))
+    best = of_group.agg(F.min(F.struct("_best", "_key")).alias("_b")).select("_b._key", F.col("_b._best").alias("_rank"))
+    return rows.join(best, ["_key", "_rank"]).select(*articles.columns)
+
+
+def near_dup_keep_shown(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
+    """As ``near_dup_keep``, for articles under the digest cap: a digest is compared inside one row.
+
+    Groups are closed by squaring: after k rounds an article knows all within 2**k links.
+    """
+    rows = _in_sets(articles, size).withColumn("_rank", _rank())
+    one = F.struct("_place", "_rank", "_set", F.struct(*articles.columns).alias("row"))
+    shown = rows.groupBy("digest_id").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    places = F.sequence(F.lit(0), F.size("_all") - 1)
+
+    def similar(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x["_set"], y["_set"]))
+        return shared / (F.size(x["_set"]) + F.size(y["_set"]) - shared) >= threshold
+
+    reach = F.transform("_all", lambda x: F.filter(places, lambda j: similar(x, F.get("_all", j))))
+    shown = shown.withColumn("_reach", reach)
+    for _ in range(_doublings(fixed.DIGEST_CAP)):
+        further = lambda r: F.array_distinct(F.flatten(F.transform(r, lambda j: F.get("_reach", j))))
+        shown = shown.withColumn("_reach", F.transform("_reach", further))
+    best = lambda i: F.array_min(F.transform(F.get("_reach", i), lambda j: F.get("_all", j)["_rank"]))
+    kept = F.filter("_all", lambda x, i: x["_rank"] == best(i))
+    return shown.select(F.inline(F.transform(kept, lambda x: x["row"])))
+
+
+def _doublings(n: int) -> int:
+    """Rounds after which a chain of ``n`` is closed."""
+    return max(n - 1, 1).bit_length()

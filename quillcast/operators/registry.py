@@ -12,6 +12,7 @@ from quillcast.functions.text import escape_markup
 from quillcast.functions.times import is_time_of_day
 from quillcast.functions.urls import is_web_url
 from quillcast.operators.caps import first_per_group
+from quillcast.sources import tables
 
 
 def default_sources(spark: SparkSession) -> DataFrame:
@@ -64,23 +65,22 @@ def parse_registrations(lines: DataFrame) -> DataFrame:
     )
 
 
-def dense_number(df: DataFrame, order: str, name: str, block: int = 1_000_000) -> DataFrame:
-    """Number rows from 1 by a distinct integer column.
+def dense_number(df: DataFrame, order: str, name: str, folder: str | None = None) -> DataFrame:
+    """Number rows from 1 by a distinct column, dense or sparse: a prefix sum over range partitions.
 
-    Rows are ranked inside blocks of the column's range and shifted by the size
-    of the blocks before, so no task ranks everything.
+    Rows are dealt into ranges of the column and written, below ``folder`` or in the shared
+    folder, so that counting and ranking see the same ranges. Ranges are ranked each by itself
+    and shifted by the sizes of those before, which is one row for each range.
     """
-    keyed = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    sizes = keyed.groupBy("_block").agg(F.count("*").alias("_size"))
-    shift = F.sum("_size").over(W.orderBy("_block")) - F.col("_size")
-    shifts = sizes.select("_block", shift.alias("_shift"))
-    inside = F.row_number().over(W.partitionBy("_block").orderBy(order))
-    return (
-        keyed.withColumn("_inside", inside)
-        .join(shifts, "_block")
-        .withColumn(name, F.col("_shift") + F.col("_inside"))
-        .drop("_block", "_size", "_shift", "_inside")
-    )
+    part = F.spark_partition_id()
+    ranged = df.repartitionByRange(order).withColumn("_part", part)
+    ranged = tables.staged(ranged, f"{folder or tables.scratch(df.sparkSession)}/ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    shift = F.sum("_size").over(W.orderBy("_part")) - F.col("_size")
+    shifts = sizes.select("_part", shift.alias("_shift"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    ranked = ranged.withColumn("_inside", inside).join(shifts, "_part")
+    return ranked.withColumn(name, F.col("_shift") + F.col("_inside")).drop("_part", "_shift", "_inside")
 
 
 def _added(lines: DataFrame, registry: DataFrame) -> DataFrame:

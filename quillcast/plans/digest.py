@@ -14,7 +14,7 @@ from quillcast.operators import articles as A
 from quillcast.operators import compose as C
 from quillcast.operators.caps import digest_cap, feed_cap_of
 from quillcast.operators.links import crawl_articles, top_links
-from quillcast.operators.near_dup import near_dup_keep
+from quillcast.operators.near_dup import near_dup_keep_shown
 from quillcast.operators.novelty import filter_new_articles, ledger_append, marks_of
 from quillcast.operators.seen_set import seen_set_live
 from quillcast.operators.topics import topic_assign
@@ -50,17 +50,18 @@ def digest_texts(
     topic_words: dict[str, list[str]] = fixed.TOPIC_WORDS,
     bodies: DataFrame | None = None,
     footer: str = fixed.DIGEST_FOOTER,
+    zone: str = fixed.DIGEST_ZONE,
 ) -> DataFrame:
-    """Whole text of each digest.
+    """Whole text of each digest, dated in the zone of its readers.
 
     ``bodies`` (digest_id, body) holds digest texts written elsewhere; digests
     it lacks get raw headlines. Without it the body is composed here.
     """
     if bodies is None:
-        body = C.digest_bodies(topic_assign(near_dup_keep(digest_cap(new, n)), topic_words))
+        body = C.digest_bodies(topic_assign(near_dup_keep_shown(digest_cap(new, n)), topic_words))
     else:
         body = C.digest_or_fallback(digest_cap(new, n), bodies).select("digest_id", "body")
-    return C.compose_digest(body, C.digest_header(new, sources, asof), footer)
+    return C.compose_digest(body, C.digest_header(new, sources, asof, zone), footer)
 
 
 def run_outcome(
@@ -108,6 +109,7 @@ def run_digest(
     ttl: str = fixed.SEEN_TTL,
     topic_words: dict[str, list[str]] = fixed.TOPIC_WORDS,
     bodies: DataFrame | None = None,
+    zone: str = fixed.DIGEST_ZONE,
 ) -> None:
     """Run the job once and keep its results under ``root`` in shared storage.
 
@@ -115,21 +117,24 @@ def run_digest(
     start from that table, so nothing is computed twice and lost executors cost
     no more than the stage at hand. Every write replaces its own run's folder or
     skips what is there, so a run that failed half-way can be repeated. The
-    ledger comes last, and gets all new articles, shown or not.
+    ledger comes last, and gets all new articles, shown or not. A stream under the same
+    root keeps the same ledger, so neither sends what the other has sent.
     """
+    name = f"run-{asof:%Y%m%dT%H%M%S}"
     run = f"{root}/runs/{asof:%Y%m%dT%H%M%S}"
-    ledger = tables.read_ledger(spark, f"{root}/ledger")
+    ledger = tables.ledger_of(spark, root)
     marks = tables.read_table(spark, f"{root}/marks", schemas.MARKS)
     before = marks.where(F.col("marked_at") < times.at(asof))
-    earlier = ledger.where(F.col("sent_at") < times.at(asof))
+    earlier = ledger.view(without=name, where=F.col("sent_at") < times.at(asof))
 
     fetched = tables.staged(fetched_articles(sources, entries, pages), f"{run}/fetched")
     live = seen_set_live(before, asof, ttl)
     new = tables.staged(filter_new_articles(fetched, live, earlier), f"{run}/new")
 
-    texts = digest_texts(new, sources, asof, topic_words=topic_words, bodies=bodies)
+    texts = digest_texts(new, sources, asof, topic_words=topic_words, bodies=bodies, zone=zone)
     outcomes = run_outcome(sources, fetched, new)
     outcomes.write.mode("overwrite").parquet(f"{run}/outcomes")
     tables.write_messages(digest_messages(texts, outcomes), f"{root}/messages", asof)
     tables.write_marks(marks_of(new, asof), f"{root}/marks")
-    tables.write_ledger(ledger_append(new, ledger, asof), f"{root}/ledger")
+    ledger.append(name, ledger_append(new, ledger.view(without=name), asof))
+    ledger.fold()

@@ -143,3 +143,66 @@ def test_pages_and_listings(spark, tmp_path):
     assert [r.page_id for r in pages.read_pages(spark, str(tmp_path / "p")).collect()] == [1]
     (tmp_path / "l.json").write_text('{"page_no":1,"status":200,"html":"x"}\n{"page_no":2,"status":500,"html":"y"}\n')
     assert [r.page_no for r in pages.read_listing(spark, str(tmp_path / "l.json")).collect()] == [1]
+
+
+def test_all_entities_of_html(spark):
+    item = "<item><title>{}</title><link>https://x.example/1</link></item>"
+    cases = {
+        "&Uuml;ber &rarr; &alpha;&Omega; &nbsp;&amp;": "Über → αΩ \xa0&",
+        "&uuml&Uuml; &nosuch; & &;": "&uumlÜ &nosuch; & &;",
+        "&euro;&euro;<![CDATA[&euro;]]>&lt;b&gt;": "€€&euro;<b>",
+        "no entity": "no entity",
+    }
+    body = "<rss>" + "".join(item.format(t) for t in cases) + "</rss>"
+    got = [r.title for r in parsed(spark, body).orderBy("position").collect()]
+    assert got == list(cases.values())
+
+
+def test_any_prefix_of_entries(spark):
+    atom = "http://www.w3.org/2005/Atom"
+    entry = '<{0}entry><{0}title>T</{0}title><{0}link href="https://x.example/1"/></{0}entry>'
+    bodies = [f'<{p}:feed xmlns:{p}="{atom}">' + entry.format(f"{p}:") + f"</{p}:feed>" for p in ("a", "atom", "n-1.x")]
+    bodies.append(f"<x:feed xmlns:x = '{atom}' xmlns:media='m'>" + entry.format("x:") * 2 + "</x:feed>")
+    bodies.append(f'<feed xmlns="{atom}" xmlns:b="other">' + entry.format("") + "<b:entry>no</b:entry></feed>")
+    got = sorted((r.source_id, r.position, r.title, r.link) for r in parsed(spark, *bodies).collect())
+    assert got == [(s, p, "T", "https://x.example/1") for s, p in ((0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0))]
+
+
+def test_published_time_is_none_other(spark):
+    dates = "<updated>2025-05-09T08:00:00Z</updated><date>2025-05-09T08:00:00Z</date>"
+    item = "<entry><title>t</title><link href='https://x.example/1'/>{}</entry>"
+    got = parsed(spark, item.format(dates), item.format(dates + "<published>2024-01-01T00:00:00Z</published>"))
+    assert [r.published for r in got.orderBy("source_id").collect()] == ["", "2024-01-01T00:00:00Z"]
+
+
+def dump(n):
+    items = [
+        f"<item><title>T{i} &mdash; <![CDATA[<b>]]></title>\n<link>https://x.example/{i}?a=1&b=2</link></item>\n"
+        for i in range(n)
+    ]
+    items[n // 2] = "<item><title>broken <b </title></item>"
+    return "<rss><channel><title>t</title>" + "".join(items) + "</channel></rss>"
+
+
+def test_dumps_are_read_in_parts(spark, tmp_path, conf):
+    """The rows of whole files, in several tasks; a broken record is lost alone."""
+    (tmp_path / "big.xml").write_text(dump(3000))
+    (tmp_path / "small.xml").write_text(dump(3))
+    (tmp_path / "none.xml").write_text("<rss><channel></channel></rss>")
+    whole = feeds.read_feeds(spark, str(tmp_path)).orderBy("path", "position").collect()
+    conf("spark.sql.files.maxPartitionBytes", "20k")
+    conf("spark.sql.files.openCostInBytes", "1k")
+    found = feeds.read_feed_dump(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 8
+    rows = found.orderBy("path", "position").collect()
+    fields = lambda r: (r.path, r.link, r.title, r.summary, r.description, r.published)
+    assert [fields(r) for r in rows] == [fields(r) for r in whole]
+    assert len(rows) == 2999 + 2 and len({(r.path, r.position) for r in rows}) == len(rows)
+
+
+def test_dumps_with_a_prefix(spark, tmp_path):
+    entry = '<a:entry><a:title>T{0}</a:title><a:link href="https://x.example/{0}"/></a:entry>\n'
+    body = '<a:feed xmlns:a="http://www.w3.org/2005/Atom">' + "".join(map(entry.format, range(5))) + "</a:feed>"
+    (tmp_path / "a.xml").write_text(body)
+    got = feeds.read_feed_dump(spark, str(tmp_path), "a:entry").orderBy("position").collect()
+    assert [(r.position, r.title, r.link) for r in got] == [(i, f"T{i}", f"https://x.example/{i}") for i in range(5)]

@@ -30,7 +30,7 @@ def inputs(spark, n=25):
 
 def state(spark, root):
     return {
-        "ledger": sorted(r.url_hash for r in tables.read_ledger(spark, f"{root}/ledger").collect()),
+        "ledger": sorted(r.url_hash for r in tables.ledger_of(spark, root).read().collect()),
         "messages": sorted(map(tuple, spark.read.parquet(f"{root}/messages").select("digest_id", "digest_date", "run", "chunk_no", "chunk").collect())),
         "marks": sorted(r.url_hash for r in spark.read.parquet(f"{root}/marks").collect()),
     }
@@ -96,7 +96,7 @@ def test_digest_stream_with_a_replay(spark, tmp_path):
     land(spark, [row(1, 3, "b"), row(1, 4, "c"), row(10, 0, "a")], landing)
     assert run() == [(1, "a"), (1, "a"), (1, "b"), (1, "c")]
     assert run() == [(1, "a"), (1, "a"), (1, "b"), (1, "c")]
-    ledger = spark.read.parquet(f"{root}/ledger")
+    ledger = tables.ledger_of(spark, root).read()
     assert ledger.count() == ledger.select("url_hash").distinct().count() == 3
 
     # The last batch again, as after a crash between its writes and its commit.
@@ -105,7 +105,7 @@ def test_digest_stream_with_a_replay(spark, tmp_path):
     shutil.move(commits / str(last), tmp_path / "commit")
     (commits / f".{last}.crc").rename(tmp_path / "crc")
     assert run() == [(1, "a"), (1, "a"), (1, "b"), (1, "c")]
-    assert spark.read.parquet(f"{root}/ledger").count() == 3
+    assert tables.ledger_of(spark, root).read().count() == 3
 
 
 def test_feed_stream(spark, tmp_path):
@@ -130,18 +130,6 @@ def test_ttl_stream_lets_a_key_back_in(spark, tmp_path):
     assert seen[0] == seen[1] == 1 and seen[-1] == 2
 
 
-def test_sent_per_day_stream(spark, tmp_path):
-    landing, root = str(tmp_path / "in"), str(tmp_path / "out")
-    counts = {}
-    for days in ([0, 0, 1], [0, 2]):
-        rows = [(ASOF + timedelta(days=d),) for d in days]
-        spark.createDataFrame(rows, "sent_at timestamp_ntz").coalesce(1).write.mode("append").parquet(landing)
-        ledger = streams.landed(spark, landing, "sent_at timestamp_ntz")
-        out = streams.write_available(streams.sent_per_day_stream(ledger), root, "complete")
-        counts = {r.sent_date.day: r.n_sent for r in out.collect()}
-    assert counts == {9: 3, 10: 1, 11: 1}
-
-
 def test_digest_stream_caps_documents_not_batches(spark, tmp_path):
     """Three documents of a source give the same articles in one batch and in three."""
     sources, _, _ = inputs(spark)

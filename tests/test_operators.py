@@ -291,8 +291,42 @@ def test_near_duplicates(spark):
     ]
     df = articles(spark, rows)
     pairs = near_dup.near_dup_pairs(df).collect()
-    assert {(r.source_a, r.position_a, r.source_b, r.position_b) for r in pairs} == {(1, 0, 1, 1), (1, 0, 2, 0), (1, 1, 2, 0)}
-    assert sorted(r.url for r in near_dup.near_dup_keep(df).collect()) == ["b", "d", "e"]
+    assert {(r.source_a, r.position_a, r.source_b, r.position_b) for r in pairs} == {(1, 0, 1, 1)}
+    sets = near_dup.near_dup_sets(df).collect()
+    assert {(r.source_id, r.position): (r.source_rep, r.position_rep) for r in sets if r.digest_id == 1} == {
+        (1, 0): (1, 0), (1, 1): (1, 1), (2, 0): (1, 0), (2, 1): (2, 1)
+    }
+    for keep in (near_dup.near_dup_keep, near_dup.near_dup_keep_shown):
+        assert sorted(r.url for r in keep(df).collect()) == ["b", "d", "e"]
+
+
+def chain(n):
+    """Texts each similar to the next one and to no other."""
+    words = [f"w{i}" for i in range(30 + 2 * n)]
+    return [" ".join(words[2 * i : 2 * i + 30]) for i in range(n)]
+
+
+def test_groups_are_connected_not_pairwise(spark):
+    """A is similar to B and B to C: one of the three stays, the one with the longest summary."""
+    texts = chain(30)
+    rows = [(1, 1, i, f"u{i}", "", t) for i, t in enumerate(texts)] + [(1, 2, 0, "alone", "", "other words here")]
+    rows += [(2, 1, i, f"v{i}", "", t) for i, t in enumerate(texts) if i != 15]
+    rows += [(2, 3, 0, "null", None, None), (2, 3, 1, "empty", "", "")]
+    df = articles(spark, rows)
+    longest = lambda some: max(some, key=lambda r: (len(r[5]), -r[1], -r[2]))[3]
+    left = longest([r for r in rows if r[0] == 2 and r[1] == 1 and r[2] < 15])
+    right = longest([r for r in rows if r[0] == 2 and r[1] == 1 and r[2] > 15])
+    want = sorted([longest(rows[:30]), "alone", left, right, "empty"])
+    assert sorted(r.url for r in near_dup.near_dup_keep(df).collect()) == want
+    assert sorted(r.url for r in near_dup.near_dup_keep_shown(df).collect()) == want
+
+
+def test_copies_make_no_pairs(spark):
+    text = chain(1)[0]
+    df = articles(spark, [(1, i, 0, f"u{i}", "", text) for i in range(600)] + [(1, 601, 0, "x", "", text + " end")])
+    assert near_dup.near_dup_pairs(df).count() == 1
+    assert near_dup.near_dup_sets(df).where("source_rep = 0").count() == 600
+    assert [r.url for r in near_dup.near_dup_keep(df).collect()] == ["x"]
 
 
 def test_payload_is_json_in_order(spark):
@@ -325,17 +359,26 @@ def test_near_duplicates_beyond_the_cap(spark):
             text[rng.randrange(len(text))] = f"x{rng.randrange(3)}"
         rows.append((i % 2, i // 10, i, f"u{i}", "", " ".join(text)))
     sets = {r[2]: {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} for r in rows for w in [r[5].split()]}
-    pairs, lost = set(), set()
+    reps, pairs = {}, set()
+    for r in rows:
+        reps.setdefault((r[0], frozenset(sets[r[2]])), r[2])
+    group = {r[2]: r[2] for r in rows}
     for a in rows:
         for b in rows:
             x, y = sets[a[2]], sets[b[2]]
             if a[0] == b[0] and a[2] < b[2] and len(x & y) / len(x | y) >= 0.8:
-                pairs.add((a[0], a[2], b[2], len(x & y) / len(x | y)))
-                lost.add(a[2] if len(b[5]) > len(a[5]) else b[2])
+                if x != y and a[2] in reps.values() and b[2] in reps.values():
+                    pairs.add((a[0], a[2], b[2], len(x & y) / len(x | y)))
+                old, new = group[b[2]], group[a[2]]
+                group = {k: new if v == old else v for k, v in group.items()}
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r[5]), r[1], r[2])):
+        best.setdefault(group[r[2]], r[2])
     df = articles(spark, rows)
     got = near_dup.near_dup_pairs(df).collect()
     assert sorted((r.digest_id, r.position_a, r.position_b, r.jaccard) for r in got) == sorted(pairs)
     assert any(p[1] > 100 for p in pairs) and any(p[3] < 1 for p in pairs)
-    kept = near_dup.near_dup_keep(df)
-    assert kept.columns == df.columns
-    assert sorted(r.position for r in kept.collect()) == sorted({r[2] for r in rows} - lost)
+    for keep in (near_dup.near_dup_keep, near_dup.near_dup_keep_shown):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        assert sorted(r.position for r in kept.collect()) == sorted(best.values())

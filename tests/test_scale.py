@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillcast.operators import caps, novelty, seen_set, trending
 
 DAY0 = datetime(2025, 1, 1)
-STREAMED = {"stream_sent_per_day", "stream_ttl_dedup", "stream_digest"}
+STREAMED = {name for name in QUERIES if name.startswith("stream_")}
 
 
 def plan(df):
@@ -48,8 +48,8 @@ def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = [(f"h{i}", "t", 1, DAY0 + timedelta(hours=i)) for i in range(100)]
     df = spark.createDataFrame(rows, "url_hash string, title string, source_id bigint, sent_at timestamp_ntz")
-    tables.write_ledger(df.withColumn("sent_date", F.to_date("sent_at")), path)
-    ledger = tables.read_ledger(spark, path)
+    tables.write_daily_ledger(df.withColumn("sent_date", F.to_date("sent_at")), path)
+    ledger = tables.read_daily_ledger(spark, path)
     assert ledger.columns == [f.split()[0] for f in schemas.LEDGER.split(", ")]
     today = reports.count_sent_today(ledger, DAY0 + timedelta(days=2, hours=5))
     assert "PartitionFilters: [isnotnull(sent_date" in plan(today)
