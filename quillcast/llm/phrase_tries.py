@@ -41,7 +41,7 @@ LONGEST = 5
 TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences inside one longer phrase
 BLOCK = 500_000  # phrases of a broadcast trie; some 50 MB
-BITS = 24  # of a counter's or bit's number: 64 MB of counters in a task, 2 MB as a bitmap
+BITS = 23  # of a counter's or bit's number: 32 MB of counters in a task, 1 MB as a bitmap
 SLOT = 1024  # counts that are summed as one row
 HELD = 500_000  # candidates that a task holds before it passes them on
 PIECE = 1 << 20  # characters that are cut into words at once where no words are gathered
