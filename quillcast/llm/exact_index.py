@@ -10,12 +10,14 @@ Everything is DataFrame operations. A digest with very many rows is counted befo
 the shuffle, so that the index and its buckets have one small row per digest.
 
 Nulls count as empty texts. Rows without an id may have copies, and stay only if
-no copy has an id. Repeated rows, ids included, count as copies and all of them are kept
+no copy has an id. Very long texts are digested whole. Repeated rows, ids included, count as copies and all of them are kept
 or dropped alike. An empty table leaves the index as it is. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder, buckets
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in folder[-40:]).lower()
+        # by the whole path, so that no two folders share a table
+        self.name = "digest_index_" + hashlib.sha256(folder.encode()).hexdigest()[:40]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({ENTRY}) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{folder}'"

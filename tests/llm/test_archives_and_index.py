@@ -152,3 +152,39 @@ def test_empty_index(spark, tmp_path):
 def test_hot_text(spark, tmp_path):
     rows = [(i, "same" + " " * (i % 7)) for i in range(3000)] + [(5000 + i, str(i)) for i in range(100)]
     assert index_of(spark, tmp_path, [("r", rows)]) == expected(rows, rows)
+
+
+def test_folders_with_one_ending_have_indexes_of_their_own(spark, tmp_path):
+    """A second index in a folder of the same name knows nothing of the first."""
+    end = "a-name-of-more-than-forty-characters-that-both-folders-have/index"
+    first = exact_index.DigestIndex(spark, str(tmp_path / "one" / end))
+    second = exact_index.DigestIndex(spark, str(tmp_path / "two" / end))
+    assert first.name != second.name
+    rows = spark.createDataFrame([(1, "same text")], "doc_id bigint, text string")
+    first.add(exact_index.digests(rows), "r")
+    other = spark.createDataFrame([(2, "same text")], "doc_id bigint, text string")
+    second.add(exact_index.digests(other), "r")
+    kept = lambda index: [(r.keep_id, r.n) for r in index.read().collect()]
+    assert kept(first) == [(1, 1)] and kept(second) == [(2, 1)]
+
+
+def test_a_run_that_stopped_between_its_appends(spark, tmp_path, monkeypatch):
+    """New digests were appended, further rows of known ones weren't: the repeated run adds only these."""
+    index = exact_index.DigestIndex(spark, str(tmp_path / "index"))
+    rows = lambda *ids: exact_index.digests(spark.createDataFrame([(i, t) for i, t in ids], "doc_id bigint, text string"))
+    index.add(rows((5, "known")), "first")
+    real, done = exact_index.DigestIndex._append, []
+
+    def one_only(self, some):
+        if done:
+            raise RuntimeError("lost")
+        done.append(1)
+        real(self, some)
+
+    monkeypatch.setattr(exact_index.DigestIndex, "_append", one_only)
+    with pytest.raises(RuntimeError):
+        index.add(rows((1, "known"), (2, "new")), "second")
+    monkeypatch.setattr(exact_index.DigestIndex, "_append", real)
+    for _ in range(2):
+        index.add(rows((1, "known"), (2, "new")), "second")
+        assert sorted((r.keep_id, r.n) for r in index.read().collect()) == [(1, 2), (2, 1)]
