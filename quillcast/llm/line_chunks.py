@@ -1,12 +1,14 @@
 """Repeated passages of lines, found by windows of lines.
 
-A passage is a run of at least two lines and ``WORDS`` words, or one line of ``LONG`` words.
+A passage is a run of at least two lines and ``WORDS`` words, or one line of ``LONG`` words;
+words are runs of anything but white space, so blank and empty lines have none.
 From every line on, the shortest passage that begins there is a window, and so is the
 shortest that ends there. Any passage is covered by windows within it, and whether lines
 are a window depends on them alone, so a passage that stands in two places has the same
 windows in both, whatever stands around it. Windows that occur more than once anywhere are
 compared byte by byte, and the lines of all but the first occurrence go, by document id
-and place. A line is what goes or stays as a whole; each keeps one occurrence.
+and place; of two texts under one id the one with the smaller hash is first. A line is what
+goes or stays as a whole; each keeps one occurrence.
 
 Window hashes are counted first; only windows whose hash is repeated send their text. A
 passage that very many documents share is a key with many rows there: it is counted
@@ -14,7 +16,8 @@ before the shuffle, and the join back to its places is one that Spark splits.
 
 A null text stays null and an empty one empty. Repeated rows, equal in id and text, are
 treated alike, as one place. A window that overlaps its own first occurrence, as in a line
-said over and over, takes only lines after that. All columns are kept; ``n_chars``, if there
+said over and over, takes only lines after that. Very long texts are taken whole. All columns
+are kept, whatever their names; one called ``_removed`` is replaced. ``n_chars``, if there
 is one, is counted anew. An empty table gives no rows. A document all of whose lines go
 keeps its row.
 """
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import forget, staged
+from quillcast.llm.common import few_rows, forget, staged
 
 WORDS = 20
 LONG = 50
@@ -73,7 +76,7 @@ def windows(text: str) -> Iterator[tuple[int, int, int, str]]:
     """First line, first line that may go, end and text of each window."""
     lines = text.split("\n")
     seen: dict[int, tuple[int, int]] = {}
-    for a, b in spans([line.count(" ") + 1 for line in lines]):
+    for a, b in spans([len(line.split()) for line in lines]):
         window = "\n".join(lines[a:b])
         c, d = seen.setdefault(hashed(window), (a, b))
         again = c < a < d and lines[a:b] == lines[c:d]
@@ -108,7 +111,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def window_hashes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             places, numbers, found = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for number, (_, _, _, window) in enumerate(windows(text)):
@@ -128,7 +131,7 @@ def window_texts(rows: DataFrame) -> DataFrame:
     """Texts of the windows whose numbers are listed, with their first line, first line that may go and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             places, lines, found, texts = [], [], [], []
             for i, (text, listed) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 listed = set(listed)
@@ -149,29 +152,39 @@ def window_texts(rows: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The documents without repeated passages, with ``_removed``, the numbers of lines that went."""
-    rows = keyed(docs)
+    """The documents without repeated passages, with ``_removed``, the numbers of lines that went.
+
+    Sides of joins in which a passage may have very many rows are written tables, as Spark splits
+    such a key where both sides come straight from a shuffle.
+    """
+    names = [c for c in docs.columns if c != "_removed"]
+    own = {c: f"_kept_{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    rows = keyed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(other) for c, other in own.items()]))
     hashes = staged(window_hashes(rows), folder, "hashes")
-    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    listed = hashes.join(repeated, "hash", "left_semi").groupBy(*KEYS).agg(F.collect_set("number").alias("_quillcast_listed"))
+    repeated = staged(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), folder, "repeated")
+    found = hashes.join(repeated, "hash", "left_semi")
+    listed = found.groupBy(*KEYS).agg(F.collect_set("number").alias("_quillcast_listed"))
     marked = staged(rows.join(listed, KEYS, "left"), folder, "marked")
-    forget(spark, folder, "hashes")
+    forget(spark, folder, "hashes", "repeated")
     suspects = marked.where("_quillcast_listed IS NOT NULL")
     texts = staged(window_texts(suspects.dropDuplicates(KEYS)), folder, "texts")
     place = F.struct("doc_id", "_quillcast_text", "line")
     first = texts.groupBy("hash", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = texts.join(first.drop("n"), ["hash", "window"]).where(~place.eqNullSafe(F.col("first")) & (F.col("free") < F.col("stop")))
+    first = staged(first.drop("n"), folder, "first")
+    later = texts.join(first, ["hash", "window"]).where(~place.eqNullSafe(F.col("first")) & (F.col("free") < F.col("stop")))
     lines = F.explode(F.sequence("free", F.col("stop") - 1)).alias("number")
     gone = later.select(*KEYS, lines).groupBy(*KEYS).agg(F.array_sort(F.collect_set("number")).alias("_removed"))
     gone = staged(gone, folder, "gone")
-    forget(spark, folder, "texts")
+    forget(spark, folder, "texts", "first")
     untouched = marked.where("_quillcast_listed IS NULL").withColumn("_removed", F.lit(None).cast("array<int>"))
     cleaned = cut(suspects.join(gone, KEYS, "left"))
-    done = untouched.unionByName(cleaned).drop("_quillcast_listed", *KEYS)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return done.select(*docs.columns, "_removed")
+    done = untouched.unionByName(cleaned)
+    columns = {c: F.col(own.get(c, c)).alias(c) for c in names}
+    if "n_chars" in names:
+        kind, was = docs.schema["n_chars"].dataType, F.col(own["n_chars"])
+        told = F.when(F.col("_removed").isNull(), was).otherwise(F.length("text").cast(kind))
+        columns["n_chars"] = told.alias("n_chars")
+    return done.select(*columns.values(), "_removed")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -180,7 +193,7 @@ def cut(rows: DataFrame) -> DataFrame:
     at, removed = names.index("text"), names.index("_removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             pairs = zip(batch.column(at).to_pylist(), batch.column(removed).to_pylist())
             texts = [without(t, r) if r else t for t, r in pairs]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

@@ -7,7 +7,7 @@ scores at the share of bad ones, and scores are shifted so that it lands at a st
 probability.
 
 Weights are fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of
-the id; every document is scored over its whole text. Labels, ids and all columns but
+the id, and on ``PAIRS`` pairs drawn from them with a fixed seed; every document is scored over its whole text. Labels, ids and all columns but
 the text stay out of the statistics.
 
 Null texts count as empty, empty texts are scored like others. Several labels of an id
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillcast.llm.common import few_rows
+
 SAMPLE = 20_000
 PAIRS = 60_000
 SHOWN = range(33, 127)
@@ -145,7 +147,7 @@ def good_documents(docs: DataFrame, model: PairModel, at_least: float) -> DataFr
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.scores(x) >= at_least))
 

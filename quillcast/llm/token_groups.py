@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcast.llm import shingle_sets
-from quillcast.llm.common import forget, staged
+from quillcast.llm.common import few_rows, forget, staged
 from quillcast.llm.components import components
 
 BANDS = 4
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
     words, levels = table
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             sizes, digests, keys, firsts = [], [], [], []
             for some in shingle_sets.parts(batch.column(1).to_pylist()):
                 hashes, bounds = shingle_sets.word_hashes(some)
@@ -133,7 +133,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [s.tobytes() for s in shingle_sets.sets(batch.column(0).to_pylist(), k)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
             same = [d == w for d, w in zip(digests, batch.column(1).to_pylist())]
@@ -155,7 +155,7 @@ def similar(sets: DataFrame, ratio: Fraction) -> DataFrame:
     """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -240,11 +240,14 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.min("n").alias("low"),
         F.max("n").alias("high"),
         F.first("size").alias("other_size"),
+        F.count("*").alias("held"),
     )
     # sets of the smaller group ask the larger one; a group opened keeps the tokens that count for it
     asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("group") < F.col("other")))
     opened = across(tokens, matrix, asks, ratio).groupBy("node", "other").agg(
-        F.first("n").alias("n"), F.first("common").alias("common"), F.collect_list(F.struct("token", "rest")).alias("by")
+        F.first("n").alias("n"),
+        F.first("common").alias("common"),
+        F.array_sort(F.collect_list(F.struct("held", "token", "rest"))).alias("by"),
     )
     opened = staged(opened.where(F.size("by") >= shared_by(ratio)), folder, "opened")
     members = tokens.select(
@@ -256,9 +259,15 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.col("n").alias("low"),
         F.col("n").alias("high"),
     )
-    askers = opened.select("node", "other", "n", "common", F.inline("by"))
+    # of the tokens that a pair must share all but so many may be left out, so those of the most members are
+    fewer = F.slice("by", F.lit(1), F.size("by") - (shared_by(ratio) - 1))
+    askers = opened.select("node", "other", "n", "common", F.inline(fewer))
     met = across(askers, members, F.lit(True), ratio, ["token", "other"])
-    pairs = met.groupBy(F.col("node").alias("a"), "b").count().where(F.col("count") >= shared_by(ratio)).select("a", "b")
+    met = met.select("other", F.col("node").alias("a"), "b").distinct()
+    asked = opened.select(F.col("node").alias("a"), "other", F.col("by.token").alias("by"))
+    held = tokens.groupBy(F.col("node").alias("b")).agg(F.collect_list("token").alias("held"))  # the first few of a set
+    pairs = met.join(asked, ["a", "other"]).join(held, "b")
+    pairs = pairs.where(F.size(F.array_intersect("by", "held")) >= shared_by(ratio)).select("a", "b")
     names = classes.select(F.col("node").alias("name"), "id")
     for end in ("a", "b"):
         pairs = pairs.join(names, F.col(end) == F.col("id")).withColumn(end, F.col("name")).drop("name", "id")

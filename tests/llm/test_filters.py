@@ -163,6 +163,34 @@ def test_repeated_passages(spark, tmp_path):
     assert line_chunks.line_dedup(spark, docs.limit(0), str(tmp_path / "e")).collect() == []
 
 
+def test_words_of_lines_are_runs_of_signs(spark, tmp_path):
+    """Indentation and blank lines are no words; words may be apart by tabs."""
+    code = " " * 30 + "}\n" + " " * 30 + "}"
+    tabs = "\t".join(f"w{i}" for i in range(80))
+    blank = "\n" * 24
+    short = "\n".join(x for i in range(9) for x in (f"a{i}  b{i}", "   ", "\t\t", f"c{i}"))
+    rows = [(1, f"x\n{code}\ny"), (2, f"z\n{code}\nw"), (3, f"p{blank}q"), (4, f"r{blank}s"), (5, tabs), (6, f"own\n{tabs}")]
+    rows += [(7, f"first\n{short}\nend"), (8, f"other\n{short}\nlast"), (9, "word " * 300_000), (10, "word " * 300_000 + "\nx")]
+    got = {r.doc_id: r.text for r in line_chunks.line_dedup(spark, frame(spark, rows), str(tmp_path)).collect()}
+    want = dict(rows) | {6: "own", 8: "other\nlast", 10: "x"}
+    assert got == want and sorted(got.items()) == without_runs(rows)
+
+
+def test_columns_of_any_name_and_texts_under_one_id(spark, tmp_path):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(15)) for i in range(3))
+    rows = [(1, f"a\n{passage}", "r", 5, 1), (1, f"b\n{passage}", "s", 6, 2), (2, f"c\n{passage}", None, 7, 3)]
+    schema = "doc_id bigint, text string, _removed string, _quillcast_listed int, _kept_3 int"
+    docs = spark.createDataFrame(rows, schema)
+    found = line_chunks.line_dedup(spark, docs, str(tmp_path))
+    assert found.columns == ["doc_id", "text", "_quillcast_listed", "_kept_3", "_removed"]
+    got = sorted((r._quillcast_listed, r._kept_3, r.text) for r in found.collect())
+    assert [g[:2] for g in got] == [(5, 1), (6, 2), (7, 3)] and got[2][2] == "c"
+    # of the texts under one id the one with the smaller hash keeps the passage, whatever the order of rows
+    assert sorted(passage in g[2] for g in got) == [False, False, True]
+    again = line_chunks.line_dedup(spark, docs.orderBy(F.desc("text")), str(tmp_path / "b")).collect()
+    assert sorted((r._quillcast_listed, r._kept_3, r.text) for r in again) == got
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     rng = random.Random(5)
     for _ in range(200):
@@ -193,8 +221,8 @@ def without_runs(rows):
                 end = 0
                 while n + end < len(lines) and m + end < len(texts[i]) and lines[n + end] == texts[i][m + end]:
                     end += 1
-                words = sum(len(x.split(" ")) for x in lines[n : n + end])
-                if len(line.split(" ")) >= 50 or (end > 1 and words >= 20):
+                words = sum(len(x.split()) for x in lines[n : n + end])
+                if len(line.split()) >= 50 or (end > 1 and words >= 20):
                     gone |= set(range(n, n + end)) if end > 1 and words >= 20 else {n}
         out.append((j, "\n".join(x for n, x in enumerate(lines) if n not in gone)))
     return out
