@@ -112,7 +112,7 @@ def parsed(cut: DataFrame) -> DataFrame:
     gap = f"{len(END)} + 1"
     return (
         cut.withColumn("head", F.substring_index("value", END, 1))
-        .withColumn("length", field(F.col("head"), "Content-Length", "(\\d{1,9})").cast("bigint"))
+        .withColumn("length", field(F.col("head"), "Content-Length", "0*(\\d{1,18})").cast("bigint"))
         .withColumn("record", F.lit(len(MAGIC) + 2 * len(END)) + F.octet_length("head") + F.col("length"))
         .withColumn(
             "block",

@@ -98,6 +98,16 @@ def test_no_pages_and_broken_files(spark, tmp_path):
     assert [r.payload_bytes for r in found.collect()] == [0]  # one record, without a blank line in its block
 
 
+def test_lengths_of_any_number_of_digits(spark, tmp_path):
+    """Leading zeros end no chain, and a length beyond all files is a broken record."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    one = fake("HTTP/1.1 200 OK\r\n\r\nabc").replace("Content-Length: ", "Content-Length: 000000000000")
+    (folder / "a.warc").write_bytes((one * 2 + fake("x").replace("Length: 1", "Length: 123456789012")).encode())
+    found = warc.read_warc(spark, str(folder), str(tmp_path / "s")).collect()
+    assert [r.payload_bytes for r in found] == [3, 3]
+
+
 DOC = "doc_id bigint, text string, n bigint, run string, chars int"
 
 
