@@ -58,7 +58,7 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in shingle_sets.parts(batch.column(0).to_pylist()):
+            for some in shingle_sets.parts(t.as_py() for t in batch.column(0)):
                 words, counts = np.unique(shingle_sets.word_hashes(some)[0], return_counts=True)
                 often = counts > 1  # the sum is a little low for words seen once here and there
                 rest = np.array([0]), np.array([counts[~often].sum()])
@@ -263,16 +263,18 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     fewer = F.slice("by", F.lit(1), F.size("by") - (shared_by(ratio) - 1))
     askers = opened.select("node", "other", "n", "common", F.inline(fewer))
     met = across(askers, members, F.lit(True), ratio, ["token", "other"])
-    met = met.select("other", F.col("node").alias("a"), "b").distinct()
+    met = staged(met.select("other", F.col("node").alias("a"), "b").distinct(), folder, "met")
     asked = opened.select(F.col("node").alias("a"), "other", F.col("by.token").alias("by"))
-    held = tokens.groupBy(F.col("node").alias("b")).agg(F.collect_list("token").alias("held"))  # the first few of a set
+    ends = met.select(F.col("b").alias("node")).distinct()
+    held = tokens.join(ends, "node", "left_semi").groupBy(F.col("node").alias("b"))
+    held = held.agg(F.collect_list("token").alias("held"))  # the first few of a set
     pairs = met.join(asked, ["a", "other"]).join(held, "b")
     pairs = pairs.where(F.size(F.array_intersect("by", "held")) >= shared_by(ratio)).select("a", "b")
     names = classes.select(F.col("node").alias("name"), "id")
     for end in ("a", "b"):
         pairs = pairs.join(names, F.col(end) == F.col("id")).withColumn(end, F.col("name")).drop("name", "id")
     far = compared(docs, signed_rows, staged(pairs, folder, "far-pairs"), folder, "far", k, ratio)
-    forget(spark, folder, "tokens", "opened", "grouped", "first", "classes")
+    forget(spark, folder, "tokens", "opened", "met", "grouped", "first", "classes")
     found = components(staged(near.unionByName(far), folder, "all-links"), folder, "all")
     return signed_rows.select("doc_id", "n", "node"), found
 
