@@ -90,23 +90,20 @@ def test_phrases_against_plain_counts(spark, block, bits):
 
 def test_top_and_covered_phrases(spark):
     rows = [("new york city is new york city", "en")] * 10 + [("new york times", "en")] * 3 + [("york city", "en")] * 3
-    agree(spark, rows, 3)
-    agree(spark, rows, 3, percent=70)
+    agree(spark, rows, 3, percent=70, longest=4)
     agree(spark, rows, 3, top=2, longest=3)
-    rows = list(texts(2, 100, WORDS))
-    agree(spark, rows, 4, top=9, percent=50)
+    agree(spark, list(texts(2, 100, WORDS)), 4, top=9, percent=50, longest=3)
 
 
 def test_ties_long_texts_and_overlaps(spark):
-    agree(spark, [("a a a a a a a a", "en")] * 2, 2)
-    agree(spark, [("b c. a b. c d, d e", "en")] * 4, 4)  # equal scores in order of phrases
+    repeats, ties = ("a a a a a a a a", "en"), ("b c. a b. c d, d e", "de")  # equal scores in order of phrases
+    agree(spark, [repeats, repeats, ties, ties], 2)
     agree(spark, [("to be or not to be " * 30_000, "en"), ("x" * 200_000, "en")], 100)
 
 
 def test_empty_tables(spark):
     assert found(spark, []) == []
-    assert found(spark, [(None, None)]) == []
-    assert found(spark, [("only words. here", "en")]) == []
+    assert found(spark, [(None, None), ("only words. here", "en")]) == []
 
 
 def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
