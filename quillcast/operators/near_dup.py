@@ -4,7 +4,8 @@ Two articles are near-duplicates if the Jaccard similarity of their word
 shingles reaches the threshold, which is above 0. Articles of equal shingles
 are one set, so copies are never compared with each other. Two similar sets
 share one of the rarest shingles of each (as many as a set may lack, and one),
-so candidates come from an equi-join on those; similarity is then exact. No
+so candidates come from an equi-join on those, less where too few shingles are
+left behind the one that is met; similarity is then exact. No
 cap is applied here. The digest job, which shows a capped number of articles, compares
 these inside a row (``near_dup_keep_shown``).
 """
@@ -32,7 +33,11 @@ def shingles(size: int) -> Column:
 
 
 def _in_sets(articles: DataFrame, size: int) -> DataFrame:
-    """Articles with their shingles ``_set``, a key ``_key`` of digest and set, and ``_place``."""
+    """Articles with their shingles ``_set``, a key ``_key`` of digest and set, and ``_place``.
+
+    Write them before a join on the key: Spark tests it for null before the join, and there
+    cuts the text into words anew for each of its shingles.
+    """
     digest = F.coalesce(F.col("digest_id").cast("string"), F.lit(""))
     return (
         articles.withColumn("_words", words(F.concat_ws(" ", "title", "summary")))
@@ -58,12 +63,16 @@ def _similar(sets: DataFrame, threshold: float) -> DataFrame:
     ranked = each.join(counts, ["_digest", "_shingle"]).groupBy("_digest", "_key", "_size")
     ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("_n", "_shingle"))).alias("_ranked"))
     first = F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9).cast("int") + 1
-    rare = ranked.select("_digest", "_key", "_size", F.explode(F.slice("_ranked", 1, first)).alias("_r"))
-    rare = rare.where("_r._n > 1").select("_digest", "_key", "_size", F.col("_r._shingle").alias("_shingle"))
-    side = lambda df, x: df.withColumnsRenamed({"_key": x, "_size": f"_size_{x}"})
+    rare = ranked.select("_digest", "_key", "_size", F.posexplode(F.slice("_ranked", 1, first)).alias("_at", "_r"))
+    rare = rare.where("_r._n > 1").withColumn("_rest", F.col("_size") - F.col("_at"))
+    rare = rare.select("_digest", "_key", "_size", "_rest", F.col("_r._shingle").alias("_shingle"))
+    side = lambda df, x: df.withColumnsRenamed({"_key": x, "_size": f"_size_{x}", "_rest": f"_rest_{x}"})
     least = F.least("_size_a", "_size_b") >= F.greatest("_size_a", "_size_b") * threshold - 1e-9
-    met = side(rare, "a").join(side(rare, "b"), ["_digest", "_shingle"]).where(F.col("a") < F.col("b"))
-    met = met.where(least).select("a", "b").distinct()
+    # the first shingle that a similar pair shares leaves each side as many as the pair must share
+    must = (F.col("_size_a") + F.col("_size_b")) * threshold / (1 + threshold) - 1e-6
+    met = side(rare, "a").join(side(rare, "b"), ["_digest", "_shingle"])
+    met = met.where((F.col("a") < F.col("b")) & least & (F.least("_rest_a", "_rest_b") >= must))
+    met = met.select("a", "b").distinct()
     set_of = lambda x: sets.select(F.col("_key").alias(x), F.col("_set").alias(f"_set_{x}"))
     shared = F.size(F.array_intersect("_set_a", "_set_b"))
     jaccard = shared / (F.size("_set_a") + F.size("_set_b") - shared)
@@ -71,12 +80,15 @@ def _similar(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def near_dup_sets(articles: DataFrame, size: int = 3) -> DataFrame:
+def near_dup_sets(articles: DataFrame, size: int = 3, folder: str | None = None) -> DataFrame:
     """Each article with the first article of its digest that has the same shingles, which stands for it.
 
     ``digest_id, source_id, position, source_rep, position_rep``: a row per article, however many copies.
+    Keys are written below ``folder``, so shingles are made once.
     """
+    folder = folder or tables.scratch(articles.sparkSession)
     rows = _in_sets(articles, size).select("digest_id", "source_id", "position", "_key", "_place")
+    rows = tables.staged(rows, f"{folder}/rows")
     first = rows.groupBy("_key").agg(F.min("_place").alias("_first"))
     return rows.join(first, "_key").select(
         "digest_id",
@@ -87,13 +99,16 @@ def near_dup_sets(articles: DataFrame, size: int = 3) -> DataFrame:
     )
 
 
-def near_dup_pairs(articles: DataFrame, size: int = 3, threshold: float = 0.8) -> DataFrame:
+def near_dup_pairs(articles: DataFrame, size: int = 3, threshold: float = 0.8, folder: str | None = None) -> DataFrame:
     """Similar articles of each digest of different shingles, each pair once, the earlier place first.
 
-    Of copies only the first is in pairs; ``near_dup_sets`` gives the others.
+    Of copies only the first is in pairs; ``near_dup_sets`` gives the others. Sets are written
+    below ``folder``, so shingles are made once.
     """
+    folder = folder or tables.scratch(articles.sparkSession)
     sets = _in_sets(articles, size).groupBy("_key")
     sets = sets.agg(F.first("digest_id").alias("digest_id"), F.first("_set").alias("_set"), F.min("_place").alias("_place"))
+    sets = tables.staged(sets, f"{folder}/sets")
     similar = _similar(sets.select("digest_id", "_key", "_set"), threshold)
     side = lambda x: sets.select("digest_id", F.col("_key").alias(x), F.col("_place").alias(f"_place_{x}"))
     both = similar.join(side("a"), "a").join(side("b").drop("digest_id"), "b")
@@ -123,7 +138,7 @@ def near_dup_keep(articles: DataFrame, size: int = 3, threshold: float = 0.8, fo
     """
     spark = articles.sparkSession
     folder = folder or tables.scratch(spark)
-    rows = _in_sets(articles, size).withColumn("_rank", _rank())
+    rows = tables.staged(_in_sets(articles, size).withColumn("_rank", _rank()), f"{folder}/rows")
     sets = rows.groupBy("_key").agg(
         F.first("digest_id").alias("digest_id"), F.first("_set").alias("_set"), F.min("_rank").alias("_best")
     )

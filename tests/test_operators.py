@@ -382,3 +382,12 @@ def test_near_duplicates_beyond_the_cap(spark):
         kept = keep(df)
         assert kept.columns == df.columns
         assert sorted(r.position for r in kept.collect()) == sorted(best.values())
+
+
+def test_near_duplicates_make_shingles_once(spark, tmp_path):
+    """What is returned reads written keys: no text is cut into words again."""
+    df = articles(spark, [(1, 1, i, f"u{i}", "", t) for i, t in enumerate(chain(5))])
+    for k, f in enumerate((near_dup.near_dup_sets, near_dup.near_dup_pairs, near_dup.near_dup_keep)):
+        got = f(df, folder=str(tmp_path / f"{k}"))
+        assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.count() == [5, 4, 1][k]
