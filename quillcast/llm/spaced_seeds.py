@@ -42,17 +42,16 @@ def word_hashes(text: str) -> Column:
 def seeds(rows: DataFrame, words: Column, *kept: str) -> DataFrame:
     """``kept``, place and seed: a row for each place and mask of each row with room for a span.
 
-    Rows carry no texts, however many places a text has. The outer form keeps Spark from
+    Places are exploded first, so that seeds are hashed in generated code instead of a lambda.
+    Rows given on carry no texts, however many places a text has. The outer forms keep Spark from
     testing for empty arrays below, which would hash every text twice; rows without a place
     have no seed and meet nothing.
     """
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(words) - SPAN),
-        lambda i: F.array(*[F.xxhash64(F.lit(m), *[F.get(words, i + o) for o in mask]) for m, mask in enumerate(MASKS)]),
-    )
-    flat = F.when(F.size(words) >= SPAN, F.flatten(hashes))
-    placed = rows.select(*kept, F.posexplode_outer(flat).alias("at", "seed"))
-    return placed.withColumn("at", F.floor(F.col("at") / len(MASKS)).cast("int"))
+    starts = F.when(F.size(words) >= SPAN, F.slice(words, F.lit(1), F.greatest(F.size(words) - (SPAN - 1), F.lit(0))))
+    placed = rows.select(*kept, words.alias("_words"), F.posexplode_outer(starts).alias("at", "_first"))
+    word = lambda o: F.get("_words", F.col("at") + o) if o else F.col("_first")
+    of_masks = F.array(*[F.xxhash64(F.lit(m), *map(word, mask)) for m, mask in enumerate(MASKS)])
+    return placed.select(*kept, "at", F.explode_outer(F.when(F.col("at").isNotNull(), of_masks)).alias("seed"))
 
 
 def context(at: Column) -> Column:

@@ -265,3 +265,15 @@ def test_a_line_said_over_and_over(spark, tmp_path):
     rows = [(1, "\n".join([said] * 6)), (2, "\n".join(["own", said, said, said])), (3, said)]
     found = line_chunks.line_dedup(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text) for r in found) == [(1, f"{said}\n{said}"), (2, "own"), (3, said)]
+
+
+def test_seeds_are_hashed_in_generated_code(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(12))), (2, "too short"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = docs.select("doc_id", spaced_seeds.word_hashes("text").alias("words"))
+    found = spaced_seeds.seeds(words, F.col("words"), "doc_id")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in text.splitlines() if "Generate" in line]
+    assert lines and all("*(" in line.split("Generate")[0] for line in lines)
+    got = [(r.doc_id, r.at) for r in found.where("seed IS NOT NULL").collect()]
+    assert sorted(got) == [(1, 0)] * 3 + [(1, 1)] * 3
