@@ -9,7 +9,12 @@ token it keeps how many tokens a member has from there on, and the range of size
 overlap of a set with a whole group is bounded by the count of tokens that can count. Of
 two groups the smaller one's sets ask the larger one. Only groups that reach the bound are
 opened, by the tokens that count for them, and only their members that reach it too are
-compared. Sets of one group are never compared again, and members of a group meet a set
+compared. Each set also has ``PARITIES`` bits: whether the number of its tokens with a certain
+hash is odd. Where two sets differ in a bit they differ in a token, so pairs that differ in more
+bits than similar sets can in tokens are left out before their sets are made; of a group,
+bits in which all members agree are told apart from a set's. Sets of very many tokens may
+differ in more than there are bits, and are compared as if they had none.
+Sets of one group are never compared again, and members of a group meet a set
 only through tokens that leave enough overlap, which a copy's own words don't.
 
 The order of tokens comes from word counts over all documents. Any order is right; this
@@ -40,6 +45,7 @@ from quillcast.llm.components import components
 BANDS = 4
 SHARED = 3
 COUNTED = 1 << 22  # words of a larger share than 1 / COUNTED are counted, so no more than that
+PARITIES = 512  # a power of two, and whole 64-bit numbers
 FEW = 1_000_000  # rows of an id and a digest that may be broadcast, some 50 MB
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(2 * BANDS)], np.uint64)
 
@@ -53,6 +59,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each hash of tokens whether their number is odd, as bits of 64-bit numbers."""
+    of = (tokens >> np.uint64(65 - PARITIES.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(of, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent words in order, and the binary logarithm of their counts."""
 
@@ -78,15 +90,15 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: size and digest of the set, band keys, and the tokens of its beginning in order.
+    """Per row: size and digest of the set, band keys, parities, and the tokens of its beginning in order.
 
-    A set that is too small to be similar to any but an equal one has no keys or tokens.
+    A set that is too small to be similar to any but an equal one has no keys, parities or tokens.
     """
     words, levels = table
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            sizes, digests, keys, firsts = [], [], [], []
+            sizes, digests, keys, bits, firsts = [], [], [], [], []
             for some in shingle_sets.parts(batch.column(1).to_pylist()):
                 hashes, bounds = shingle_sets.word_hashes(some)
                 level = np.zeros(len(hashes), np.uint16)
@@ -103,10 +115,12 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
                     if n * (1 - ratio) < ratio:
                         keys.append(None)
+                        bits.append(None)
                         firsts.append(None)
                         continue
                     least = np.minimum.reduce(tokens[:, None] * SEEDS ^ (tokens >> np.uint64(32))[:, None])
                     keys.append(signed(shingle_sets.mixed(least[::2] ^ shingle_sets.mixed(least[1::2]))))
+                    bits.append(parities(tokens))
                     order = np.argsort(together[start + place], kind="stable")
                     firsts.append(signed(tokens[order[: n - -(-n * ratio.numerator // ratio.denominator) + shared_by(ratio)]]))
             yield pa.RecordBatch.from_arrays(
@@ -115,14 +129,16 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
                     pa.array(firsts, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "node", "keys", "tokens"],
+                ["doc_id", "n", "node", "keys", "bits", "tokens"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(signed_sets, f"doc_id {kind}, n bigint, node binary, keys array<bigint>, tokens array<bigint>")
+    schema = f"doc_id {kind}, n bigint, node binary, keys array<bigint>, bits array<bigint>, tokens array<bigint>"
+    return rows.mapInArrow(signed_sets, schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -188,6 +204,22 @@ def across(member: DataFrame, group: DataFrame, asks: Column, ratio: Fraction, o
     )
 
 
+def close(ratio: Fraction) -> Column:
+    """Whether a set of ``n`` tokens with ``bits`` may be similar to a member of a group.
+
+    Members have at most ``high`` tokens, and all of them the bits ``every``, none others than ``some``.
+    A similar pair of n and m tokens differs in at most (1 - r) / (1 + r) * (n + m).
+    """
+    bits, every, some = F.col("bits"), F.col("every"), F.col("some")
+    apart = [
+        F.bit_count(bits[i].bitwiseAND(F.bitwise_not(some[i])).bitwiseOR(every[i].bitwiseAND(F.bitwise_not(bits[i]))))
+        for i in range(PARITIES // 64)
+    ]
+    m = F.least("high", F.floor(F.col("n") * ratio.denominator / ratio.numerator))
+    of_all = (F.col("n") + m) * (ratio.denominator - ratio.numerator)
+    return sum(apart[1:], apart[0]) * (ratio.denominator + ratio.numerator) <= of_all
+
+
 def in_several(tokens: DataFrame, of: str) -> DataFrame:
     """The rows whose token stands in more than one ``of``."""
     several = tokens.groupBy("token").agg(F.min(of).alias("g"), F.max(of).alias("h")).where("g != h")
@@ -199,7 +231,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     table = common_words(docs)
     signed_rows = staged(signatures(docs, k, ratio, table), folder, "signatures")
     classes = signed_rows.where("keys IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
     )
     # the beginning of each class's set, a row per token; hashes of nodes stand for them
     first = staged(classes.select("doc_id", "node"), folder, "first")
@@ -214,14 +246,17 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     classes = classes.withColumn("id", F.xxhash64("node")).join(met, "id", "left")
     looked_at = F.least(F.col("n"), F.col("n") + F.floor(-F.col("n") * ratio.numerator / ratio.denominator) + shared_by(ratio))
     classes = classes.withColumn("own", looked_at - F.coalesce("met", F.lit(0)))
-    classes = staged(classes.select("id", "node", "n", "keys", "own"), folder, "classes")
+    classes = staged(classes.select("id", "node", "n", "keys", "bits", "own"), folder, "classes")
 
     # a group's centre has the fewest tokens that no other set has
     keys = classes.select("node", "own", F.posexplode("keys").alias("band", "key"))
     centre = F.min(F.struct("own", "node"))["node"].alias("b")
     centres = keys.groupBy("band", "key").agg(centre, F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keys.join(centres, ["band", "key"]).where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = staged(pairs, folder, "pairs")
+    pairs = pairs.join(classes.select(F.col("node").alias("a"), "n", "bits"), "a")
+    several = F.col("bits").alias("every"), F.col("bits").alias("some")
+    pairs = pairs.join(classes.select(F.col("node").alias("b"), F.col("n").alias("high"), *several), "b")
+    pairs = staged(pairs.where(close(ratio)).select("a", "b"), folder, "pairs")
     near = compared(docs, signed_rows, pairs, folder, "near", k, ratio)
     groups = components(near, folder, "groups")
 
@@ -230,8 +265,9 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     size = F.coalesce("size", F.lit(1)).alias("size")
     # no set has more in common with a class than the tokens that are not its own
     most = (F.col("n") - F.col("own")).alias("common")
-    grouped = classes.join(groups.join(sizes, "component"), "node", "left").select("id", group, size, most)
-    tokens = tokens.join(staged(grouped, folder, "grouped"), "id").withColumnRenamed("id", "node")
+    grouped = classes.join(groups.join(sizes, "component"), "node", "left").select("id", "n", group, size, most, "bits")
+    grouped = staged(grouped, folder, "grouped")
+    tokens = tokens.join(grouped.drop("n", "bits"), "id").withColumnRenamed("id", "node")
     tokens = staged(in_several(tokens, "group"), folder, "tokens")
     forget(spark, folder, "shared", "sizes")
     matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(
@@ -249,8 +285,17 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.first("common").alias("common"),
         F.array_sort(F.collect_list(F.struct("held", "token", "rest"))).alias("by"),
     )
-    opened = staged(opened.where(F.size("by") >= shared_by(ratio)), folder, "opened")
-    members = tokens.select(
+    bits = [F.col("bits")[i] for i in range(PARITIES // 64)]
+    of_group = grouped.groupBy(F.col("group").alias("other")).agg(
+        F.max("n").alias("high"),
+        F.array(*map(F.bit_and, bits)).alias("every"),
+        F.array(*map(F.bit_or, bits)).alias("some"),
+    )
+    opened = opened.where(F.size("by") >= shared_by(ratio)).join(grouped.select(F.col("id").alias("node"), "bits"), "node")
+    opened = opened.join(of_group, "other").where(close(ratio)).drop("high", "every", "some")
+    opened = staged(opened, folder, "opened")
+    in_opened = tokens.join(opened.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
+    members = in_opened.join(grouped.select(F.col("id").alias("node"), *several), "node").select(
         F.col("node").alias("b"),
         "token",
         F.col("group").alias("other"),
@@ -258,11 +303,13 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
         F.col("common").alias("at_most"),
         F.col("n").alias("low"),
         F.col("n").alias("high"),
+        "every",
+        "some",
     )
     # of the tokens that a pair must share all but so many may be left out, so those of the most members are
     fewer = F.slice("by", F.lit(1), F.size("by") - (shared_by(ratio) - 1))
-    askers = opened.select("node", "other", "n", "common", F.inline(fewer))
-    met = across(askers, members, F.lit(True), ratio, ["token", "other"])
+    askers = opened.select("node", "other", "n", "common", "bits", F.inline(fewer))
+    met = across(askers, members, close(ratio), ratio, ["token", "other"])
     met = staged(met.select("other", F.col("node").alias("a"), "b").distinct(), folder, "met")
     asked = opened.select(F.col("node").alias("a"), "other", F.col("by.token").alias("by"))
     ends = met.select(F.col("b").alias("node")).distinct()

@@ -89,6 +89,34 @@ def test_a_large_group_of_near_copies(spark, tmp_path):
     assert found(spark, tmp_path, docs, 3, Fraction(9, 10)) == components(docs, 3, Fraction(9, 10))
 
 
+def test_sets_that_only_begin_alike_are_not_compared(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    blocks = [[[f"b{b}v{v}w{w}" for w in range(5)] for v in range(2)] for b in range(60)]
+    docs = []
+    for i in range(90):  # each block has two texts, so all shingles are in several sets
+        docs.append((i, " ".join(w for both in blocks for w in both[rng.random() < 0.12])))
+    docs += [(100 + i, t + " own") for i, t in docs[:5]]
+    pairs, compared = [], token_groups.compared
+
+    def counted(docs, rows, found, *more):
+        pairs.append(found.count())
+        return compared(docs, rows, found, *more)
+
+    monkeypatch.setattr(token_groups, "compared", counted)
+    assert found(spark, tmp_path, docs, 3, Fraction(9, 10)) == components(docs, 3, Fraction(9, 10))
+    assert sum(pairs) < 400  # of some 4,000 pairs of such sets
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 40, 700, 5000):
+        tokens = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        other = np.unique(np.r_[tokens[: n // 2], rng.integers(0, 1 << 64, n // 5, np.uint64)])
+        bits = token_groups.parities(tokens) ^ token_groups.parities(other)
+        assert len(bits) * 64 == token_groups.PARITIES
+        assert int(np.bitwise_count(bits).sum()) <= len(np.setxor1d(tokens, other))
+
+
 def test_empty_table_and_one_of_each(spark, tmp_path):
     assert found(spark, tmp_path, [], 3, Fraction(9, 10)) == []
     docs = copies(random.Random(6), 120, 3)
