@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillcast.llm import word_text
+from quillcast.llm.common import few_rows
 from quillcast.llm.remembered import WORDS
 from quillcast.llm.shingle_sets import parts
 
@@ -50,7 +52,7 @@ class RoundsEncoder:
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(file)  # only for letters that Python doesn't know
+        self.file = file
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
@@ -72,6 +74,11 @@ class RoundsEncoder:
         self.known: dict[str, tuple[int, ...]] = {"\n" + s: (i,) for s, i in special.items()}
         self.older: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Only for letters that Python doesn't know, so most tasks never load it."""
+        return Tokenizer.from_file(self.file)
+
     def ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each place, by binary search over the pair keys."""
         right = np.minimum(at + 1, len(symbols) - 1)
@@ -119,7 +126,7 @@ class RoundsEncoder:
 
     def learn(self, cuts: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Cuts of texts with their ids."""
-        pieces = [word_text.words(c, self.library) for c in cuts]
+        pieces = [word_text.words(c, lambda: self.library) for c in cuts]
         distinct = list(set(chain.from_iterable(pieces)))
         if distinct:
             ids = dict(zip(distinct, self.merge(distinct)))
@@ -162,7 +169,7 @@ def encode_documents(docs: DataFrame, file: str, id_column: str = "doc_id", text
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RoundsEncoder(file)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [pa.array(encoder.encode(some), IDS) for some in parts(batch.column(1).to_pylist())]
             column = pa.chunked_array(ids, IDS).combine_chunks()
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])
@@ -193,7 +200,7 @@ def round_trips(docs: DataFrame, file: str, id_column: str = "doc_id", text: str
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RoundsEncoder(file)
-        for batch in batches:
+        for batch in few_rows(batches):
             sizes, of_ids, of_texts = [], [], []
             for some in parts(batch.column(1).to_pylist()):
                 ids = encoder.encode(some)

@@ -10,7 +10,7 @@ import numpy as np
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-PART = 4 << 20  # bytes worked on at once
+PART = 1 << 20  # characters worked on at once; arrays and words of a part take some thirty times as much
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,13 +55,13 @@ def joined(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def parts(texts: list[str]):
+def parts(texts: list[str], most: int = PART):
     """Runs of texts of bounded size together."""
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
-        if size >= PART:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:

@@ -68,7 +68,7 @@ class WordEncoder:
 
     def learn(self, cuts: list[str]) -> None:
         """Ask for many cuts at once; ids whose token has a word end part the words."""
-        pieces = [word_text.words(c, self.library) for c in cuts]
+        pieces = [word_text.words(c, lambda: self.library) for c in cuts]
         distinct = list(set(chain.from_iterable(pieces)))
         ids: dict[str, bytes] = {}
         for i in range(0, len(distinct), 500):

@@ -17,9 +17,11 @@ differ in more than there are bits, and are compared as if they had none.
 Sets of one group are never compared again, and members of a group meet a set
 only through tokens that leave enough overlap, which a copy's own words don't.
 
-The order of tokens comes from word counts over all documents. Any order is right; this
-one makes a shared token telling. Words below a fixed share of all are equally rare, so
-the table of counts is bounded whatever the corpus.
+The order of tokens comes from counts of words and of frequent tokens over all documents. Any
+order is right; this one makes a shared token telling. Tokens of passages that stand in many
+texts come last, so these texts don't all meet by them, however rare the words. Words and
+tokens below a fixed share of all are equally rare, so the tables of counts are bounded
+whatever the corpus.
 
 Nulls, empty texts and texts of blanks have the empty set, are linked with nothing and are
 their own component. Repeated rows are equal sets and get a row each. Null ids are sets
@@ -45,6 +47,9 @@ from quillcast.llm.components import components
 BANDS = 4
 SHARED = 3
 COUNTED = 1 << 22  # words of a larger share than 1 / COUNTED are counted, so no more than that
+OFTEN = 1 << 21  # the same of tokens
+TOGETHER = 1_000_000  # words that are counted at once, and their tokens
+LAST = np.uint16(1024)  # more than a token's words can have together, so frequent tokens come last
 PARITIES = 512  # a power of two, and whole 64-bit numbers
 FEW = 1_000_000  # rows of an id and a digest that may be broadcast, some 50 MB
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(2 * BANDS)], np.uint64)
@@ -65,46 +70,68 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(of, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
 
 
-def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent words in order, and the binary logarithm of their counts."""
+def common(spark: SparkSession, docs: DataFrame, folder: str, k: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Hashes of frequent words in order, with the binary logarithm of their counts, and the same of tokens."""
+
+    def rows(hashes: np.ndarray, is_word: bool) -> pa.RecordBatch:
+        found, counts = np.unique(hashes, return_counts=True)
+        often = counts > 1  # the sum is a little low for those seen once here and there
+        hashes, n = np.r_[signed(found[often]), 0], np.r_[counts[often], counts[~often].sum()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), is_word)), pa.array(hashes), pa.array(n)], ["is_word", "hash", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tokens, size = [], [], 0
         for batch in batches:
             for some in shingle_sets.parts(t.as_py() for t in batch.column(0)):
-                words, counts = np.unique(shingle_sets.word_hashes(some)[0], return_counts=True)
-                often = counts > 1  # the sum is a little low for words seen once here and there
-                rest = np.array([0]), np.array([counts[~often].sum()])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[signed(words[often]), rest[0]]), pa.array(np.r_[counts[often], rest[1]])],
-                    ["word", "n"],
-                )
-
-    counts = docs.select("text").where("text IS NOT NULL").mapInArrow(counted, "word bigint, n bigint")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where((F.col("n") >= max(total // COUNTED, 2)) & (F.col("word") != 0)).toArrow()
-    words = found.column("word").to_numpy().view(np.uint64)
-    levels = np.log2(found.column("n").to_numpy().astype(float)).astype(np.uint16) + 1
-    order = np.argsort(words)
-    return words[order], levels[order]
-
-
-def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+                hashes, bounds = shingle_sets.word_hashes(some)
+                words.append(hashes)
+                tokens.extend(found for found, _ in shingle_sets.shingles(hashes, bounds, k))
+                size += len(hashes)
+                if size >= TOGETHER:
+                    yield rows(np.concatenate(words), True)
+                    yield rows(np.concatenate(tokens), False)
+                    words, tokens, size = [], [], 0
+        if words:
+            yield rows(np.concatenate(words), True)
+            yield rows(np.concatenate(tokens), False)
+
+    counts = docs.select("text").where("text IS NOT NULL").mapInArrow(counted, "is_word boolean, hash bigint, n bigint")
+    counts = staged(counts.groupBy("is_word", "hash").agg(F.sum("n").alias("n")), folder, "counts")
+    totals = {row[0]: row[1] for row in counts.groupBy("is_word").agg(F.sum("n")).collect()}
+    tables = []
+    for is_word, least in (True, max(totals.get(True, 0) // COUNTED, 2)), (False, max(totals.get(False, 0) // OFTEN, 16)):
+        of = F.col("is_word") if is_word else ~F.col("is_word")
+        found = counts.where(of & (F.col("n") >= least) & (F.col("hash") != 0)).select("hash", "n").toArrow()
+        hashes = found.column("hash").to_numpy().view(np.uint64)
+        levels = np.log2(found.column("n").to_numpy().astype(float)).astype(np.uint16) + 1
+        order = np.argsort(hashes)
+        tables.append((hashes[order], levels[order]))
+    forget(spark, folder, "counts")
+    return tuple(tables)
+
+
+def levels_of(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The levels that a table has for hashes, 0 for others."""
+    known, levels = table
+    if not len(known):
+        return np.zeros(len(hashes), np.uint16)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, levels[at], 0).astype(np.uint16)
+
+
+def signatures(docs: DataFrame, k: int, ratio: Fraction, tables: tuple[tuple[np.ndarray, np.ndarray], ...]) -> DataFrame:
     """Per row: size and digest of the set, band keys, parities, and the tokens of its beginning in order.
 
     A set that is too small to be similar to any but an equal one has no keys, parities or tokens.
     """
-    words, levels = table
+    words, frequent = tables
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             sizes, digests, keys, bits, firsts = [], [], [], [], []
             for some in shingle_sets.parts(batch.column(1).to_pylist()):
                 hashes, bounds = shingle_sets.word_hashes(some)
-                level = np.zeros(len(hashes), np.uint16)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    level = np.where(words[at] == hashes, levels[at], 0).astype(np.uint16)
+                level = levels_of(hashes, words)
                 together = level[: max(len(level) - k + 1, 0)].copy()
                 for i in range(1, k):
                     together += level[i : i + len(together)]
@@ -121,7 +148,7 @@ def signatures(docs: DataFrame, k: int, ratio: Fraction, table: tuple[np.ndarray
                     least = np.minimum.reduce(tokens[:, None] * SEEDS ^ (tokens >> np.uint64(32))[:, None])
                     keys.append(signed(shingle_sets.mixed(least[::2] ^ shingle_sets.mixed(least[1::2]))))
                     bits.append(parities(tokens))
-                    order = np.argsort(together[start + place], kind="stable")
+                    order = np.argsort(together[start + place] + levels_of(tokens, frequent) * LAST, kind="stable")
                     firsts.append(signed(tokens[order[: n - -(-n * ratio.numerator // ratio.denominator) + shared_by(ratio)]]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -228,25 +255,26 @@ def in_several(tokens: DataFrame, of: str) -> DataFrame:
 
 def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Fraction) -> tuple[DataFrame, DataFrame]:
     """Rows with their classes (``doc_id, n, node``), and components of similar classes."""
-    table = common_words(docs)
-    signed_rows = staged(signatures(docs, k, ratio, table), folder, "signatures")
+    signed_rows = staged(signatures(docs, k, ratio, common(spark, docs, folder, k)), folder, "signatures")
     classes = signed_rows.where("keys IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
+        *(F.first(c).alias(c) for c in ("n", "keys", "bits", "tokens"))
     )
+    classes = staged(classes, folder, "sets")
+    signed_rows = staged(signed_rows.select("doc_id", "n", "node"), folder, "rows")
+    forget(spark, folder, "signatures")
     # the beginning of each class's set, a row per token; hashes of nodes stand for them
-    first = staged(classes.select("doc_id", "node"), folder, "first")
-    rows = signed_rows.select("doc_id", "node", F.col("n").cast("int").alias("n"), "tokens")
-    same = rows["node"].eqNullSafe(first["node"]) & rows["doc_id"].eqNullSafe(first["doc_id"])
-    tokens = rows.join(first, same).select(
-        F.xxhash64(rows["node"]).alias("id"), "n", F.posexplode("tokens").alias("at", "token")
-    )
+    tokens = classes.select(F.xxhash64("node").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
     tokens = tokens.withColumn("rest", F.col("n") - F.col("at")).drop("at")
-    tokens = staged(in_several(tokens, "id"), folder, "shared")
+    # a class has a token once; keys of 40 bits are shuffled, and the few that are alike by chance only let more rows stay
+    key = F.shiftright("token", 24)
+    several = tokens.groupBy(key.alias("key")).agg(F.count("*").alias("held")).where("held > 1").select("key")
+    tokens = staged(tokens.join(several, key == F.col("key"), "left_semi"), folder, "shared")
     met = tokens.groupBy("id").agg(F.count_distinct("token").alias("met"))
     classes = classes.withColumn("id", F.xxhash64("node")).join(met, "id", "left")
     looked_at = F.least(F.col("n"), F.col("n") + F.floor(-F.col("n") * ratio.numerator / ratio.denominator) + shared_by(ratio))
     classes = classes.withColumn("own", looked_at - F.coalesce("met", F.lit(0)))
     classes = staged(classes.select("id", "node", "n", "keys", "bits", "own"), folder, "classes")
+    forget(spark, folder, "sets")
 
     # a group's centre has the fewest tokens that no other set has
     keys = classes.select("node", "own", F.posexplode("keys").alias("band", "key"))
@@ -321,9 +349,9 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, k: int, ratio: Frac
     for end in ("a", "b"):
         pairs = pairs.join(names, F.col(end) == F.col("id")).withColumn(end, F.col("name")).drop("name", "id")
     far = compared(docs, signed_rows, staged(pairs, folder, "far-pairs"), folder, "far", k, ratio)
-    forget(spark, folder, "tokens", "opened", "met", "grouped", "first", "classes")
+    forget(spark, folder, "tokens", "opened", "met", "grouped", "classes")
     found = components(staged(near.unionByName(far), folder, "all-links"), folder, "all")
-    return signed_rows.select("doc_id", "n", "node"), found
+    return signed_rows, found
 
 
 def compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, folder: str, name: str, k: int, ratio: Fraction) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import regex
 from tokenizers import Tokenizer
@@ -31,7 +32,7 @@ def cuts(text: str) -> list[str]:
     return text.split()
 
 
-def words(cut: str, library: Tokenizer) -> list[str]:
+def words(cut: str, library: Callable[[], Tokenizer]) -> list[str]:
     """The words of a cut. Letters newer than Python's tables are left to the library."""
     if cut.isalpha():
         return [cut]
@@ -39,5 +40,5 @@ def words(cut: str, library: Tokenizer) -> list[str]:
         return [cut[:-1], cut[-1]]
     if cut.isascii() or "Cn" not in map(unicodedata.category, cut):
         return WORD.findall(cut)
-    cut = library.normalizer.normalize_str(cut)
-    return [cut[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(cut)]
+    cut = library().normalizer.normalize_str(cut)
+    return [cut[a:b] for _, (a, b) in library().pre_tokenizer.pre_tokenize_str(cut)]

@@ -107,6 +107,23 @@ def test_sets_that_only_begin_alike_are_not_compared(spark, tmp_path, monkeypatc
     assert sum(pairs) < 400  # of some 4,000 pairs of such sets
 
 
+def test_texts_that_share_a_passage_do_not_meet_by_it(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    passage = " ".join(f"rare{i}" for i in range(20))  # its words are rarer than all others
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], k=60)) + " " + passage) for i in range(150)]
+    docs += [(500 + i, t + " own") for i, t in docs[:5]]
+    asked, across = [], token_groups.across
+
+    def counted(*sides):
+        out = across(*sides)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(token_groups, "across", counted)
+    assert found(spark, tmp_path, docs, 3, Fraction(4, 5)) == components(docs, 3, Fraction(4, 5))
+    assert sum(asked) < 2000  # of some 11,000 pairs of texts, with a row for each token they meet by
+
+
 def test_parities_differ_in_no_more_than_the_sets():
     rng = np.random.default_rng(2)
     for n in (1, 40, 700, 5000):

@@ -85,6 +85,28 @@ def test_encoders_forget_without_a_change(library, monkeypatch):
         assert [x.tolist() for x in other.encode(texts)] == [[*i, token_files.END_ID] for i in want]
 
 
+def test_a_word_is_looked_up_once_for_all_its_places(library):
+    class Counted(dict):
+        calls = 0
+
+        def get(self, *key):
+            self.calls += 1
+            return super().get(*key)
+
+    encoder = token_files.WordEncoder(WORDS)
+    encoder.known.young = Counted()
+    texts = ["some words again and again, " * 500, "", "words <|endoftext|> again", "again " * 500]
+    found = encoder.encode(texts)
+    assert [d.tolist() for d in found] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert encoder.known.young.calls < 20
+
+
+def test_rounds_load_the_library_only_for_unknown_letters(library):
+    encoder = bpe_rounds.RoundsEncoder(WORDS)
+    assert encoder.encode(["plain words, é 1"]) == [library.encode("plain words, é 1", add_special_tokens=False).ids]
+    assert "library" not in vars(encoder)
+
+
 def test_pair_compression():
     rng = np.random.default_rng(0)
     for ids in (rng.integers(0, 20, 20_000), np.zeros(999, int), np.arange(3000), np.array([5]), np.zeros(0, int), rng.integers(0, 49_408, 50_000)):
