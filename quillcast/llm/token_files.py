@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -38,6 +39,7 @@ from quillcast.llm.shingle_sets import parts
 END_ID = 1
 END = END_ID.to_bytes(2, "little")
 SHARD_IDS = 1 << 20
+TOGETHER = 4 << 20  # characters encoded at once, so that a cut is looked up once for many places
 FIRST_RULE = 50_000
 MOST_SYMBOLS = 1 << 16
 NO_RULE = np.uint16(MOST_SYMBOLS - 1)  # no rank is as large
@@ -68,7 +70,7 @@ class WordEncoder:
 
     def learn(self, cuts: list[str]) -> None:
         """Ask for many cuts at once; ids whose token has a word end part the words."""
-        pieces = [word_text.words(c, lambda: self.library) for c in cuts]
+        pieces = [(c,) if c.isalpha() else word_text.words(c, lambda: self.library) for c in cuts]
         distinct = list(set(chain.from_iterable(pieces)))
         ids: dict[str, bytes] = {}
         for i in range(0, len(distinct), 500):
@@ -76,31 +78,46 @@ class WordEncoder:
             flat = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ends = (np.flatnonzero(self.last[flat]) + 1).tolist()
             raw = np.array(flat, "<u2").tobytes()
-            ids.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(some, [0, *ends], ends))
-        for c, p in zip(cuts, pieces):
-            self.known.young[c] = ids[p[0]] if len(p) == 1 else b"".join(map(ids.get, p))
+            ids.update(zip(some, [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]))
+        found = [ids[p[0]] if len(p) == 1 else b"".join(map(ids.get, p)) for p in pieces]
+        self.known.young.update(zip(cuts, found))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with the end id. Each distinct cut is looked up once; the rest is done by numbers."""
         known = self.known
         if len(known.young) > known.size:
             known.old, known.young = known.young, {}
         get = known.young.get
-        cut = [None if "<|" in t else word_text.cuts(t) for t in texts]
-        parts = [None if c is None else list(map(get, c)) for c in cut]
-        new = {c for cs, ps in zip(cut, parts) if ps and None in ps for c, p in zip(cs, ps) if p is None}
+        cut = [[] if "<|" in t else word_text.cuts(t) for t in texts]
+        flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        # no cut is empty or has a line end, and one long text is read and cut faster than many short ones
+        every = pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary)
+        distinct = pa.compute.binary_join(every, "\n")[0].as_py().split("\n") if len(flat) else []
+        values = list(map(get, distinct))
+        new = {c for c, v in zip(distinct, values) if v is None}
         met = new & known.old.keys()
         known.young.update((c, known.old[c]) for c in met)
         self.learn(list(new - met))
-        out = []
-        for t, c, p in zip(texts, cut, parts):
-            if c is None:  # it may hold special strings
-                flat = self.library.encode(t, add_special_tokens=False).ids
-                out.append(np.array([*flat, END_ID], "<u2"))
-            else:
-                out.append(np.frombuffer(b"".join(map(get, c) if None in p else p) + END, "<u2"))
+        values = [get(c) if v is None else v for c, v in zip(distinct, values)]
         for c in new:
             if len(c) > known.longest:
                 del known.young[c]
+        # an end behind each text's cuts
+        which = np.full(len(flat) + len(texts), len(values))
+        ends = np.cumsum([len(c) + 1 for c in cut])
+        at_cut = np.ones(len(which), bool)
+        at_cut[ends - 1] = False
+        which[at_cut] = flat.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        sizes, ids = np.r_[sizes, 1], np.frombuffer(b"".join(values) + END, "<u2")
+        first, each = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        until = np.cumsum(each)
+        ids = ids[np.repeat(first - until + each, each) + np.arange(until[-1] if len(until) else 0)]
+        bounds = [0, *until[ends - 1].tolist()]
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i, t in enumerate(texts):
+            if "<|" in t:  # it may hold special strings
+                out[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, END_ID], "<u2")
         return out
 
 
@@ -214,7 +231,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, id_column: str = "doc_id
 
         for batch in batches:
             names_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, found in zip(names_of, chain.from_iterable(map(encoder.encode, parts(texts)))):
+            for name, found in zip(names_of, chain.from_iterable(map(encoder.encode, parts(texts, TOGETHER)))):
                 ids.append(found)
                 names.append(name)
                 held += len(found)
