@@ -10,7 +10,8 @@ import numpy as np
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-PART = 1 << 20  # characters worked on at once; arrays and words of a part take some thirty times as much
+PART = 4 << 20  # characters worked on at once
+SMALL = 1 << 20  # the same where a part's arrays and words take some thirty times as much
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +56,7 @@ def joined(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def parts(texts: list[str], most: int = PART):
+def parts(texts: list[str], most: int = SMALL):
     """Runs of texts of bounded size together."""
     held, size = [], 0
     for t in texts:

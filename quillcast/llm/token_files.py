@@ -34,12 +34,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from quillcast.llm import word_text
 from quillcast.llm.remembered import Remembered
-from quillcast.llm.shingle_sets import parts
+from quillcast.llm.shingle_sets import PART, parts
 
 END_ID = 1
 END = END_ID.to_bytes(2, "little")
 SHARD_IDS = 1 << 20
-TOGETHER = 4 << 20  # characters encoded at once, so that a cut is looked up once for many places
 FIRST_RULE = 50_000
 MOST_SYMBOLS = 1 << 16
 NO_RULE = np.uint16(MOST_SYMBOLS - 1)  # no rank is as large
@@ -231,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, id_column: str = "doc_id
 
         for batch in batches:
             names_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, found in zip(names_of, chain.from_iterable(map(encoder.encode, parts(texts, TOGETHER)))):
+            for name, found in zip(names_of, chain.from_iterable(map(encoder.encode, parts(texts, PART)))):
                 ids.append(found)
                 names.append(name)
                 held += len(found)
