@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
+ROWS = 256  # that are Python objects at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,17 @@ def forget(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python no more than ``ROWS`` rows at once.
+
+    Spark holds a batch several times outside of its heap, and 10,000 whole texts are much.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of so many at most, so that few are Python objects at once."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -387,7 +387,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str, k: int = 5, r
     smallest id all stay.
     """
     found = near_duplicates(spark, docs, folder, k, ratio)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = staged(first, folder, "first")
-    first = first.withColumnRenamed("doc_id", "_first")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.max(is_first).alias("stays")).where("NOT stays").drop("stays")
+    gone = staged(gone, folder, "gone")
+    few = gone.count() <= FEW  # then no text is shuffled
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

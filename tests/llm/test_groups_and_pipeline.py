@@ -9,10 +9,11 @@ import __spark_entry__ as contract
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from checks.compare import connect, rows
 from quillcast.llm import line_chunks, quality_pairs, queries, shingle_sets, token_groups
-from quillcast.llm.common import fold
+from quillcast.llm.common import ROWS, fold
 from test_filters import leaks, without_repeats
 from tokenizers import Tokenizer
 
@@ -143,6 +144,22 @@ def test_empty_table_and_one_of_each(spark, tmp_path):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_shuffles_no_texts(spark, tmp_path, conf, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [(7, text), (3, text + " more"), (3, "alone"), (None, text), (None, "by itself"), (5, None), (5, None), (9, text)]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in docs], DOC)
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kept = token_groups.one_of_each(spark, frame, str(tmp_path / "few"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    want = sorted([(3, text + " more"), (3, "alone"), (None, text), (None, "by itself"), (5, None), (5, None)], key=str)
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == want
+    monkeypatch.setattr(token_groups, "FEW", -1)
+    kept = token_groups.one_of_each(spark, frame, str(tmp_path / "many"))
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == want
+
+
 def test_sets_hold_one_hash_for_each_shingle():
     texts = [t for _, t in copies(random.Random(1), 50, 3)] + ["", "a", "A b", "é É", "x" * 100 + " y", "a b c a b c a b c"]
     for k in (1, 3, 5):
@@ -180,6 +197,23 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert corpus_pipeline.encode(spark, docs.limit(0), SF).collect() == []
 
 
+@pytest.mark.parametrize("number", [i for i, (name, _) in enumerate(corpus_pipeline.STAGES) if name != "decontaminate"])
+def test_pipeline_stages_send_python_few_rows_at_once(spark, conf, number):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf(at_once, "10000")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.STAGES[number][1](spark, docs.limit(5), SF)
+    many = spark.range(2000).coalesce(1)
+    assert max(r.n for r in many.mapInArrow(sizes, "n bigint").collect()) == ROWS
+    conf(at_once, "100")
+    corpus_pipeline.STAGES[number][1](spark, docs.limit(0), SF)
+    assert spark.conf.get(at_once) == "100"
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_against_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), connect(SF).execute(queries.ORACLES[name]).df()
