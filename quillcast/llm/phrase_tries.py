@@ -2,15 +2,18 @@
 
 Level by level, from words to the longest phrases: candidates of a length are phrases in the
 text all of whose parts are frequent. They go into double-array tries, broadcast in blocks of
-at most ``BLOCK`` phrases; in each task numpy moves the states of all places of many texts
+some ``BLOCK`` phrases; in each task numpy moves the states of all places of many texts
 on by one word at a time, and counts the places at each accepting state. Sums over all tasks
-are the frequencies, and frequent candidates are the base of the next level.
+are the frequencies, and frequent candidates are the base of the next level. Where there are
+several blocks, the places are dealt to them first, so each is looked at once.
 
-What keeps candidates few is a table of hashed counters, 2**``bits`` of them, filled with all places that
-can hold one: a candidate whose counter stays below the least frequency can't reach it.
-After each level the texts are cut down to stretches of frequent phrases, found by a bitmap
-of their hashes. Counters and bitmaps have a fixed size, and what they let through by chance
-is counted exactly by the tries, so they change no result.
+What keeps candidates few are hashed counters, 2**``COUNTERS`` of them, of which each task passes
+on those that it has met: a candidate whose counter stays below the least frequency can't reach it.
+Before a level is counted the texts are cut down to stretches of phrases in busy counters, and after it to
+stretches of frequent phrases, both found by a bitmap of 2**``bits`` bits, more for many phrases. What the
+bitmap lets through is looked up among the busy counters as well, as a bitmap passes on a share of all
+phrases, of which there are many more than frequent ones.
+What counters and bitmaps let through by chance is counted exactly by the tries, so they change no result.
 
 Words are kept as 64-bit hashes. Two words of one language under one hash would be told
 apart by their texts when words are counted, and everything is hashed anew with another seed.
@@ -41,9 +44,14 @@ LONGEST = 5
 TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences inside one longer phrase
 BLOCK = 500_000  # phrases of a broadcast trie; some 50 MB
-BITS = 23  # of a counter's or bit's number: 32 MB of counters in a task, 1 MB as a bitmap
+BITS = 23  # of a bit's number in a bitmap, at least: 1 MB
+MOST_BITS = 28  # at most, however many phrases there are: 32 MB
+COUNTERS = 42  # bits of a counter's number
+BUSY = 1 << 23  # counters that are looked up beside the bitmap, at most: 64 MB
+SLOTS = 10  # bits of the range of hashes that is merged as one row
 SLOT = 1024  # counts that are summed as one row
-HELD = 500_000  # candidates that a task holds before it passes them on
+HELD = 500_000  # candidates or words that a task holds before it merges them or passes them on
+PLACES = 1 << 22  # whose counters a task holds before it passes them on
 PIECE = 1 << 20  # characters that are cut into words at once where no words are gathered
 SEEDS = 8
 WORDS = 1 << 20  # words whose places are worked on at once
@@ -104,30 +112,111 @@ def cut(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, pieces, np.searchsorted(starts, offsets)
 
 
+def distinct_words(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, n: np.ndarray):
+    """``hashes, n, sizes`` and bytes of the distinct words of ``data``, with the sums of ``n``, in order of hashes.
+
+    One word stands for each hash; others that share it follow at the end with a count of 0, as
+    they have to be seen as well.
+    """
+    order = np.argsort(hashes, kind="stable")
+    new = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]][: len(order)]
+    begin = np.flatnonzero(new)
+    first, same = order[begin], np.empty(len(order), np.int64)
+    same[order] = np.cumsum(new) - 1
+    odd = unlike(data, starts, ends, first[same])
+    kept = np.r_[first, odd]
+    sums = np.add.reduceat(n[order], begin) if len(begin) else n[:0]
+    sizes = ends[kept] - starts[kept]
+    at = np.repeat(starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return hashes[kept], np.r_[sums, np.zeros(len(odd), np.int64)], sizes, np.frombuffer(data, np.uint8)[at]
+
+
+class Words:
+    """Distinct words of some languages with their counts, merged whenever as many as ``HELD`` have come."""
+
+    def __init__(self):
+        self.lists: dict = {}
+        self.new = 0
+
+    def add(self, lang: str, *words: np.ndarray) -> None:
+        self.lists.setdefault(lang, []).append(words)
+        self.new += len(words[0])
+        if self.new > HELD:
+            self.lists = {lang: [found] for lang, found in self.merged()}
+            self.new = 0
+
+    def merged(self) -> list:
+        out = []
+        for lang, some in self.lists.items():
+            hashes, n, sizes, raw = (np.concatenate(x) for x in zip(*some))
+            ends = np.cumsum(sizes)
+            out.append((lang, distinct_words(raw.tobytes() + bytes(8), ends - sizes, ends, hashes, n)))
+        return out
+
+    def held(self) -> int:
+        return sum(len(x[0]) for some in self.lists.values() for x in some)
+
+
+def packed_words(found: Words) -> Iterator[pa.RecordBatch]:
+    """A row for each language and range of hashes."""
+    for lang, (hashes, n, sizes, raw) in found.merged():
+        slots = bucket(hashes, SLOTS)
+        if len(slots) and (np.diff(slots) < 0).any():  # words that share a hash stand at the end
+            order, ends = np.argsort(slots, kind="stable"), np.cumsum(sizes)
+            raw = np.concatenate([raw[ends[k] - sizes[k] : ends[k]] for k in order.tolist()])
+            hashes, n, sizes, slots = hashes[order], n[order], sizes[order], slots[order]
+        slots, begin, each = np.unique(slots, return_index=True, return_counts=True)
+        offsets = np.r_[0, np.cumsum(sizes)][np.r_[begin, len(sizes)]].astype(np.int32)
+        columns = [
+            pa.repeat(pa.scalar(lang, pa.string()), len(slots)),
+            pa.array(slots.astype(np.int32)),
+            lists(hashes.view(np.int64), each),
+            lists(n, each),
+            lists(sizes.astype(np.int32), each),
+            pa.Array.from_buffers(pa.binary(), len(slots), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "slot", "hashes", "n", "sizes", "raw"])
+
+
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """``lang, hash, word, n`` of all words."""
+    """``lang, hash, word, n`` of all words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task passes its words on as a row for each language and range of hashes.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Words()
         for batch in batches:
-            for lang, texts in texts_by_language(batch):
+            for lang, texts in texts_by_language(batch, PIECE):
                 data, starts, ends, _, _ = cut(texts)
                 hashes = hashes_of(data, starts, ends - starts, seed)
-                found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                # one word of each hash here; another one beside it has to be seen as well
-                same = np.searchsorted(found, hashes)
-                odd = unlike(data, starts, ends, first[same])
-                words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-                words += [data[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
-                columns = [
-                    pa.repeat(pa.scalar(lang, pa.string()), len(words)),
-                    pa.array(np.r_[found, hashes[odd]].view(np.int64)),
-                    pa.array(words, pa.binary()).cast(pa.string()),
-                    pa.array(np.r_[n, np.zeros(len(odd), np.int64)]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "hash", "word", "n"])
-
-    rows = docs.mapInArrow(run, "lang string, hash bigint, word string, n bigint")
-    return rows.groupBy("lang", "hash", "word").agg(F.sum("n").alias("n"))
+                found.add(lang, *distinct_words(data, starts, ends, hashes, np.ones(len(hashes), np.int64)))
+                if found.held() > 2 * HELD:
+                    yield from packed_words(found)
+                    found = Words()
+        yield from packed_words(found)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Words()
+        for batch in batches:
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                hashes, n, sizes = (batch.column(c)[k].values.to_numpy() for c in ("hashes", "n", "sizes"))
+                raw = np.frombuffer(batch.column("raw")[k].as_buffer(), np.uint8)
+                found.add(lang, hashes.view(np.uint64), n, sizes.astype(np.int64), raw)
+        for lang, (hashes, n, sizes, raw) in found.merged():
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            columns = [
+                pa.repeat(pa.scalar(lang, pa.string()), len(sizes)),
+                pa.array(hashes.view(np.int64)),
+                words.cast(pa.string()),
+                pa.array(n),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "hash", "word", "n"])
+
+    packed = "lang string, slot int, hashes array<bigint>, n array<bigint>, sizes array<int>, raw binary"
+    rows = docs.mapInArrow(gather, packed).repartition("lang", "slot")
+    return rows.mapInArrow(merge, "lang string, hash bigint, word string, n bigint")
 
 
 def unlike(data: bytes, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -166,6 +255,25 @@ def bitmap_of(rows: DataFrame, bits: int) -> np.ndarray:
     return out.astype("<i8").view(np.uint8)
 
 
+class Busy:
+    """Busy counters: their bitmap, and their numbers in order unless they are more than ``BUSY``."""
+
+    def __init__(self, counters: DataFrame, bits: int):
+        n = counters.count()
+        bits = enough_bits(n, bits)
+        self.bitmap = bitmap_of(counters.select(F.shiftright("bucket", COUNTERS - bits).alias("bucket")), bits)
+        self.numbers = np.sort(counters.toArrow()["bucket"].to_numpy()) if 0 < n <= BUSY else None
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = among(self.bitmap, hashes)
+        if self.numbers is not None:
+            at = np.flatnonzero(found)
+            asked = bucket(hashes[at], COUNTERS)
+            near = np.minimum(np.searchsorted(self.numbers, asked), len(self.numbers) - 1)
+            found[at] = self.numbers[near] == asked
+        return found
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
@@ -191,15 +299,17 @@ def phrase_hashes(columns: list[np.ndarray], own) -> np.ndarray:
     return mixed(out ^ own)
 
 
-def stretches(words: np.ndarray, starts: np.ndarray, size: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stretches(
+    words: np.ndarray, starts: np.ndarray, size: int, bounds: np.ndarray, whole: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Stretches in which phrases of ``size`` words begin at each of ``starts`` in a row, a 0 after each.
 
-    A phrase that has no neighbour is left out, as no longer one is around it. Also gives the
-    length of each text's part, whose words lie between ``bounds``.
+    Unless they are to be ``whole``, a phrase that has no neighbour is left out, as no longer one
+    is around it. Also gives the length of each text's part, whose words lie between ``bounds``.
     """
     after = np.diff(starts) == 1
     first, last = np.r_[True, ~after][: len(starts)], np.r_[~after, True][: len(starts)]
-    alone = first & last
+    alone = first & last & (not whole)
     starts, last = starts[~alone], last[~alone]
     ends = np.cumsum(np.where(last, size + 1, 1))
     out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
@@ -273,36 +383,81 @@ class Places:
         return phrase_hashes(self.columns(self.at), own[self.lang])
 
 
-def busy_buckets(texts: DataFrame, size: int, least: int, bits: int) -> np.ndarray:
-    """A bitmap of the buckets that at least ``least`` places of phrases of ``size`` words fall into."""
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    every = every[order]
+    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    n = np.concatenate(counts)[order]
+    return every[begin], np.add.reduceat(n, begin) if len(begin) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << bits, np.uint32)
-        seen = 0
 
-        def told() -> Iterator[pa.RecordBatch]:
-            full = np.flatnonzero(counters)
-            for start in range(0, len(full), 1 << 18):
-                some = full[start : start + (1 << 18)]
-                columns = [pa.array(some.astype(np.int32)), pa.array(counters[some].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n"])
-            counters[:] = 0
+def busy_counters(texts: DataFrame, size: int, least: int) -> DataFrame:
+    """``bucket``: numbers of the counters that at least ``least`` places of phrases of ``size`` words fall into.
 
+    A task passes on the counters it has met, not all, as a row for each range of them.
+    """
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        every.sort()
+        begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        found, n = every[begin], np.diff(np.r_[begin, len(every)])
+        low = COUNTERS - SLOTS
+        each = np.diff(np.searchsorted(found, np.arange((1 << SLOTS) + 1) << low))
+        slots = np.flatnonzero(each)
+        columns = [
+            pa.array(slots.astype(np.int32)),
+            lists(found.astype(np.uint32).view(np.int32), each[slots]),
+            lists(n.astype(np.int32), each[slots]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["slot", "counters", "n"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for places in some_places(batches, size):
-            if seen + len(places.at) >= 1 << 32:
-                yield from told()
-                seen = 0
-            seen += len(places.at)
-            np.add.at(counters, bucket(places.hashes(), bits), np.uint32(1))
-        yield from told()
+            held.append(bucket(places.hashes(), COUNTERS))
+            n += len(held[-1])
+            if n >= PLACES:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, new = [], [], 0
+        for batch in batches:
+            each = np.diff(batch.column(1).offsets.to_numpy())
+            high = np.repeat(batch.column(0).to_numpy().astype(np.int64) << (COUNTERS - SLOTS), each)
+            keys.append(high | batch.column(1).flatten().to_numpy().view(np.uint32))
+            counts.append(batch.column(2).flatten().to_numpy().astype(np.int64))
+            new += len(keys[-1])
+            if new > PLACES:
+                keys, counts = ([x] for x in summed(keys, counts))
+                new = 0
+        if keys:
+            found, n = summed(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n >= least])], names=["bucket"])
+
+    rows = texts.mapInArrow(tell, "slot int, counters array<int>, n array<int>").repartition("slot")
+    return rows.mapInArrow(add, "bucket bigint")
 
-    counts = texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return bitmap_of(counts.where(F.col("n") >= least).select(F.col("bucket").cast("bigint").alias("bucket")), bits)
+
+def enough_bits(phrases: int, bits: int) -> int:
+    """Bits of a bitmap's numbers with which one other hash in sixteen or fewer is let through."""
+    return max(bits, min((16 * phrases).bit_length(), MOST_BITS))
 
 
 def distinct_rows(rows: np.ndarray) -> np.ndarray:
-    rows = rows[np.lexsort(rows.T[::-1])]
-    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)]]
+    hashes = phrase_hashes(list(rows.T), np.uint64(0))
+    order = np.argsort(hashes)
+    hashes, found = hashes[order], rows[order]
+    new = np.r_[True, hashes[1:] != hashes[:-1]][: len(found)]
+    if ((found[1:] != found[:-1]).any(1) & ~new[1:]).any():  # phrases that share a hash
+        found = rows[np.lexsort(rows.T[::-1])]
+        new = np.r_[True, (found[1:] != found[:-1]).any(1)]
+    return found[new]
 
 
 class Distinct:
@@ -326,15 +481,19 @@ class Distinct:
         return sum(len(x) for some in self.lists.values() for x in some)
 
 
-def candidates(texts: DataFrame, size: int, busy) -> DataFrame:
-    """``lang, words``: the distinct phrases of ``size`` words in the stretches, in a busy bucket.
+def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    return bucket(hashes, 30) % blocks
+
+
+def candidates(texts: DataFrame, size: int) -> DataFrame:
+    """``lang, words, bucket``: the distinct phrases of ``size`` words in the stretches, and 30 bits of their hashes.
 
     A task passes its phrases on as a row for each language and range of hashes.
     """
 
     def packed(found: Distinct) -> Iterator[pa.RecordBatch]:
         for lang, phrases in found.merged():
-            slots = bucket(phrase_hashes(list(phrases.T), own_seed(lang)), 8)
+            slots = bucket(phrase_hashes(list(phrases.T), own_seed(lang)), SLOTS)
             phrases = phrases[np.argsort(slots, kind="stable")]
             slots, n = np.unique(slots, return_counts=True)
             columns = [
@@ -347,10 +506,9 @@ def candidates(texts: DataFrame, size: int, busy) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Distinct()
         for places in some_places(batches, size):
-            open_ = np.flatnonzero(among(busy.value, places.hashes()))
-            words, lang = np.stack(places.columns(places.at[open_]), 1), places.lang[open_]
-            for code in np.unique(lang):
-                found.add(places.langs[code], distinct_rows(words[lang == code]))
+            words = np.stack(places.columns(places.at), 1)
+            for code in np.unique(places.lang):
+                found.add(places.langs[code], distinct_rows(words[places.lang == code]))
             if found.held() > 2 * HELD:
                 yield from packed(found)
                 found = Distinct()
@@ -365,10 +523,11 @@ def candidates(texts: DataFrame, size: int, busy) -> DataFrame:
             for k, lang in enumerate(batch.column(0).to_pylist()):
                 found.add(lang, phrases[ends[k] : ends[k + 1]])
         for lang, phrases in found.merged():
-            yield phrase_rows([lang], np.zeros(len(phrases), np.int32), phrases)
+            at = bucket(phrase_hashes(list(phrases.T), own_seed(lang)), 30)
+            yield phrase_rows([lang], np.zeros(len(phrases), np.int32), phrases, pa.array(at))
 
     rows = texts.mapInArrow(gather, "lang string, slot int, words array<bigint>").repartition("lang", "slot")
-    return rows.mapInArrow(merge, "lang string, words array<bigint>")
+    return rows.mapInArrow(merge, "lang string, words array<bigint>, n bigint").withColumnRenamed("n", "bucket")
 
 
 class Trie:
@@ -524,38 +683,73 @@ def phrase_buckets(frequent: DataFrame, bits: int) -> DataFrame:
     return frequent.select("lang", "words").mapInArrow(run, "bucket bigint")
 
 
-def phrase_stretches(texts: DataFrame, size: int, frequent) -> DataFrame:
-    """``lang, words``: the texts cut down to stretches of phrases in the bitmap."""
+def frequent_bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
+    bits = enough_bits(frequent.count(), bits)
+    return bitmap_of(phrase_buckets(frequent, bits), bits)
+
+
+def phrase_stretches(texts: DataFrame, size: int, known) -> DataFrame:
+    """``lang, words``: the texts cut down to stretches of phrases in the bitmap, or all phrases in busy counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places in some_places(batches, size):
-            kept = places.at[among(frequent.value, places.hashes())]
-            words, sizes = stretches(places.words, kept, size, places.bounds)
+            busy = isinstance(known.value, Busy)
+            hashes = places.hashes()
+            kept = places.at[known.value.has(hashes) if busy else among(known.value, hashes)]
+            words, sizes = stretches(places.words, kept, size, places.bounds, whole=busy)
             yield text_rows(places.langs, places.text_lang, words, sizes)
 
     return texts.mapInArrow(run, "lang string, words array<bigint>")
 
 
-def frequencies(texts: DataFrame, size: int, least: int, folder: str, block: int, bits: int) -> DataFrame:
-    """``lang, words, n`` of all phrases of ``size`` words that stand in the stretches ``least`` times."""
+def dealt(texts: DataFrame, size: int, blocks: int) -> DataFrame:
+    """``lang, words, block``: stretches of the phrases of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for places in some_places(batches, size):
+            block = block_of(places.hashes(), blocks)
+            order = np.argsort(block, kind="stable")
+            found, begin = np.unique(block[order], return_index=True)
+            for k, at in zip(found.tolist(), np.split(places.at[order], begin[1:])):
+                words, sizes = stretches(places.words, at, size, places.bounds, whole=True)
+                rows = text_rows(places.langs, places.text_lang, words, sizes)
+                yield rows.append_column("block", pa.repeat(pa.scalar(k, pa.int32()), rows.num_rows))
+
+    return texts.mapInArrow(run, "lang string, words array<bigint>, block int")
+
+
+def frequencies(
+    texts: DataFrame, size: int, least: int, folder: str, block: int, bits: int
+) -> tuple[DataFrame, DataFrame]:
+    """``lang, words, n`` of all phrases of ``size`` words that stand in the stretches ``least`` times.
+
+    Also gives the texts cut down to stretches of phrases that may be among them.
+    """
     spark, sc = texts.sparkSession, texts.sparkSession.sparkContext
-    busy = sc.broadcast(busy_buckets(texts, size, least, bits))
-    asked = staged(candidates(texts, size, busy), folder, f"asked-{size}")
+    counters = staged(busy_counters(texts, size, least), folder, f"busy-{size}")
+    busy = sc.broadcast(Busy(counters, bits))
+    texts = staged(phrase_stretches(texts, size, busy), folder, f"places-{size}")
     busy.unpersist()
+    asked = staged(candidates(texts, size), folder, f"asked-{size}")
     blocks = max(1, math.ceil(asked.count() / block))
+    if blocks > 1:
+        by_block = dealt(texts, size, blocks)
+        by_block.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/dealt-{size}")
+        by_block = spark.read.schema(by_block.schema).parquet(f"{folder}/dealt-{size}")
     found = []
     for k in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("lang", "words"), F.lit(blocks)) == k).toArrow()
+        some = asked.where(F.col("bucket") % blocks == k).toArrow()
         if not len(some):
             continue
         words = some["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(some), size)
         trie = sc.broadcast(Trie(np.array(some["lang"].to_pylist()), words))
-        found.append(staged(counted(texts, size, trie, least), folder, f"frequent-{size}-{k}"))
+        own = texts if blocks == 1 else by_block.where(F.col("block") == k).select("lang", "words")
+        found.append(staged(counted(own, size, trie, least), folder, f"frequent-{size}-{k}"))
         trie.unpersist()
-    forget(spark, folder, f"asked-{size}")
+    forget(spark, folder, f"busy-{size}", f"asked-{size}", f"dealt-{size}")
     if not found:
-        return spark.createDataFrame([], "lang string, words array<bigint>, n bigint")
-    return reduce(DataFrame.unionByName, found)
+        return spark.createDataFrame([], "lang string, words array<bigint>, n bigint"), texts
+    return reduce(DataFrame.unionByName, found), texts
 
 
 def counted_words(docs: DataFrame, folder: str) -> tuple[DataFrame, int]:
@@ -576,17 +770,18 @@ def frequent_phrases(docs: DataFrame, folder: str, least: int, longest: int, blo
     known = staged(words.where(F.col("n") >= least), folder, "known")
     frequent = known.select("lang", F.array("hash").alias("words"), "n")
     levels = [frequent]
-    bitmap = sc.broadcast(bitmap_of(phrase_buckets(frequent, bits), bits))
+    bitmap = sc.broadcast(frequent_bitmap(frequent, bits))
     texts = staged(word_stretches(docs, bitmap, seed), folder, "texts-1")
     bitmap.unpersist()
     for size in range(2, longest + 1):
-        frequent = frequencies(texts, size, least, folder, block, bits)
+        frequent, places = frequencies(texts, size, least, folder, block, bits)
         levels.append(frequent)
+        forget(spark, folder, f"texts-{size - 1}")
         if size < longest:
-            bitmap = sc.broadcast(bitmap_of(phrase_buckets(frequent, bits), bits))
-            texts = staged(phrase_stretches(texts, size, bitmap), folder, f"texts-{size}")
+            bitmap = sc.broadcast(frequent_bitmap(frequent, bits))
+            texts = staged(phrase_stretches(places, size, bitmap), folder, f"texts-{size}")
             bitmap.unpersist()
-            forget(spark, folder, f"texts-{size - 1}")
+        forget(spark, folder, f"places-{size}")
     return known, totals, staged(reduce(DataFrame.unionByName, levels), folder, "phrases")
 
 

@@ -88,6 +88,55 @@ def test_phrases_against_plain_counts(spark, block, bits):
     assert len(want) > 100
 
 
+def test_rare_phrases_stay_out_of_the_tries(spark, monkeypatch):
+    """Also where the texts have many more phrases than a bitmap of the least size has bits."""
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choices([f"w{i}" for i in range(120)], k=50)) + ". new york city", "en") for _ in range(200)]
+    sizes, made = [], phrase_tries.Trie.__init__
+    monkeypatch.setattr(phrase_tries.Trie, "__init__", lambda self, *a: (sizes.append(len(a[1])), made(self, *a))[1])
+    want = agree(spark, rows, 20, bits=8, longest=3)
+    assert want and sum(sizes) < 10
+
+
+def test_each_place_is_dealt_to_the_block_of_its_phrase(spark):
+    rng = random.Random(6)
+    texts = [("en" if k % 3 else "de", [*rng.choices(range(1, 9), k=rng.randint(0, 30)), 0]) for k in range(60)]
+    docs = spark.createDataFrame(texts, "lang string, words array<bigint>").repartition(3)
+    asked = phrase_tries.candidates(docs, 2).selectExpr("lang", "words", "bucket % 5 block").collect()
+    block = {(r.lang, *r.words): r.block for r in asked}
+    assert len(block) == len(asked) and len(set(block.values())) == 5
+    got, want = Counter(), Counter()
+    for r in phrase_tries.dealt(docs, 2, 5).collect():
+        got.update((r.lang, x, y, r.block) for x, y in zip(r.words, r.words[1:]) if x and y)
+    for lang, words in texts:
+        want.update((lang, x, y, block[lang, x, y]) for x, y in zip(words, words[1:]) if x and y)
+    assert got == want
+
+
+def test_distinct_words_with_shared_hashes():
+    texts = ["b a c a", "abcdefghi a b abcdefghj"]
+    data, starts, ends, _, _ = phrase_tries.cut(texts)
+    words = [data[a:b].decode() for a, b in zip(starts, ends)]
+    hashes = np.array([7 if w in "ab" else len(w) for w in words], np.uint64)  # a and b share one, long words too
+    found = phrase_tries.Words()
+    for _ in range(3):
+        found.add("en", *phrase_tries.distinct_words(data, starts, ends, hashes, np.arange(len(words))))
+    (_, (hashes, n, sizes, raw)), = found.merged()
+    at = np.r_[0, np.cumsum(sizes)]
+    got = [(int(h), int(m), raw[a:b].tobytes().decode()) for h, m, a, b in zip(hashes, n, at, at[1:])]
+    assert {(h, w) for h, _, w in got} == {(7, "a"), (7, "b"), (1, "c"), (9, "abcdefghi"), (9, "abcdefghj")}
+    assert sorted((h, m) for h, m, _ in got if m) == [(1, 6), (7, 3 * (0 + 1 + 3 + 5 + 6)), (9, 3 * (4 + 7))]
+    packed = list(phrase_tries.packed_words(found))
+    assert sum(b.num_rows for b in packed) >= 1 and sum(map(len, packed[0].column("raw").to_pylist())) == sum(sizes)
+
+
+def test_distinct_rows():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(1, 6, (500, 3)).astype(np.uint64)
+    assert sorted(map(tuple, phrase_tries.distinct_rows(rows).tolist())) == sorted(set(map(tuple, rows.tolist())))
+    assert len(phrase_tries.distinct_rows(rows[:0])) == 0
+
+
 def test_top_and_covered_phrases(spark):
     rows = [("new york city is new york city", "en")] * 10 + [("new york times", "en")] * 3 + [("york city", "en")] * 3
     agree(spark, rows, 3, percent=70, longest=4)
