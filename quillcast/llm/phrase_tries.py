@@ -51,6 +51,8 @@ BUSY = 1 << 23  # counters that are looked up beside the bitmap, at most: 64 MB
 SLOTS = 10  # bits of the range of hashes that is merged as one row
 SLOT = 1024  # counts that are summed as one row
 HELD = 500_000  # candidates or words that a task holds before it merges them or passes them on
+BYTES = 32 << 20  # of words likewise, where they are long
+SLICE = 1 << 16  # words that are told at once
 PLACES = 1 << 22  # whose counters a task holds before it passes them on
 PIECE = 1 << 20  # characters that are cut into words at once where no words are gathered
 SEEDS = 8
@@ -127,23 +129,26 @@ def distinct_words(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np
     kept = np.r_[first, odd]
     sums = np.add.reduceat(n[order], begin) if len(begin) else n[:0]
     sizes = ends[kept] - starts[kept]
-    at = np.repeat(starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return hashes[kept], np.r_[sums, np.zeros(len(odd), np.int64)], sizes, np.frombuffer(data, np.uint8)[at]
+    edges = pa.py_buffer(np.stack([starts, ends], 1).astype(np.int64))  # words, and what stands between them
+    every = pa.Array.from_buffers(pa.large_binary(), max(2 * len(starts) - 1, 0), [None, edges, pa.py_buffer(data)])
+    raw = every.take(pa.array(2 * kept)).buffers()[2] if len(kept) else None
+    raw = np.frombuffer(raw, np.uint8, sizes.sum()) if raw else np.zeros(0, np.uint8)
+    return hashes[kept], np.r_[sums, np.zeros(len(odd), np.int64)], sizes, raw
 
 
 class Words:
-    """Distinct words of some languages with their counts, merged whenever as many as ``HELD`` have come."""
+    """Distinct words of some languages with their counts, merged whenever ``HELD`` and as many as there were have come."""
 
     def __init__(self):
         self.lists: dict = {}
-        self.new = 0
+        self.new, self.before = 0, HELD
 
     def add(self, lang: str, *words: np.ndarray) -> None:
         self.lists.setdefault(lang, []).append(words)
         self.new += len(words[0])
-        if self.new > HELD:
+        if self.new > self.before:
             self.lists = {lang: [found] for lang, found in self.merged()}
-            self.new = 0
+            self.new, self.before = 0, max(HELD, self.held())
 
     def merged(self) -> list:
         out = []
@@ -156,6 +161,9 @@ class Words:
     def held(self) -> int:
         return sum(len(x[0]) for some in self.lists.values() for x in some)
 
+    def full(self) -> bool:
+        return self.held() > 2 * HELD or sum(len(x[3]) for some in self.lists.values() for x in some) > BYTES
+
 
 def packed_words(found: Words) -> Iterator[pa.RecordBatch]:
     """A row for each language and range of hashes."""
@@ -191,7 +199,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 data, starts, ends, _, _ = cut(texts)
                 hashes = hashes_of(data, starts, ends - starts, seed)
                 found.add(lang, *distinct_words(data, starts, ends, hashes, np.ones(len(hashes), np.int64)))
-                if found.held() > 2 * HELD:
+                if found.full():
                     yield from packed_words(found)
                     found = Words()
         yield from packed_words(found)
@@ -204,15 +212,20 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 raw = np.frombuffer(batch.column("raw")[k].as_buffer(), np.uint8)
                 found.add(lang, hashes.view(np.uint64), n, sizes.astype(np.int64), raw)
         for lang, (hashes, n, sizes, raw) in found.merged():
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            columns = [
-                pa.repeat(pa.scalar(lang, pa.string()), len(sizes)),
-                pa.array(hashes.view(np.int64)),
-                words.cast(pa.string()),
-                pa.array(n),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "hash", "word", "n"])
+            ends, start = np.cumsum(sizes), 0
+            while start < len(sizes):
+                edge = ends[start] - sizes[start]
+                end = min(max(start + 1, int(np.searchsorted(ends, edge + BYTES, "right"))), start + SLICE)
+                offsets = (np.r_[edge, ends[start:end]] - edge).astype(np.int32)
+                parts = [None, pa.py_buffer(offsets), pa.py_buffer(raw[edge : ends[end - 1]])]
+                columns = [
+                    pa.repeat(pa.scalar(lang, pa.string()), end - start),
+                    pa.array(hashes[start:end].view(np.int64)),
+                    pa.Array.from_buffers(pa.string(), end - start, parts),
+                    pa.array(n[start:end]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "hash", "word", "n"])
+                start = end
 
     packed = "lang string, slot int, hashes array<bigint>, n array<bigint>, sizes array<int>, raw binary"
     rows = docs.mapInArrow(gather, packed).repartition("lang", "slot")
@@ -224,7 +237,7 @@ def unlike(data: bytes, starts: np.ndarray, ends: np.ndarray, other: np.ndarray)
     sizes = ends - starts
     odd = sizes != sizes[other]
     eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    live, done = np.flatnonzero(~odd), 0
+    live, done = np.flatnonzero(~odd & (other != np.arange(len(other)))), 0
     while len(live):
         left = sizes[live] - done
         apart = eight[starts[live] + done] ^ eight[starts[other[live]] + done]
